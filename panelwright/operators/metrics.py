@@ -58,7 +58,7 @@ def discrimination(df: DataFrame, y="y", p="p", by=()) -> DataFrame:
         F.sum(neg * (F.col("pos_before") + F.col("pos") / 2)).alias("_area"),
         F.sum(F.col("pos") * pos_seen / seen).alias("_ap"))
     return sums.select(
-        *by, F.try_divide(F.col("_area"), F.col("_p") * F.col("_n")).alias("roc_auc"),
+        *by, F.try_divide(F.col("_area"), F.col("_p").cast("double") * F.col("_n")).alias("roc_auc"),
         F.try_divide(F.col("_ap"), F.col("_p")).alias("pr_auc"))
 
 

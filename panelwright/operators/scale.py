@@ -125,35 +125,29 @@ def hash_key(key, seed) -> Column:
     return F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
 
 
-def hash_cuts(df: DataFrame, stratum: str, cuts, hashed="_h") -> DataFrame:
-    """Per stratum, the hash value at each cut rank (``cuts``: name to column of the size).
+def hash_cuts(df: DataFrame, stratum: str, sizes: DataFrame, hashed="_h") -> DataFrame:
+    """The hash value at given ranks within each stratum.
 
-    Counts by hash prefix locate the one prefix holding each cut; only rows with that
-    prefix (1 in 4096) are ranked. Output: one row per stratum, one column per cut, NULL
-    for a cut of size 0.
+    ``sizes`` holds (stratum, ``cut``, ``rank``), a few rows per stratum. Counts by hash
+    prefix locate the one prefix holding each rank; only rows with that prefix (1 in 4096)
+    are sorted. Output: one row per stratum with ``cuts``, a map from cut to hash; a rank
+    of 0 has no entry.
     """
     prefix = F.substring(hashed, 1, HASH_DIGITS)
-    counts = df.groupBy(F.col(stratum).alias("_s"), prefix.alias("_p")).agg(F.count("*").alias("c"))
-    whole = Window.partitionBy("_s")
-    run = whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    located = counts.select(
-        "_s", "_p", "c", F.sum("c").over(run).alias("upto"), F.sum("c").over(whole).alias("rows"))
-    wants = F.array(*[
-        F.struct(F.lit(name).alias("cut"), size(F.col("rows")).cast("long").alias("rank"))
-        for name, size in cuts.items()])
+    counts = df.groupBy(F.col(stratum), prefix.alias("_p")).agg(F.count("*").alias("_c"))
+    run = Window.partitionBy(stratum).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    located = counts.withColumn("_upto", F.sum("_c").over(run))
     target = (
-        located.select("*", F.inline(wants))
-        .filter((F.col("rank") > F.col("upto") - F.col("c")) & (F.col("rank") <= F.col("upto")))
-        .select("_s", "_p", "cut", (F.col("rank") - F.col("upto") + F.col("c")).alias("local_rank"))
+        located.join(sizes, stratum)
+        .filter((F.col("rank") > F.col("_upto") - F.col("_c")) & (F.col("rank") <= F.col("_upto")))
+        .select(stratum, "_p", "cut", (F.col("rank") - F.col("_upto") + F.col("_c")).alias("_local"))
     )
-    # One row per stratum and cut.
-    near = df.select(F.col(stratum).alias("_s"), prefix.alias("_p"), F.col(hashed).alias("_h")).join(
-        target.select("_s", "_p").distinct(), ["_s", "_p"], "left_semi")
-    local = near.withColumn("rn", F.row_number().over(Window.partitionBy("_s", "_p").orderBy("_h")))
-    found = local.join(target, ["_s", "_p"]).filter(F.col("rn") == F.col("local_rank"))
-    return found.groupBy("_s").agg(
-        *[F.max(F.when(F.col("cut") == name, F.col("_h"))).alias(name) for name in cuts]
-    ).withColumnRenamed("_s", stratum)
+    near = df.select(F.col(stratum), prefix.alias("_p"), F.col(hashed)).join(
+        target.select(stratum, "_p").distinct(), [stratum, "_p"], "left_semi")
+    local = near.withColumn("_rn", F.row_number().over(Window.partitionBy(stratum, "_p").orderBy(hashed)))
+    found = local.join(target, [stratum, "_p"]).filter(F.col("_rn") == F.col("_local"))
+    return found.groupBy(stratum).agg(
+        F.map_from_entries(F.collect_list(F.struct("cut", hashed))).alias("cuts"))
 
 
 def hash_order(df: DataFrame, stratum: str, hashed="_h", out="_rn") -> DataFrame:
