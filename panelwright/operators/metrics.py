@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.functions.numeric import clip
-from panelwright.operators.scale import prefix_sums
+from panelwright.operators.scale import beside, prefix_sums
 
 
 def _ratio(num, den):
@@ -69,7 +69,7 @@ def metrics(df: DataFrame, y="y", p="p", by=(), tau=0.5, inclusive=True) -> Data
     curves = discrimination(df, y, p, by)
     if by:
         return counts.join(curves, by, "left")
-    return counts.crossJoin(F.broadcast(curves))  # one row each
+    return beside(counts, curves)
 
 
 def calibration_curve(df: DataFrame, y="y", p="p", by=(), bins=5) -> DataFrame:

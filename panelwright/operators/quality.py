@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelwright.errors import ContractError, LeakageError
 from panelwright.functions.numeric import number
 from panelwright.functions.periods import PERIOD_PATTERN, period_index, spelled_date
+from panelwright.operators.scale import beside
 
 # Columns of the panel contract.
 REQUIRED = ["reporting_period", "project_code", "project_name", "sector", "line_ministry",
@@ -229,10 +230,10 @@ def validate_panel(df: DataFrame, cutoff=None, feature_matrix=False, allow_snaps
     checks = [(g, s, r, F.col(f"_c{i}"), m) for i, (g, s, r, _, m) in enumerate(checks)]
     if "reporting_period" in df.columns:
         periods, more = _period_checks(df, allow_snapshot_only)
-        one, checks = one.crossJoin(F.broadcast(periods)), checks + more  # one row each
+        one, checks = beside(one, periods), checks + more
         if "project_code" in df.columns:
             density = panel_density(df)
-            one = one.crossJoin(F.broadcast(density))  # one row each
+            one = beside(one, density)
             checks.append(("identity", "HARD_FAIL", "DC-IDENTITY-03", F.col("duplicate_rows"),
                            "duplicate (project_code, reporting_period) rows"))
             if not allow_snapshot_only:

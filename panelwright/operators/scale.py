@@ -16,6 +16,15 @@ FINE = 32
 BUCKETS = COARSE * FINE
 
 
+def beside(df: DataFrame, *singles: DataFrame) -> DataFrame:
+    """Attach the columns of one-row tables as scalar subqueries (computed once, no join)."""
+    for i, single in enumerate(singles):
+        row = single.select(F.struct("*")).scalar()
+        df = df.select("*", row.alias(f"_row{i}")).select(
+            *df.columns, *[F.col(f"_row{i}")[c].alias(c) for c in single.columns])
+    return df
+
+
 def _bounds(values: DataFrame, by, value: str) -> DataFrame:
     """Per group, approximate quantile cut points as COARSE lists of FINE values.
 
@@ -51,11 +60,8 @@ def prefix_sums(df: DataFrame, value: str, sums: dict, by=(), descending=False)
     sums = {"n": F.count("*"), **sums}
     flat = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(*[c.alias(k) for k, c in sums.items()])
     sign = -1 if descending else 1
-    if by:
-        cut = flat.join(_bounds(flat, by, value), by)
-    else:
-        # One row of at most BUCKETS numbers.
-        cut = flat.crossJoin(F.broadcast(_bounds(flat, by, value)))
+    bounds = _bounds(flat, by, value)
+    cut = flat.join(bounds, by) if by else beside(flat, bounds)
     bucketed = cut.withColumn("_b", _bucket(F.col(value), F.col("_cuts"))).drop("_cuts")
     totals = bucketed.groupBy(*by, "_b").agg(*[F.sum(k).alias(f"_t_{k}") for k in sums])
     earlier = (
@@ -82,9 +88,9 @@ def exact_quantiles(df: DataFrame, value: str, probs, by=()) -> DataFrame:
     spots = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
     wanted = sizes.select(*by, "_rows", F.inline(spots)).select(
         *by, "i", ((F.col("_rows") - 1) * F.col("p")).alias("pos"))
-    # len(probs) rows per group; a rank matches at most two value runs, found by range.
+    # One list of len(probs) ranks per group; each rank touches at most two distinct values.
     wanted = wanted.groupBy(*by).agg(F.collect_list(F.struct("i", "pos")).alias("_w"))
-    near = ranked.join(wanted, by) if by else ranked.crossJoin(F.broadcast(wanted))
+    near = ranked.join(wanted, by) if by else beside(ranked, wanted)
     first, last = F.col("n_before"), F.col("n_before") + F.col("n") - 1
     touches = lambda r: (r >= first) & (r <= last)
     hits = near.select(

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.operators.scale import competition_rank, exact_quantiles
+from panelwright.operators.scale import beside, competition_rank, exact_quantiles
 
 TIER_PROBS = (0.50, 0.75, 0.90)
 
@@ -29,11 +29,10 @@ def combine(df: DataFrame, pc="cost_risk_probability", ps="schedule_risk_probabi
 
 def add_tiers(df: DataFrame, score="attention_score", out="attention_tier") -> DataFrame:
     """Tier from the exact portfolio quantiles .50/.75/.90, lower bounds inclusive."""
-    # One row of three numbers.
-    cuts = F.broadcast(exact_quantiles(df, score, TIER_PROBS).withColumnRenamed("q", "_q"))
+    cuts = exact_quantiles(df, score, TIER_PROBS).withColumnRenamed("q", "_q")
     s, q = F.col(score), F.col("_q")
     tier = (F.when(s >= q[2], "Tier 1").when(s >= q[1], "Tier 2").when(s >= q[0], "Tier 3").otherwise("Tier 4"))
-    return df.crossJoin(cuts).withColumn(out, tier).drop("_q")
+    return beside(df, cuts).withColumn(out, tier).drop("_q")
 
 
 def score_portfolio(df: DataFrame, pc="cost_risk_probability", ps="schedule_risk_probability",
@@ -106,8 +105,7 @@ def audit_scores(df: DataFrame, pc="cost_risk_probability", ps="schedule_risk_pr
     recount = competition_rank(df.select("attention_score", key, "portfolio_rank"), "attention_score", "_r")
     ranks = recount.agg(F.count_if(F.col("_r") != F.col("portfolio_rank")).alias("rank_order"))
     tied = ties.agg(F.count_if(F.col("lo") != F.col("hi")).alias("tie_consistency"))
-    # Three one-row results.
-    one = rows.crossJoin(F.broadcast(tied)).crossJoin(F.broadcast(ranks))
+    one = beside(rows, tied, ranks)
     names = [*formulas, "tie_consistency", "rank_order"]
     return one.select(F.inline(F.array(*[
         F.struct(F.lit(n).alias("check"), F.col(n).alias("violations")) for n in names])))
