@@ -110,7 +110,7 @@ def _ranges(roles: dict) -> list:
     return out
 
 
-def _label(df, time, roles, out="split"):
+def label_periods(df, time, roles, out="split"):
     p = _period_column(df, time)
     label = F.lit(None).cast("string")
     for role, first, last in _ranges(roles):
@@ -122,7 +122,7 @@ def split_by_cutoffs(df, train_end, test_start=None, val_end=None, embargo=0,
                      time="reporting_period", entity="project_code", verify=True) -> DataFrame:
     """All rows plus ``split``: train, val, test, purged or val_embargo."""
     roles = cutoff_roles(distinct_periods(df, time), train_end, test_start, val_end, embargo)
-    out = _label(df, time, roles)
+    out = label_periods(df, time, roles)
     if verify:
         require_split(out, time, entity, embargo)
     return out
@@ -132,7 +132,7 @@ def split_by_ratio(df, train_ratio=0.7, val_ratio=0.0, test_ratio=None, embargo=
                    time="reporting_period", entity="project_code", verify=True) -> DataFrame:
     periods = distinct_periods(df, time)
     train_end, val_end = ratio_cutoffs(periods, train_ratio, val_ratio, test_ratio, embargo)
-    out = _label(df, time, cutoff_roles(periods, train_end, None, val_end, embargo))
+    out = label_periods(df, time, cutoff_roles(periods, train_end, None, val_end, embargo))
     if verify:
         require_split(out, time, entity, embargo)
     return out
