@@ -54,7 +54,7 @@ def discrimination(df: DataFrame, y="y", p="p", by=()) -> DataFrame:
     neg = F.col("n") - F.col("pos")
     seen, pos_seen = F.col("n_before") + F.col("n"), F.col("pos_before") + F.col("pos")
     sums = flat.groupBy(*by).agg(
-        F.sum("pos").alias("_p"), F.sum(neg).alias("_n"),
+        F.max("pos_total").alias("_p"), F.max(F.col("n_total") - F.col("pos_total")).alias("_n"),
         F.sum(neg * (F.col("pos_before") + F.col("pos") / 2)).alias("_area"),
         F.sum(F.col("pos") * pos_seen / seen).alias("_ap"))
     return sums.select(

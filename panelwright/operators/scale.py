@@ -8,6 +8,8 @@ first reduced to distinct values with counts, so a value that a third of all row
 is one row by the time anything is sorted.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,27 +27,25 @@ def beside(df: DataFrame, *singles: DataFrame) -> DataFrame:
     return df
 
 
-def _bounds(values: DataFrame, by, value: str) -> DataFrame:
-    """Per group, approximate quantile cut points as COARSE lists of FINE values.
+def _bounds(flat: DataFrame, by, value: str, sums) -> DataFrame:
+    """Per group: approximate quantile cut points as COARSE lists of FINE values, and totals.
 
-    The sketch only balances the buckets; results do not depend on its accuracy.
+    The sketch only balances the buckets; results do not depend on its accuracy. Totals
+    come from the same aggregate, so the distinct values are shuffled once for all uses.
     """
-    probs = [i / BUCKETS for i in range(1, BUCKETS)]
-    cuts = values.groupBy(*by).agg(
-        F.percentile_approx(value, F.lit(probs), BUCKETS * 10).alias("_cuts"))
-    return cuts.select(
-        *by,
-        F.transform(F.sequence(F.lit(1), F.lit(COARSE)),
-                    lambda i: F.slice("_cuts", (i - 1) * FINE + 1, FINE)).alias("_cuts"),
-    )
+    probs = F.expr("array(" + ", ".join(f"{i / BUCKETS}D" for i in range(1, BUCKETS)) + ")")
+    cuts = flat.groupBy(*by).agg(
+        F.percentile_approx(value, probs, BUCKETS * 10).alias("_cuts"),
+        *[F.sum(k).alias(f"{k}_total") for k in sums])
+    return cuts.withColumn("_cuts", F.transform(
+        F.sequence(F.lit(1), F.lit(COARSE)), lambda i: F.slice("_cuts", (i - 1) * FINE + 1, FINE)))
 
 
 def _bucket(value: Column, cuts: Column) -> Column:
     """Number of cut points below ``value``, found in COARSE + FINE comparisons."""
     below = lambda cut: cut < value
-    heads = F.transform(cuts, lambda fine: fine[0])
-    coarse = F.size(F.filter(heads, below))
-    block = F.when(coarse > 0, F.get(cuts, coarse - 1))
+    coarse = F.size(F.filter(cuts, lambda fine: below(fine[0])))
+    block = F.get(cuts, coarse - 1)
     return F.when(coarse > 0, (coarse - 1) * FINE + F.size(F.filter(block, below))).otherwise(0)
 
 
@@ -53,19 +53,21 @@ def prefix_sums(df: DataFrame, value: str, sums: dict, by=(), descending=False)
     """Distinct values with exclusive prefix sums in value order.
 
     ``sums`` maps an output name to an aggregate column; each name comes back as the
-    total at that value and, as ``<name>_before``, the total over all values that sort
-    before it. ``n``/``n_before`` count rows. One row per (``by``, distinct value).
+    total at that value, as ``<name>_before`` over all values that sort before it and as
+    ``<name>_total`` over the group. ``n`` counts rows. One row per (``by``, distinct value).
     """
     by = list(by)
     sums = {"n": F.count("*"), **sums}
     flat = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(*[c.alias(k) for k, c in sums.items()])
-    sign = -1 if descending else 1
-    bounds = _bounds(flat, by, value)
+    bounds = _bounds(flat, by, value, sums)
     cut = flat.join(bounds, by) if by else beside(flat, bounds)
-    bucketed = cut.withColumn("_b", _bucket(F.col(value), F.col("_cuts"))).drop("_cuts")
+    # Every use of the bounds needs every total, so all of them share one aggregate and
+    # one shuffle of the distinct values.
+    known = reduce(lambda a, b: a & b, [F.col(f"{k}_total").isNotNull() for k in sums])
+    bucketed = cut.withColumn("_b", F.when(known, _bucket(F.col(value), F.col("_cuts")))).drop("_cuts")
     totals = bucketed.groupBy(*by, "_b").agg(*[F.sum(k).alias(f"_t_{k}") for k in sums])
     earlier = (
-        Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.col("_b") * sign)
+        Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.col("_b") * (-1 if descending else 1))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     carry = totals.select(
@@ -75,34 +77,32 @@ def prefix_sums(df: DataFrame, value: str, sums: dict, by=(), descending=False)
     # At most BUCKETS rows per group carry the offsets back.
     joined = bucketed.join(carry, [*by, "_b"])
     return joined.select(
-        *by, value, *sums,
+        *by, value, *sums, *[f"{k}_total" for k in sums],
         *[(F.coalesce(F.sum(k).over(within), F.lit(0)) + F.col(f"_c_{k}")).alias(f"{k}_before") for k in sums],
     )
 
 
 def exact_quantiles(df: DataFrame, value: str, probs, by=()) -> DataFrame:
-    """Linear-interpolated quantiles: one row per group with ``q`` (array in ``probs`` order)."""
+    """Linear-interpolated quantiles: one row per group with ``q`` (array in ``probs`` order).
+
+    A quantile lies between two ranks; each rank falls into the run of one distinct value.
+    """
     by = list(by)
     ranked = prefix_sums(df, value, {}, by)
-    sizes = ranked.groupBy(*by).agg(F.sum("n").alias("_rows"))
-    spots = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
-    wanted = sizes.select(*by, "_rows", F.inline(spots)).select(
-        *by, "i", ((F.col("_rows") - 1) * F.col("p")).alias("pos"))
-    # One list of len(probs) ranks per group; each rank touches at most two distinct values.
-    wanted = wanted.groupBy(*by).agg(F.collect_list(F.struct("i", "pos")).alias("_w"))
-    near = ranked.join(wanted, by) if by else beside(ranked, wanted)
     first, last = F.col("n_before"), F.col("n_before") + F.col("n") - 1
-    touches = lambda r: (r >= first) & (r <= last)
-    hits = near.select(
-        *by, F.col(value).alias("_v"), first.alias("_lo"), last.alias("_hi"),
-        F.explode(F.filter("_w", lambda w: touches(F.floor(w["pos"])) | touches(F.ceil(w["pos"])))).alias("w"),
-    )
-    frac = F.col("w.pos") - F.floor("w.pos")
-    in_run = lambda r: (r >= F.col("_lo")) & (r <= F.col("_hi"))
+    spots = F.array(*[
+        F.struct(F.lit(i).alias("i"), ((F.col("n_total") - 1) * F.lit(float(p))).alias("pos"))
+        for i, p in enumerate(probs)])
+    inside = lambda rank: (rank >= first) & (rank <= last)
+    low, high = (lambda w: F.floor(w["pos"])), (lambda w: F.ceil(w["pos"]))
+    hits = ranked.select(*by, F.col(value).alias("_v"), first.alias("_lo"), last.alias("_hi"), F.explode(
+        F.filter(spots, lambda w: inside(low(w)) | inside(high(w)))).alias("w"))
+    within = lambda rank: (rank >= F.col("_lo")) & (rank <= F.col("_hi"))
+    w = F.col("w")
     parts = hits.groupBy(*by, F.col("w.i").alias("i")).agg(
-        F.max(F.when(in_run(F.floor("w.pos")), F.col("_v"))).alias("low"),
-        F.max(F.when(in_run(F.ceil("w.pos")), F.col("_v"))).alias("high"),
-        F.max(frac).alias("frac"),
+        F.max(F.when(within(low(w)), F.col("_v"))).alias("low"),
+        F.max(F.when(within(high(w)), F.col("_v"))).alias("high"),
+        F.max(w["pos"] - low(w)).alias("frac"),
     )
     point = F.col("low") + (F.col("high") - F.col("low")) * F.col("frac")
     return parts.groupBy(*by).agg(

@@ -144,3 +144,175 @@ COHORT = """cohort AS (
            CAST(n_chars + (doc_id % 97) * 40 > 3000 AS INTEGER) AS cost_overrun, toxic AS time_overrun,
            1 AS is_eligible_cost_target, CAST(toxic IS NOT NULL AS INTEGER) AS is_eligible_schedule_target
     FROM documents LEFT JOIN labels USING (doc_id)))"""
+
+
+def _money(c):
+    return f"coalesce(CAST(CAST({c} AS DECIMAL(18,2)) AS VARCHAR), '')"
+
+
+def _month_text(c, blank):
+    return f"coalesce(substr({c}, 6, 2) || '/' || substr({c}, 1, 4), '{blank}')"
+
+
+def raw(month, layout) -> str:
+    """SELECT of one raw snapshot over ``part_panel``."""
+    old, late = layout == "old", layout == "late"
+    number = "CASE WHEN id % 3 = 0 THEN id ELSE id % 40 END"
+    name = f"p_name || ' ' || p_type || ' package ' || {number}"
+    agency = "p_brand || ' (' || upper(p_type) || ')'"
+    state = "'North ' || p_type"
+    code = "'N' || lpad(CAST(id AS VARCHAR), 8, '0')"
+    if late:
+        name = f"CASE WHEN id % 13 = 0 THEN 'Rehabilitation contract' ELSE {name} END"
+        agency = f"CASE WHEN id % 19 = 0 THEN 'Other Board' WHEN id % 7 = 0 THEN 'Works Board (' || upper(p_type) || ')' ELSE {agency} END"
+        state = f"CASE WHEN id % 17 = 0 THEN 'South' WHEN id % 23 = 0 THEN '' ELSE {state} END"
+    revised = _month_text("revised_end_date", "(-)")
+    if old:
+        revised = "coalesce(strftime(CAST(revised_end_date AS DATE), '%b-%Y'), '(-)')"
+    approval = _month_text("start_date", "N.A." if old else "NA")
+    cols = {
+        "snapshot_date": f"'{month}'", "source_page": "CAST(id // 50 + 1 AS VARCHAR)", "sl_no": "CAST(id + 1 AS VARCHAR)",
+        "project_id": code if old else "CAST(id AS VARCHAR)", "project_name": name, "agency": agency, "state": state,
+        "approval_date": approval, "original_completion_date": _month_text("original_end_date", ""),
+        "revised_completion_date": revised, "original_cost_crore": _money("original_cost_cr"),
+        "revised_cost_crore": _money("revised_cost_cr"), "cumulative_expenditure_crore": _money("expenditure_cr"),
+        "physical_progress_pct": _money("physical_progress_pct")}
+    if old:
+        cols |= {"sector": "'Sector ' || id % 6", "anticipated_completion_date": _month_text("original_end_date", ""),
+                 "anticipated_cost_crore": _money("original_cost_cr")}
+    if late:
+        cols |= {"start_date": approval, "pmgid": "''",
+                 "legacy_ocms_code": f"CASE WHEN id % 29 = 0 THEN {code} ELSE '(-)' END"}
+    return "SELECT " + ", ".join(f"{v} AS {k}" for k, v in cols.items()) + f" FROM part_panel WHERE reporting_period = '{month}'"
+
+
+def _strict(c):
+    return (f"CASE WHEN regexp_full_match({c}, '[0-9]{{2}}/[0-9]{{4}}') THEN substr({c}, 4, 4) || '-' || substr({c}, 1, 2) "
+            f"WHEN regexp_full_match({c}, '[A-Za-z]{{3}}-[0-9]{{4}}') THEN strftime(strptime({c}, '%b-%Y'), '%Y-%m') END")
+
+
+def _hash(cols):
+    parts = " || ', ' || ".join(f"'\"{c}\": ' || to_json(coalesce({c}, ''))" for c in sorted(cols))
+    return "sha256('{' || " + parts + " || '}')"
+
+
+RAW_COLUMNS = ["snapshot_date", "source_page", "sl_no", "project_id", "project_name", "agency", "state", "approval_date",
+               "original_completion_date", "revised_completion_date", "original_cost_crore", "revised_cost_crore",
+               "cumulative_expenditure_crore", "physical_progress_pct"]
+_EXTRA = {"old": ["sector", "anticipated_completion_date", "anticipated_cost_crore"], "early": [],
+          "late": ["start_date", "pmgid", "legacy_ocms_code"]}
+
+
+def canonical_select(layout, month, day, table, file) -> str:
+    have = set(RAW_COLUMNS + _EXTRA[layout])
+    text = lambda c: f"nullif({c}, '')" if c in have else "CAST(NULL AS VARCHAR)"
+    raw_date = lambda c: text(c)
+    norm = lambda c: _strict(c) if c in have else "CAST(NULL AS VARCHAR)"
+    cols = {
+        "canonical_observation_key": f"'{month}:{table}:' || project_id", "source_snapshot": f"'{month}'",
+        "snapshot_date": f"'{day}'", "source_table": f"'{table}'", "source_project_id": "project_id",
+        "project_name": text("project_name"), "agency": text("agency"), "state": text("state")}
+    for c in ("approval_date", "start_date", "original_completion_date", "revised_completion_date", "anticipated_completion_date"):
+        cols[c + "_raw"], cols[c] = raw_date(c), norm(c)
+    for c in ("original_cost_crore", "revised_cost_crore", "anticipated_cost_crore", "cumulative_expenditure_crore",
+              "physical_progress_pct", "source_page"):
+        cols[c] = text(c)
+    cols |= {"source_row": "sl_no", "source_file": f"'{file}'", "source_record_hash": _hash(have),
+             "sector": text("sector"), "legacy_ocms_code": text("legacy_ocms_code"), "pmgid": text("pmgid")}
+    return "SELECT " + ", ".join(f"{v} AS {k}" for k, v in cols.items()) + f" FROM raw_{layout}"
+
+
+RAW = panel(False) + f""",
+part_panel AS (SELECT panel.*, p_name, p_brand, p_type FROM panel JOIN part ON p_partkey = id),
+raw_old AS ({raw('1998-06', 'old')}),
+raw_early AS ({raw('1998-07', 'early')}),
+raw_late AS ({raw('1999-07', 'late')})"""
+
+CANONICAL = RAW + f""",
+canonical AS ({canonical_select('old', '1998-06', '1998-06-30', 'Table A', 'report_a')}
+  UNION ALL {canonical_select('early', '1998-07', '1998-07-31', 'Table B', 'report_b')}
+  UNION ALL {canonical_select('late', '1999-07', '1999-07-31', 'Table C', 'report_c')})"""
+
+_STOP = ", ".join(f"'{w}'" for w in [
+    "project", "line", "railway", "new", "doubling", "construction", "works", "of", "and", "to", "in", "at", "for",
+    "with", "from", "the", "under", "via", "an", "on", "by"])
+
+
+def tokens(c) -> str:
+    return (f"list_filter(list_distinct(regexp_split_to_array(regexp_replace(lower(coalesce({c}, '')), "
+            f"'[()\\[\\]{{}},;:.\\-_/]', ' ', 'g'), '\\s+')), lambda w: w <> '' AND w NOT IN ({_STOP}))")
+
+
+def state_ok(a, b) -> str:
+    fill = "['multi', 'states', 'state', 'pan', 'india', 'and']"
+    words = lambda s: f"list_filter(regexp_extract_all(lower({s}), '[a-z]+'), lambda w: NOT list_contains({fill}, w))"
+    return (f"({a} = '' OR {b} = '' OR contains(lower({a}), lower({b})) OR contains(lower({b}), lower({a})) "
+            f"OR list_has_any({words(a)}, {words(b)}))")
+
+
+def agency_ok(a, b) -> str:
+    found = " || ".join(f"regexp_extract_all(lower({x}), '{p}', 1)" for p in (r"\[(.*?)\]", r"\((.*?)\)") for x in (a, b))
+    return (f"({a} = '' OR {b} = '' OR contains(lower({a}), lower({b})) OR contains(lower({b}), lower({a})) "
+            f"OR len(list_filter({found}, lambda x: length(trim(x)) >= 2 AND contains(lower({a}), trim(x)) AND contains(lower({b}), trim(x)))) > 0)")
+
+
+# Observations with tokens, per snapshot.
+MATCHED = CANONICAL + f""",
+obs AS (SELECT canonical_observation_key AS key, source_snapshot AS snap, source_project_id AS id,
+    coalesce(state, '') AS state, coalesce(agency, '') AS agency, CAST(original_cost_crore AS DOUBLE) AS cost,
+    coalesce(approval_date, '') AS approval, CAST(source_row AS INTEGER) AS row_no, {tokens('project_name')} AS toks FROM canonical),
+ids AS (SELECT a.id, a.key AS a_key, b.key AS b_key, a.state AS a_state, b.state AS b_state, a.agency AS a_agency, b.agency AS b_agency,
+    len(list_intersect(a.toks, b.toks)) AS shared, {state_ok('a.state', 'b.state')} AS sok, {agency_ok('a.agency', 'b.agency')} AS aok,
+    len(a.toks) + len(b.toks) AS both_len
+  FROM obs a JOIN obs b ON a.id = b.id AND a.snap = '1998-07' AND b.snap = '1999-07'),
+exact AS (SELECT *, shared / (both_len - shared) AS sim, sok AND aok AND shared > 0 AS accepted,
+    concat_ws('; ', CASE WHEN NOT sok THEN 'State conflict (''' || a_state || ''' vs ''' || b_state || ''')' END,
+      CASE WHEN NOT aok THEN 'Agency divergence (''' || a_agency || ''' vs ''' || b_agency || ''')' END,
+      CASE WHEN shared = 0 THEN 'Zero shared distinctive title tokens' END) AS reason FROM ids),
+cand AS (SELECT a.key AS a_key, a.row_no, b.key AS b_key, b.id AS b_id, b.snap AS b_snap, a.state, a.agency, a.approval,
+    abs(a.cost - b.cost) AS cost_diff,
+    len(list_intersect(a.toks, b.toks)) / (len(a.toks) + len(b.toks) - len(list_intersect(a.toks, b.toks))) AS sim
+  FROM obs a JOIN obs b ON a.snap = '1998-06' AND b.snap <> '1998-06' AND abs(a.cost - b.cost) <= 0.05
+   AND {state_ok('a.state', 'b.state')} AND {agency_ok('a.agency', 'b.agency')}
+   AND (a.approval = '' OR b.approval = '' OR a.approval = b.approval)
+   AND len(list_intersect(a.toks, b.toks)) >= 0.85 * (len(a.toks) + len(b.toks) - len(list_intersect(a.toks, b.toks)))),
+strong AS (SELECT * FROM cand QUALIFY count(*) OVER (PARTITION BY a_key, b_snap) = 1)"""
+
+IDENTITY = MATCHED + """,
+links AS (
+  SELECT a_key AS k, 'PROJ-LINKED-' || id AS e, 'EXACT_ID' AS c, 'ACCEPTED' AS s, 1 AS r, 0 AS t FROM exact WHERE accepted
+  UNION ALL SELECT b_key, 'PROJ-LINKED-' || id, 'EXACT_ID', 'ACCEPTED', 1, 0 FROM exact WHERE accepted
+  UNION ALL SELECT a_key, 'PROJ-LINKED-' || b_id, 'STRONG_MATCH', 'ACCEPTED', CASE WHEN b_snap = '1999-07' THEN 1 ELSE 2 END, 0 FROM strong
+  UNION ALL SELECT b_key, 'PROJ-LINKED-' || b_id, 'STRONG_MATCH', 'ACCEPTED', 2, row_no FROM strong
+  UNION ALL SELECT a_key, 'PROJ-REVIEW-1998-07-' || id, 'REVIEW_REQUIRED', 'PENDING_DOMAIN_REVIEW', 3, 0 FROM exact WHERE NOT accepted
+  UNION ALL SELECT b_key, 'PROJ-REVIEW-1999-07-' || id, 'REVIEW_REQUIRED', 'PENDING_DOMAIN_REVIEW', 3, 0 FROM exact WHERE NOT accepted),
+best AS (SELECT * FROM links QUALIFY row_number() OVER (PARTITION BY k ORDER BY r, t) = 1),
+identity AS (SELECT o.key AS canonical_observation_key, coalesce(e, 'PROJ-UNMATCHED-' || o.snap || '-' || o.id) AS canonical_project_key,
+    o.snap AS source_snapshot, o.id AS source_project_id, coalesce(c, 'UNMATCHED') AS match_confidence,
+    coalesce(s, 'NOT_APPLICABLE') AS review_status FROM obs o LEFT JOIN best ON k = o.key)"""
+
+PAIRS = IDENTITY + """,
+project_panel AS (SELECT i.canonical_project_key, c.* FROM canonical c JOIN identity i USING (canonical_observation_key)),
+pair AS (SELECT a.*, b.revised_cost_crore AS later_cost, b.revised_completion_date AS later_end,
+    CASE WHEN a.canonical_project_key IN (SELECT canonical_project_key FROM project_panel WHERE source_snapshot = '1998-06')
+         THEN '3_SNAPSHOT' ELSE '2_SNAPSHOT_JULY' END AS trajectory_type
+  FROM project_panel a JOIN project_panel b ON a.canonical_project_key = b.canonical_project_key
+   AND a.source_snapshot = '1998-07' AND b.source_snapshot = '1999-07'),
+typed_pair AS (SELECT *, CAST(original_cost_crore AS DOUBLE) AS cost, CAST(cumulative_expenditure_crore AS DOUBLE) AS spend,
+    CAST(physical_progress_pct AS DOUBLE) AS prog, CAST(later_cost AS DOUBLE) AS rev,
+    CAST(substr(approval_date, 1, 4) AS INTEGER) * 12 + CAST(substr(approval_date, 6, 2) AS INTEGER) - 1 AS appr,
+    CAST(substr(original_completion_date, 1, 4) AS INTEGER) * 12 + CAST(substr(original_completion_date, 6, 2) AS INTEGER) - 1 AS fin,
+    CAST(substr(later_end, 1, 4) AS INTEGER) * 12 + CAST(substr(later_end, 6, 2) AS INTEGER) - 1 AS late FROM pair),
+pair_features AS (SELECT canonical_project_key, source_project_id, trajectory_type, ln(1 + cost) AS feat_log_original_cost,
+    cost AS feat_original_cost_crore, spend AS feat_cumulative_expenditure_crore,
+    CASE WHEN cost > 0 THEN spend / cost END AS feat_expenditure_to_original_cost_ratio, prog AS feat_physical_progress_pct,
+    CASE WHEN cost > 0 THEN spend / cost END * 100.0::DOUBLE - prog AS feat_physical_vs_financial_divergence,
+    CAST(1998 * 12 + 6 - appr AS DOUBLE) AS feat_project_age_months, CAST(appr IS NULL AS INTEGER) AS feat_is_missing_approval_date,
+    CAST(fin - (1998 * 12 + 6) AS DOUBLE) AS feat_remaining_original_duration_months,
+    CAST(fin - (1998 * 12 + 6) < 0 AS INTEGER) AS feat_is_past_original_completion,
+    coalesce(state, 'MISSING') AS feat_state, coalesce(agency, 'UNKNOWN') AS feat_agency,
+    CASE WHEN cost > 0 AND rev IS NOT NULL THEN (rev - cost) / cost END AS future_total_cost_escalation_1999,
+    CAST(CASE WHEN cost > 0 AND rev IS NOT NULL THEN (rev - cost) / cost END > 0.05 AS INTEGER) AS cost_overrun_5pct_1999,
+    CAST(late - fin AS DOUBLE) AS future_schedule_slippage_months_1999, CAST(late - fin >= 3 AS INTEGER) AS time_overrun_3m_1999,
+    CAST(cost > 0 AND rev IS NOT NULL AS INTEGER) AS is_eligible_cost_target,
+    CAST(late IS NOT NULL AND fin IS NOT NULL AS INTEGER) AS is_eligible_schedule_target FROM typed_pair)"""
