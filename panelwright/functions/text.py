@@ -5,6 +5,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from panelwright.functions.numeric import col
 
@@ -30,7 +31,7 @@ def blank_to_null(c) -> Column:
     return F.nullif(s, F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decompose(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).lower())
 

@@ -22,10 +22,12 @@ def build(sources, snapshots, cutoff_date, outcome_suffix, generated_at, tol=0.0
           strict=False, ascii_titles=False, materialize=True) -> SnapshotChain:
     """``sources`` is a list of (table, SnapshotSpec); ``snapshots`` is (oldest, earlier, later).
 
-    The identity map feeds several consumers, so it is written once to the shared
-    checkpoint folder instead of being recomputed by each.
+    The canonical table and the identity map feed several consumers, so each is written
+    once to the shared checkpoint folder instead of being recomputed.
     """
     canonical = H.union_snapshots(*[H.to_canonical(df, spec) for df, spec in sources])
+    if materialize:
+        canonical = cut_lineage(canonical)
     identity = J.resolve(canonical, snapshots, tol, min_sim, strict, ascii_titles)
     if materialize:
         identity = cut_lineage(identity)

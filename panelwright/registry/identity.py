@@ -10,10 +10,16 @@ from panelwright.plans import derived as D
 from panelwright.plans import snapshots as W
 from panelwright.registry import query
 from panelwright.registry.sql import CANONICAL, IDENTITY, MATCHED, PAIRS, RAW, agency_ok, state_ok, tokens
+from panelwright.session import cut_lineage
 
 OLD, EARLY, LATE = D.SNAPSHOTS
 
 
+def _stored(spark, sf_dir):
+    """The canonical table, written once for the many steps that read it."""
+    return cut_lineage(D.canonical(spark, sf_dir))
+
+
 def _at(df, snapshot):
     return df.filter(F.col("source_snapshot") == snapshot)
 
@@ -56,7 +62,7 @@ def trajectory_labels(spark, sf_dir):
 @query(f"WITH {MATCHED} SELECT id, a_key, b_key, round(sim, 6) AS similarity, shared, accepted, reason FROM exact")
 def match_exact(spark, sf_dir):
     """Id pairs with corroboration and reasons."""
-    df = D.canonical(spark, sf_dir)
+    df = _stored(spark, sf_dir)
     out = J.match_exact(_at(df, EARLY), _at(df, LATE))
     return out.select("id", "a_key", "b_key", F.round("similarity", 6).alias("similarity"),
                       F.col("shared").cast("long").alias("shared"), "accepted", "reason")
@@ -65,7 +71,7 @@ def match_exact(spark, sf_dir):
 @query(f"WITH {MATCHED} SELECT a_key, b_key, b_id, round(sim, 6) AS similarity, round(cost_diff, 6) AS cost_diff FROM strong WHERE b_snap = '{EARLY}'")
 def match_strong(spark, sf_dir):
     """Similarity matches with a unique candidate."""
-    df = D.canonical(spark, sf_dir)
+    df = _stored(spark, sf_dir)
     out = J.match_strong(_at(df, OLD), _at(df, EARLY))
     return out.select("a_key", "b_key", "b_id", F.round("similarity", 6).alias("similarity"),
                       F.round("cost_diff", 6).alias("cost_diff"))
@@ -121,13 +127,13 @@ SELECT a.key AS a_key, count(*) AS partners FROM obs a JOIN obs b ON a.snap = '{
   AND a.state = b.state AND a.approval <> '' AND b.approval <> '' AND a.approval <> b.approval GROUP BY 1""")
 def approval_conflicts(spark, sf_dir):
     """Same cost and state, other approval month."""
-    df = D.canonical(spark, sf_dir)
+    df = _stored(spark, sf_dir)
     found = J.review_candidates(_at(df, EARLY), _at(df, LATE))
     return found.filter(F.col("trigger") == "SAME_COST_STATE_OTHER_APPROVAL").select("a_key", "partners")
 
 
 def _identity(spark, sf_dir):
-    return J.resolve(D.canonical(spark, sf_dir), D.SNAPSHOTS)
+    return J.resolve(_stored(spark, sf_dir), D.SNAPSHOTS)
 
 
 @query(f"WITH {IDENTITY} SELECT * FROM identity")
@@ -150,7 +156,7 @@ def match_bridge(spark, sf_dir):
        "c.original_cost_crore FROM canonical c JOIN identity i USING (canonical_observation_key)")
 def project_panel(spark, sf_dir):
     """Observations with their identity."""
-    df = D.canonical(spark, sf_dir)
+    df = _stored(spark, sf_dir)
     panel = J.build_panel(df, J.resolve(df, D.SNAPSHOTS))
     return panel.select("canonical_project_key", "match_confidence", "canonical_observation_key", "project_name",
                         "state", "original_cost_crore")
@@ -174,7 +180,7 @@ def trajectory_distribution(spark, sf_dir):
        "(SELECT count(*) FROM (SELECT 1 FROM identity GROUP BY canonical_project_key, source_snapshot HAVING count(*) > 1))")
 def audit_identity(spark, sf_dir):
     """Loss, repeats and doubled entities."""
-    df = D.canonical(spark, sf_dir)
+    df = _stored(spark, sf_dir)
     return J.audit_identity(df, J.resolve(df, D.SNAPSHOTS))
 
 
