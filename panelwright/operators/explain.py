@@ -4,6 +4,8 @@ One wide row becomes one row per (feature), scored in a single transform; the re
 profile is a row of constants. Nothing is paired with anything else.
 """
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,16 +22,18 @@ UNOBSERVED_FACT = ("Schedule outcome unobserved / unrevised in source reports; "
 def reference_profile(df: DataFrame, numeric=NUMERIC_FEATURES, categorical=CATEGORICAL_FEATURES) -> DataFrame:
     """One row: exact median of each numeric feature, most frequent value of each categorical
     (smallest on ties), over the whole cohort."""
-    numbers = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in numeric])))
-    medians = exact_quantiles(numbers, "value", [0.5], by=["feature"])
-    medians = medians.select("feature", F.col("q")[0].alias("median"), F.lit(None).cast("string").alias("mode"))
-    labels = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in categorical])))
-    modes = labels.filter(F.col("value").isNotNull()).groupBy("feature", "value").agg(
-        F.count("*").alias("n")).groupBy("feature").agg(
-        F.lit(None).cast("double").alias("median"), F.min(F.struct(-F.col("n"), "value"))["value"].alias("mode"))
-    both = medians.unionByName(modes)
+    tall = lambda columns, dtype: df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast(dtype).alias("value")) for c in columns])))
+    parts = []
+    if numeric:
+        medians = exact_quantiles(tall(numeric, "double"), "value", [0.5], by=["feature"])
+        parts.append(medians.select("feature", F.col("q")[0].alias("median"), F.lit(None).cast("string").alias("mode")))
+    if categorical:
+        counts = tall(categorical, "string").filter(F.col("value").isNotNull()).groupBy("feature", "value").agg(
+            F.count("*").alias("n"))
+        parts.append(counts.groupBy("feature").agg(
+            F.lit(None).cast("double").alias("median"), F.min(F.struct(-F.col("n"), "value"))["value"].alias("mode")))
+    both = reduce(DataFrame.unionByName, parts)
     pick = lambda c, field: F.max(F.when(F.col("feature") == c, F.col(field))).alias(c)
     return both.agg(*[pick(c, "median") for c in numeric], *[pick(c, "mode") for c in categorical])
 

@@ -1 +1,153 @@
-"""Registered queries."""
+"""Queries on preprocessing and fitted models; fits have no SQL counterpart."""
+
+from pyspark.sql import functions as F
+
+from panelwright.operators import learn as M
+from panelwright.operators import split as K
+from panelwright.plans import derived as D
+from panelwright.plans import portfolio as W
+from panelwright.registry import query
+from panelwright.registry.sql import COHORT
+from panelwright.session import cut_lineage
+
+KEY = "canonical_project_key"
+_SETS = f"""WITH {COHORT}, numbered AS (SELECT *, CAST(source_project_id AS BIGINT) AS n,
+    CASE WHEN CAST(source_project_id AS BIGINT) % 9 <> 0 THEN feat_agency END AS agency FROM cohort),
+train AS (SELECT * FROM numbered WHERE n % 5 <> 0)"""
+
+
+def _sets(spark, sf_dir):
+    """(train, all): every fifth row is kept out of the fit; some agencies are missing."""
+    n = F.col("source_project_id").cast("long")
+    df = D.cohort(spark, sf_dir).withColumn("agency", F.when(n % 9 != 0, F.col("feat_agency")))
+    return df.filter(n % 5 != 0), df
+
+
+@query(_SETS + f" SELECT {KEY}, coalesce(feat_project_age_months, (SELECT median(feat_project_age_months) FROM train)) AS age FROM numbered")
+def median_impute(spark, sf_dir):
+    """M1: exact train median."""
+    return M.median_impute(*_sets(spark, sf_dir), ["feat_project_age_months"]).select(
+        KEY, F.col("feat_project_age_months").alias("age"))
+
+
+@query(_SETS + f" SELECT {KEY}, coalesce(agency, (SELECT agency FROM train WHERE agency IS NOT NULL GROUP BY agency "
+       "ORDER BY count(*) DESC, agency LIMIT 1)) AS agency FROM numbered")
+def mode_impute(spark, sf_dir):
+    """M2: most frequent train value, smallest on ties."""
+    return M.mode_impute(*_sets(spark, sf_dir), ["agency"]).select(KEY, "agency")
+
+
+@query(_SETS + f" SELECT {KEY}, CAST(feat_state = 'en' AS INTEGER) AS feat_state_en, CAST(feat_state = 'fr' AS INTEGER) AS feat_state_fr FROM numbered")
+def one_hot(spark, sf_dir):
+    """M3: one column per level, unknown levels all zeros."""
+    return M.one_hot_levels(_sets(spark, sf_dir)[1], "feat_state", ["en", "fr"]).select(KEY, "feat_state_en", "feat_state_fr")
+
+
+@query(_SETS + ", known AS (SELECT agency FROM train WHERE agency <> 'src3'), shares AS (SELECT agency, "
+       "count(*) / (SELECT count(*) FROM known) AS s FROM known GROUP BY 1) "
+       f"SELECT {KEY}, round(coalesce(s, 0), 6) AS agency_share FROM numbered LEFT JOIN shares USING (agency)")
+def frequency_encode(spark, sf_dir):
+    """M4: train share of each level; a level unseen in the fit gets 0."""
+    train, df = _sets(spark, sf_dir)
+    out = M.frequency_encode(train.filter(F.col("agency") != "src3"), df, "agency", "agency_share")
+    return out.select(KEY, F.round("agency_share", 6).alias("agency_share"))
+
+
+@query(_SETS + ", best AS (SELECT agency FROM train WHERE agency IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, agency LIMIT 3) "
+       f"SELECT {KEY}, CASE WHEN agency IN (SELECT agency FROM best) THEN agency ELSE 'OTHER' END AS level FROM numbered")
+def top_levels(spark, sf_dir):
+    """The most frequent train levels, the rest as OTHER."""
+    return M.top_levels(*_sets(spark, sf_dir), "agency", 3, "level").select(KEY, "level")
+
+
+_SCALED = ["feat_log_original_cost", "feat_physical_progress_pct"]
+
+
+@query(_SETS + ", s AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _SCALED)
+       + f" FROM train) SELECT {KEY}, " + ", ".join(f"round(({c} - m_{c}) / s_{c}, 6) AS {c}_scaled" for c in _SCALED) + " FROM numbered, s")
+def standard_scaling(spark, sf_dir):
+    """Train mean and deviation."""
+    out = M.standardize(*_sets(spark, sf_dir), _SCALED)
+    return out.select(KEY, *[F.round(f"{c}_scaled", 6).alias(f"{c}_scaled") for c in _SCALED])
+
+
+# --- fitted models -----------------------------------------------------------------------------
+
+
+def _partitioned(spark, sf_dir, target="cost_overrun"):
+    df = D.cohort(spark, sf_dir).withColumn("y", F.col(target))
+    return cut_lineage(K.stratified_partition(df, "y", KEY))
+
+
+def _part(df, name):
+    return df.filter(F.col("partition") == name)
+
+
+@query()
+def logistic_scores(spark, sf_dir):
+    """M6: logistic probabilities of every row."""
+    df = _partitioned(spark, sf_dir)
+    model = M.fit_logistic(_part(df, "MODELFIT"), "y")
+    return model.score(df, "p").select(KEY, "partition", "y", "p")
+
+
+@query()
+def forest_scores(spark, sf_dir):
+    """M7, M8: 300-tree forests for both tasks, schedule only where eligible."""
+    cohort = D.cohort(spark, sf_dir)
+    cost, schedule, parts = W.train(cohort, "cost_overrun", "time_overrun")
+    scored = M.score_tasks(cohort, cost, schedule)
+    return W.attach_partitions(_as_scores(scored), parts).select(
+        KEY, "cost_risk_probability", "schedule_risk_probability", "cost_partition", "schedule_partition")
+
+
+def _as_scores(df):
+    return df.withColumn("attention_score", F.greatest("cost_risk_probability", "schedule_risk_probability"))
+
+
+@query()
+def feature_set_experiment(spark, sf_dir):
+    """Basic and enhanced predictors on one split, with deltas."""
+    return M.feature_set_deltas(M.compare_feature_sets(_partitioned(spark, sf_dir), "y"))
+
+
+@query()
+def logistic_coefficients(spark, sf_dir):
+    """Coefficients by name, extreme levels marked."""
+    model = M.fit_logistic(_part(_partitioned(spark, sf_dir), "MODELFIT"), "y")
+    coefs = M.coefficients(model, spark)
+    return coefs.join(M.extreme_levels(coefs).select("feature", "side").distinct(), "feature", "left")
+
+
+@query()
+def forest_importances(spark, sf_dir):
+    """Raw top importances with their share, and parent sums."""
+    df = M.in_fit_order(_part(_partitioned(spark, sf_dir), "MODELFIT"), KEY)
+    table = M.importances(M.fit_forest(df, "y", trees=100), spark)
+    top = M.cumulative_importance(table).join(
+        M.parent_importance(table).withColumnRenamed("importance", "parent_importance"), "parent")
+    return top.select("feature", "parent", "importance", "cumulative_share", "parent_importance")
+
+
+@query()
+def calibrated_comparison(spark, sf_dir):
+    """Raw, sigmoid and isotonic probabilities compared."""
+    df = _partitioned(spark, sf_dir)
+    scored = cut_lineage(M.fit_logistic(_part(df, "MODELFIT"), "y").score(df, "p"))
+    return M.compare_calibrators(_part(scored, "CALIBRATION_HOLDOUT"), _part(scored, "TEST_HOLDOUT"), "y", "p")
+
+
+@query()
+def calibration_slopes(spark, sf_dir):
+    """Calibration intercept and slope per partition of the given probabilities."""
+    rows = D.predictions(spark, sf_dir)
+    out = [(task, *M.calibration_slope(rows.filter(F.col("task") == task), "y", "p").values())
+           for task in ("cost_overrun", "schedule_slippage")]
+    return spark.createDataFrame(out, "task string, intercept_alpha double, slope_beta double")
+
+
+@query()
+def forest_portfolio(spark, sf_dir):
+    """W3 with trained forests: score, explain, route."""
+    done = W.build(D.cohort(spark, sf_dir), "cost_overrun", "time_overrun", trees=100, depth=12)
+    return done.interventions
