@@ -91,9 +91,14 @@ def _is_temporal(dtype) -> bool:
 
 
 def spelled_date(s) -> Column:
-    """First layout that reads the text as a date, else NULL."""
-    tries = [F.try_to_timestamp(s, F.lit(layout)).cast("date") for layout in DATE_LAYOUTS]
-    return F.coalesce(s.try_cast("date"), *tries)
+    """ISO text by a plain cast, else the first layout that reads it as a date, else NULL.
+
+    The layouts are one constant list tried by a lambda, which keeps the generated code of
+    the common path small; only text the cast cannot read pays for them.
+    """
+    layouts = F.split(F.lit("|".join(DATE_LAYOUTS)), r"\|")
+    tried = F.transform(layouts, lambda layout: F.try_to_timestamp(s, layout).cast("date"))
+    return F.coalesce(s.try_cast("date"), F.get(F.filter(tried, lambda d: d.isNotNull()), F.lit(0)))
 
 
 def period(c, dtype=None) -> Column:
@@ -106,7 +111,7 @@ def period(c, dtype=None) -> Column:
     _, s1, s2 = _parts(s, "/")
     hyphen = F.when(F.length(h1) == 4, _ym(h1, h2)).when(F.length(h2) == 4, _ym(h2, h1))
     slash = F.when(F.length(s2) == 4, _ym(s2, s1)).when(F.length(s1) == 4, _ym(s1, s2))
-    return F.when(
+    return F.when(s.rlike(PERIOD_PATTERN), s).when(
         ~F.lower(s).isin(PERIOD_BLANKS),
         F.coalesce(hyphen, slash, F.date_format(spelled_date(s), "yyyy-MM")),
     )
@@ -157,7 +162,7 @@ def parse_date(c, dtype=None) -> Column:
         F.size(sp) == 2,
         F.when(F.length(s2) == 4, first(_ym(s2, s1))).when(F.length(s1) == 4, first(_ym(s1, s2))),
     )
-    return F.when(
+    return F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), s.try_cast("date")).when(
         ~F.lower(s).isin(DATE_BLANKS),
         F.coalesce(hyphen, slash, spelled_date(s)),
     )

@@ -22,8 +22,11 @@ EMPTY_TOKENS = ["NA", "N.A.", "-", ""]
 
 
 def clean(c) -> Column:
-    """Collapse whitespace and trim; NULL becomes the empty string."""
-    return F.trim(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"\s+", " "))
+    """Collapse whitespace and trim; NULL becomes the empty string.
+
+    A single blank is already right, so only longer runs and other whitespace match.
+    """
+    return F.trim(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"\s{2,}|[\t\n\x0B\f\r]", " "))
 
 
 def blank_to_null(c) -> Column:

@@ -16,6 +16,8 @@ def local_session(cores="*", shuffle_partitions=8, app="panelwright", **conf):
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # The JVM never compiles methods beyond 8000 bytes; smaller generated stages run faster.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

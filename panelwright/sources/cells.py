@@ -22,11 +22,15 @@ def project_code(text) -> Column:
 
 def identify_rows(df: DataFrame, expected) -> DataFrame:
     """Project rows of a table stream: those with a serial and a code."""
-    tidy = df.withColumn("cells", F.transform("cells", clean))
+    # A one-row generator keeps the optimizer from repeating the cleaning in the filter and
+    # in every column that uses the cells.
+    once = lambda rows, **cols: rows.select(
+        *[c for c in rows.columns if c not in cols],
+        F.inline(F.array(F.struct(*[v.alias(k) for k, v in cols.items()]))))
+    tidy = once(df, cells=F.transform("cells", clean))
     joined = F.array_join(F.filter("cells", lambda c: c != ""), " ")
-    return tidy.withColumns({
-        "sl_no": serial_of("cells", expected), "project_code": project_code(joined),
-    }).filter(F.col("sl_no").isNotNull() & (F.col("project_code") != ""))
+    read = once(tidy, cells=F.col("cells"), sl_no=serial_of("cells", expected), project_code=project_code(joined))
+    return read.filter(F.col("sl_no").isNotNull() & (F.col("project_code") != ""))
 
 
 def split_block(block, code, serial) -> Column:
@@ -56,9 +60,9 @@ def reject_reason(state) -> Column:
 def parse_rows(df: DataFrame, snapshot: str, strict=False) -> DataFrame:
     """The 17 report columns plus ``reject_reason``; ``strict`` raises on a rejected row."""
     cell = lambda i: F.coalesce(F.get("cells", F.lit(i)), F.lit(""))
-    state = clean(cell(2))
+    state = cell(2)  # the cells were cleaned when the rows were identified
     rows = df.withColumns({
-        "_block": split_block(clean(cell(1)), F.col("project_code"), F.col("sl_no")),
+        "_block": split_block(cell(1), F.col("project_code"), F.col("sl_no")),
         "_start": pair(cell(3)), "_end": pair(cell(4)), "_cost": pair(cell(5), numeric=True),
         "reject_reason": reject_reason(state),
     })

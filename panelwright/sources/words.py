@@ -1,6 +1,6 @@
 """Positioned words to table rows; every window is within one page."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.text import expand_truncated, number_token, triple
@@ -66,18 +66,34 @@ def words_to_cells(words: DataFrame) -> DataFrame:
     return rows.groupBy(*PAGE, "serial").agg(*[joined(b).alias(b) for b in BANDS])
 
 
+def block_lines(block, gap=SLACK) -> Column:
+    """Lines of one block given as an ordered array of ``struct<y, ..., text>``."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("line"),
+                     F.lit(None).cast("double").alias("y"))
+
+    def step(acc, w):
+        same = F.abs(w["y"] - acc["y"]) <= gap
+        return F.when(same, F.struct(acc["done"].alias("done"), F.concat_ws(" ", acc["line"], w["text"]).alias("line"),
+                                     w["y"].alias("y"))).otherwise(
+            F.struct(F.array_compact(F.array_append(acc["done"], acc["line"])).alias("done"),
+                     w["text"].alias("line"), w["y"].alias("y")))
+
+    return F.aggregate(block, start, step, lambda acc: F.array_compact(F.array_append(acc["done"], acc["line"])))
+
+
 def parse_words(words: DataFrame, snapshot: str) -> DataFrame:
-    """The 17 report columns of a positioned-word table."""
-    cells = words_to_cells(words)
-    rows = assign_rows(words).filter(F.col("band") == "project")
-    lines = group_lines(rows, [*PAGE, "serial"])
-    blocks = lines.groupBy(*PAGE, "serial").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda l: l["line"]).alias("_lines"))
+    """The 17 report columns of a positioned-word table; one shuffle by page."""
+    rows = assign_rows(words).filter(F.col("band").isNotNull())
+    entry = F.struct("y", "x", "word_no", "text")
+    of_band = lambda name: F.array_sort(F.collect_list(F.when(F.col("band") == name, entry)))
+    cells = rows.groupBy(*PAGE, "serial").agg(*[of_band(b).alias(b) for b in BANDS])
+    cells = cells.withColumn("_lines", block_lines(F.col("project"))).withColumns({
+        b: F.array_join(F.transform(b, lambda w: w["text"]), " ") for b in BANDS})
     heading = lambda c: F.when(F.length(F.trim(c)) > 2, F.trim(c))
-    both = cells.join(blocks, [*PAGE, "serial"], "left").withColumns({
+    both = cells.withColumns({
         "state": heading("state"),
         "sector": expand_truncated(heading("sector"), TRUNCATED_SECTORS),
-        "_block": legacy_block(F.coalesce("_lines", F.array().cast("array<string>"))),
+        "_block": legacy_block("_lines"),
         "_dates": triple("dates"), "_costs": triple("costs", numeric=True),
     })
     filled = fill_down(both, ["state", "sector"], order="serial")
