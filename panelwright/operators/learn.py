@@ -104,29 +104,23 @@ def _fit(train: DataFrame, y: str, classifier, numeric, categorical) -> FittedMo
     filled = train.select(F.col(y).cast("double").alias("_label"), *[
         F.coalesce(F.col(c).cast("double" if c in numeric else "string"), F.lit(v)).alias(f"_x_{c}")
         for c, v in profile.items()])
-    # An unseen level takes the extra index and, with the last slot dropped, encodes as zeros.
+    # The indexer gives unseen levels one extra index, the last; the encoder drops the last
+    # slot, so an unseen level encodes as all zeros.
     stages = []
     if categorical:
         stages += [
             StringIndexer(inputCols=[f"_x_{c}" for c in categorical], outputCols=[f"_i_{c}" for c in categorical],
                           handleInvalid="keep", stringOrderType="alphabetAsc"),
             OneHotEncoder(inputCols=[f"_i_{c}" for c in categorical], outputCols=[f"_v_{c}" for c in categorical],
-                          handleInvalid="keep", dropLast=True)]
+                          handleInvalid="error", dropLast=True)]
     stages.append(VectorAssembler(
         inputCols=[f"_x_{c}" for c in numeric] + [f"_v_{c}" for c in categorical], outputCol="_features"))
     pipeline = Pipeline(stages=[*stages, classifier]).fit(filled)
     labels = pipeline.stages[0].labelsArray if categorical else []
-    names = list(numeric) + [
-        f"{c}={level}" for c, known in zip(categorical, labels) for level in _slots(known, pipeline, c)]
+    names = list(numeric) + [f"{c}={level}" for c, known in zip(categorical, labels) for level in known]
     return FittedModel(pipeline, profile, list(numeric), list(categorical), names)
 
 
-def _slots(known, pipeline, column):
-    """Levels behind the encoded slots of one categorical column."""
-    size = pipeline.stages[1].categorySizes[pipeline.stages[1].getInputCols().index(f"_i_{column}")]
-    return list(known)[: size]
-
-
 def fit_logistic(train: DataFrame, y: str, numeric=NUMERIC_FEATURES, categorical=CATEGORICAL_FEATURES,
                  c=1.0, max_iter=2000) -> FittedModel:
     """L2 logistic regression on unscaled features with inverse strength ``c``."""
