@@ -257,8 +257,8 @@ def stratified_partition(df, y: str, key: str, seed=42, test=0.20, calibration=0
     """MODELFIT / CALIBRATION_HOLDOUT / TEST_HOLDOUT / NOT_ELIGIBLE with exact class counts.
 
     Rows are taken in the order of ``md5(key|seed)`` within each class; the hold-out is
-    the first share, calibration the next. Only the cut hashes (two per class) are
-    broadcast; the rows themselves are labelled where they are.
+    the first share, calibration the next. Rows meet only the cut hashes of their class
+    (two values), so labelling needs no order of the rows themselves.
     """
     usable = F.col(y).isNotNull() if eligible is None else F.coalesce(eligible, F.lit(False)) & F.col(y).isNotNull()
     hashed = df.withColumns({"_s": F.when(usable, F.col(y)), "_h": hash_key(key, seed)})
@@ -276,8 +276,8 @@ def stratified_partition(df, y: str, key: str, seed=42, test=0.20, calibration=0
         .when(F.col("_h") <= F.col("cuts")["cal"], "CALIBRATION_HOLDOUT")
         .otherwise("MODELFIT")
     )
-    # One row per class.
-    return hashed.join(F.broadcast(cuts), "_s", "left").withColumn(out, label).select(*df.columns, out)
+    # One row per class; the optimizer broadcasts it by its measured size.
+    return hashed.join(cuts, "_s", "left").withColumn(out, label).select(*df.columns, out)
 
 
 def stratified_kfold(df, y: str, key: str, k=5, seed=42, out="fold") -> DataFrame:

@@ -122,13 +122,15 @@ def review_candidates(spark, sf_dir):
     return J.review_candidates(*_halves(spark, sf_dir), tol=50.0)
 
 
-@query(f"""WITH {MATCHED}
-SELECT a.key AS a_key, count(*) AS partners FROM obs a JOIN obs b ON a.snap = '{EARLY}' AND b.snap = '{LATE}' AND a.cost = b.cost
+@query(f"""WITH {MATCHED},
+moved AS (SELECT cost, state, CASE WHEN row_no % 3 = 0 THEN '1990-01' ELSE approval END AS approval FROM obs WHERE snap = '{LATE}')
+SELECT a.key AS a_key, count(*) AS partners FROM obs a JOIN moved b ON a.snap = '{EARLY}' AND a.cost = b.cost
   AND a.state = b.state AND a.approval <> '' AND b.approval <> '' AND a.approval <> b.approval GROUP BY 1""")
 def approval_conflicts(spark, sf_dir):
     """Same cost and state, other approval month."""
     df = _stored(spark, sf_dir)
-    found = J.review_candidates(_at(df, EARLY), _at(df, LATE))
+    other = F.when(F.col("source_row").cast("int") % 3 == 0, "1990-01").otherwise(F.col("approval_date"))
+    found = J.review_candidates(_at(df, EARLY), _at(df, LATE).withColumn("approval_date", other))
     return found.filter(F.col("trigger") == "SAME_COST_STATE_OTHER_APPROVAL").select("a_key", "partners")
 
 
