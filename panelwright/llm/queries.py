@@ -1,6 +1,6 @@
 """Registered queries of the corpus operators; a query without SQL is tested against brute force."""
 
-from panelwright.llm import decontaminate, language, packing, pii, urls
+from panelwright.llm import decontaminate, language, lm, packing, pii, quality, topk, toxicity, urls
 
 
 def _table(spark, sf_dir, name):
@@ -15,10 +15,22 @@ def op2_pack(spark, sf_dir):
     return packing.packing_digest(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark, sf_dir):
+    return quality.quality_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_language(spark, sf_dir):
     return language.language_digest(_table(spark, sf_dir, "documents"))
 
 
+def op6_lm_score(spark, sf_dir):
+    return lm.lm_digest(_table(spark, sf_dir, "documents"))
+
+
+def op7_topk(spark, sf_dir):
+    return topk.top_k_digest(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_pii(spark, sf_dir):
     return pii.pii_digest(_table(spark, sf_dir, "documents"))
 
@@ -27,5 +39,10 @@ def op9_urls(spark, sf_dir):
     return urls.judge(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pack, op5_language, op8_pii, op9_urls)}
-SQL: dict[str, str] = {}
+def op10_toxicity(spark, sf_dir):
+    return toxicity.toxicity_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pack, op4_quality, op5_language, op6_lm_score, op7_topk, op8_pii, op9_urls,
+                                     op10_toxicity)}
+SQL = {"op7_topk": topk.SQL}
