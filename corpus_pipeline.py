@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from panelwright.llm import decontaminate, language, packing, pii
+from panelwright.llm import decontaminate, jaccard, language, packing, pii
 from panelwright.session import checkpoint_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -23,6 +23,17 @@ def identify_language(spark, docs, sf_dir):
     return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*COLUMNS)
 
 
+def drop_near_duplicates(spark, docs, sf_dir):
+    """The document with the smallest id of each group of near duplicates; ids tell documents apart.
+
+    A document without an id cannot be matched with its group and stays.
+    """
+    groups = jaccard.jaccard_groups(docs)
+    kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    chosen = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return chosen.unionByName(docs.select(*COLUMNS).filter("doc_id is null"))
+
+
 def drop_contaminated(spark, docs, sf_dir):
     """Documents that are not contaminated by benchmark items."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -41,7 +52,8 @@ def pack(spark, docs, sf_dir):
     return packing.pack_documents(docs)
 
 
-STAGES = [("language", identify_language), ("decontamination", drop_contaminated), ("personal_data", mask_personal_data), ("packing", pack)]
+STAGES = [("language", identify_language), ("jaccard_join", drop_near_duplicates), ("decontamination", drop_contaminated),
+          ("personal_data", mask_personal_data), ("packing", pack)]
 #: Fitted models decide in three stages, which SQL cannot express.
 ORACLE_SQL = None
 

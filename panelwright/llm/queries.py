@@ -1,6 +1,6 @@
 """Registered queries of the corpus operators; a query without SQL is tested against brute force."""
 
-from panelwright.llm import decontaminate, language, lm, packing, pii, quality, topk, toxicity, urls
+from panelwright.llm import decontaminate, jaccard, language, lm, packing, pii, quality, topk, toxicity, urls
 
 
 def _table(spark, sf_dir, name):
@@ -15,6 +15,10 @@ def op2_pack(spark, sf_dir):
     return packing.packing_digest(_table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark, sf_dir):
+    return jaccard.jaccard_groups(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark, sf_dir):
     return quality.quality_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -43,6 +47,6 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pack, op4_quality, op5_language, op6_lm_score, op7_topk, op8_pii, op9_urls,
-                                     op10_toxicity)}
-SQL = {"op7_topk": topk.SQL}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pack, op3_jaccard_join, op4_quality, op5_language, op6_lm_score, op7_topk,
+                                     op8_pii, op9_urls, op10_toxicity)}
+SQL = {"op1_decontaminate": decontaminate.SQL, "op7_topk": topk.SQL}
