@@ -130,8 +130,8 @@ class LanguageModel:
 
     def word_marginals(self, data, offsets):
         starts, ends, first = tb.words(data, offsets, LETTERS)
-        if not len(starts):
-            return starts, ends, first, np.zeros((0, len(self.labels)))
+        if not len(starts) or not self.labels:
+            return starts, ends, first, np.zeros((len(starts), len(self.labels)))
         return starts, ends, first, marginals(self.word_scores(data, starts, ends), first, self.transition)
 
     def word_scores(self, data, starts, ends):

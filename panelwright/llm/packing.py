@@ -56,7 +56,7 @@ class Packer:
         demand = np.array([[len(ids), 1.0, len(ids) * rate] for _, _, ids, rate, _ in window])
         score_by = demand / self.limits
         free = np.ones(len(window), bool)
-        taken, rest = [], None
+        taken, rest = [], []
         while room[0] >= 1 and room[1] >= 1 and free.any():
             fits = free & (demand <= room + 1e-9).all(axis=1)
             score = score_by @ (room / self.limits)
@@ -72,15 +72,14 @@ class Packer:
             key, start, ids, rate, total = window[i]
             self.rows.append((key, start, ids[:length], total, self.next, offset))
             if length < len(ids):
-                rest = (key, start + length, ids[length:], rate, total)
+                rest.append((key, start + length, ids[length:], rate, total))
             offset += length
             room -= [length, 1, length * rate]
             free[i] = False
             taken.append(i)
         for i in sorted(taken, reverse=True):
             del self.pool[base + i]
-        if rest is not None:
-            self.pool.append(rest)
+        self.pool += rest
         self.tokens -= offset
         self.next += 1
 

@@ -127,8 +127,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k=K, key="vec_id", vector="emb
             for batch in batches:
                 for at in range(0, batch.num_rows, index_block):
                     part = batch.slice(at, index_block)
-                    for own, x in quantised(part.column(0), pa.ListArray.from_arrays(
-                            part.column(1).offsets, part.column(1).values, mask=part.column(1).is_null()) if part.column(1).null_count else part.column(1)):
+                    for own, x in quantised(part.column(0), part.column(1)):
                         index = ImpactIndex(own, x)
                         for asked_ids, q in shared.value:
                             if q.shape[1] != x.shape[1]:
