@@ -153,7 +153,8 @@ def with_single_features(x: Sparse, y, dense):
 
 def fit_chain(texts, y, folds=FOLDS, l1=1e-5, steps=400) -> Chain:
     """``y``: one 0/1 column per category, in the order of the chain."""
-    y = np.asarray(y, float).reshape(len(texts), -1)
+    y = np.asarray(y, float)
+    y = y[:, None] if y.ndim == 1 else y
     if not len(texts):
         return Chain(np.zeros(0, np.uint64), [(np.zeros(1), np.zeros(c), -3.0) for c in range(y.shape[1])])
     kept = one_of_each(texts)
