@@ -77,11 +77,10 @@ def match_strong(spark, sf_dir):
                       F.round("cost_diff", 6).alias("cost_diff"))
 
 
-# Titles of documents: the first twelve distinct words.
+# Titles of documents: all their words.
 _TITLES = f"""words AS (SELECT doc_id, lang, source, n_chars, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS w FROM documents),
-firsts AS (SELECT *, [x FOR x, i IN w IF list_position(w, x) = i] AS d FROM words),
 titled AS (SELECT doc_id, lang AS state, source AS agency, CAST(n_chars AS DOUBLE) AS cost,
-    {tokens("array_to_string(d[1:12], ' ')")} AS toks FROM firsts),
+    {tokens("array_to_string(w, ' ')")} AS toks FROM words),
 pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, a.cost AS ac, b.cost AS bc, len(list_intersect(a.toks, b.toks)) AS x,
     len(a.toks) + len(b.toks) AS both_len, {state_ok('a.state', 'b.state')} AND {agency_ok('a.agency', 'b.agency')} AS fits
   FROM titled a JOIN titled b ON a.doc_id % 2 = 0 AND b.doc_id % 2 = 1 AND len(a.toks) > 0 AND len(b.toks) > 0)"""
@@ -94,7 +93,7 @@ def title_observations(spark, sf_dir):
         F.col("doc_id").cast("string").alias("source_project_id"), F.col("doc_id").cast("string").alias("canonical_observation_key"),
         F.col("doc_id").cast("string").alias("source_row"), F.col("lang").alias("state"), F.col("source").alias("agency"),
         F.col("n_chars").cast("string").alias("original_cost_crore"), F.lit("").alias("approval_date"),
-        F.array_join(F.slice(F.array_distinct(words), 1, 12), " ").alias("project_name"), F.col("doc_id").alias("_id"))
+        F.array_join(F.array_distinct(words), " ").alias("project_name"), F.col("doc_id").alias("_id"))
 
 
 def _halves(spark, sf_dir):

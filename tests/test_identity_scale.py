@@ -115,3 +115,44 @@ def test_hash_order_is_a_permutation(spark):
     df = spark.range(500).select("id", F.lit("s").alias("s"), Z.hash_key("id", 1).alias("_h"))
     rows = Z.hash_order(df, "s").orderBy("_h").collect()
     assert [r._rn for r in rows] == list(range(1, 501))
+
+
+def _observations(spark, n, cost, title, side):
+    i = F.col("id")
+    return spark.range(n).select(
+        F.concat(F.lit(side), i).alias("source_project_id"), F.concat(F.lit(side), i).alias("canonical_observation_key"),
+        i.cast("string").alias("source_row"), F.lit("Goa").alias("state"), F.lit("PWD").alias("agency"), F.lit("").alias("approval_date"),
+        cost(i).cast("string").alias("original_cost_crore"), F.lit(title).alias("project_name"))
+
+
+def test_one_title_in_all_rows_is_linear(spark):
+    a = _observations(spark, 100_000, lambda i: i + 1, "big dam on river", "a")
+    b = _observations(spark, 100_000, lambda i: i + 1, "big dam on river", "b")
+    found = J.strong_candidates(a, b, tol=1.5)
+    assert found.filter("candidates <> if(a_row in (0, 99999), 2, 3)").count() == 0 and found.count() == 100_000
+    similar = J.review_candidates(a, b, tol=0.25).filter("trigger = 'SIMILAR_TITLE_OTHER_COST'")
+    c, n = F.substring("a_key", 2, 9).cast("long") + 1, 100_000
+    inside = F.least(F.floor(c * 11 / 10), F.lit(n)) - F.ceil(c * 9 / 10) + 1
+    assert similar.filter(F.abs(F.col("partners") - (n - inside)) > 1).count() == 0 and similar.count() == n
+
+
+def test_counts_within_equal_brute_force(spark):
+    rng = random.Random(9)
+    costs = lambda n: [rng.choice([0.0, 8.2, 8.25, 10.05, 10.1]) if rng.random() < 0.5 else round(rng.uniform(0, 20), 2) for _ in range(n)]
+    left, right = costs(80), costs(90)
+    make = lambda side, values: spark.createDataFrame(
+        [(f"{side}{i}", f"{side}{i}", str(i), "Goa", "PWD", "", str(c), "canal of the north") for i, c in enumerate(values)],
+        "source_project_id string, canonical_observation_key string, source_row string, state string, agency string, "
+        "approval_date string, original_cost_crore string, project_name string")
+    a, b = make("a", left), make("b", right)
+    got = {r.a_key: (r.candidates, r.b_key) for r in J.strong_candidates(a, b, tol=0.05).collect()}
+    expected = {}
+    for i, x in enumerate(left):
+        near = [j for j, y in enumerate(right) if abs(x - y) <= 0.05]
+        if near:
+            expected[f"a{i}"] = (len(near), f"b{near[0]}" if len(near) == 1 else None)
+    assert got == expected
+    got = {r.a_key: r.partners for r in J.review_candidates(a, b).filter("trigger = 'SIMILAR_TITLE_OTHER_COST'").collect()}
+    assert got == {f"a{i}": n for i, x in enumerate(left) if (n := sum(abs(x - y) > 0.1 * x for y in right))}
+    none = a.withColumn("original_cost_crore", F.when(F.col("source_row").cast("int") >= 10, F.col("original_cost_crore")))
+    assert J.without_cost(none).first().without_cost == 10
