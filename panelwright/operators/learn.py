@@ -14,6 +14,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.errors import ContractError
 from panelwright.functions.numeric import clip, logit
 from panelwright.operators.cohort import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from panelwright.operators.explain import reference_profile
@@ -121,10 +122,17 @@ def _fit(train: DataFrame, y: str, classifier, numeric, categorical) -> FittedMo
     return FittedModel(pipeline, profile, list(numeric), list(categorical), names)
 
 
+def _rows_to_fit(train: DataFrame) -> int:
+    n = train.count()
+    if not n:
+        raise ContractError("no rows to fit a model on")
+    return n
+
+
 def fit_logistic(train: DataFrame, y: str, numeric=NUMERIC_FEATURES, categorical=CATEGORICAL_FEATURES,
                  c=1.0, max_iter=2000) -> FittedModel:
     """L2 logistic regression on unscaled features with inverse strength ``c``."""
-    n = train.count()
+    n = _rows_to_fit(train)
     lr = LogisticRegression(featuresCol="_features", labelCol="_label", regParam=1.0 / (c * n),
                             elasticNetParam=0.0, standardization=False, maxIter=max_iter)
     return _fit(train, y, lr, numeric, categorical)
@@ -213,7 +221,7 @@ def _weighted(df, y, p):
 
 def fit_platt(df: DataFrame, y: str, p: str, c=1e6) -> Platt:
     rows = _weighted(df, y, p)
-    n = df.filter(F.col(p).isNotNull() & F.col(y).isNotNull()).count()
+    n = _rows_to_fit(df.filter(F.col(p).isNotNull() & F.col(y).isNotNull()))
     vec = VectorAssembler(inputCols=["z"], outputCol="features").transform(rows.withColumn("z", logit("p")))
     m = LogisticRegression(weightCol="w", regParam=1.0 / (c * n), elasticNetParam=0.0,
                            standardization=False, maxIter=2000).fit(vec)
@@ -246,13 +254,16 @@ def calibration_slope(df: DataFrame, y: str, p: str) -> dict:
 
 
 def compare_calibrators(calibration: DataFrame, test: DataFrame, y: str, p: str) -> DataFrame:
-    """Metrics of raw, sigmoid and isotonic probabilities on the same test rows, in one job."""
+    """Metrics, calibration intercept and slope of raw, sigmoid and isotonic probabilities on the same test rows."""
     platt, iso = fit_platt(calibration, y, p), fit_isotonic(calibration, y, p)
     wide = iso.apply(platt.apply(test, p, "_sigmoid"), p, "_isotonic")
     tall = wide.select(F.col(y).alias("y"), F.inline(F.array(*[
         F.struct(F.lit(v).alias("variant"), F.col(c).alias("p"))
         for v, c in (("raw", p), ("sigmoid", "_sigmoid"), ("isotonic", "_isotonic"))])))
-    return metrics(tall, "y", "p", ["variant"])
+    slopes = [(v, *calibration_slope(wide.withColumn("_v", clip(c, 1e-6, 1 - 1e-6)), y, "_v").values())
+              for v, c in (("raw", p), ("sigmoid", "_sigmoid"), ("isotonic", "_isotonic"))]
+    lines = test.sparkSession.createDataFrame(slopes, "variant string, intercept_alpha double, slope_beta double")
+    return metrics(tall, "y", "p", ["variant"]).join(lines, "variant")
 
 
 def compare_feature_sets(df: DataFrame, y: str, partition="partition", sets=None, c=1.0) -> DataFrame:

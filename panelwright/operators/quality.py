@@ -69,7 +69,8 @@ def audit_separation(df: DataFrame, targets=()) -> int:
 
 # Predictors that are never allowed.
 PROHIBITED_PREDICTORS = [
-    "revised_cost_cr_2026", "revised_date_of_commissioning_2026", "future_cost", "future_completion",
+    "future_total_cost_escalation_2026", "cost_overrun_5pct_2026", "future_schedule_slippage_months_2026",
+    "time_overrun_3m_2026", "revised_cost_cr_2026", "revised_date_of_commissioning_2026", "future_cost", "future_completion",
     "future_expenditure", "future_progress", "sector", "feat_sector", "cat_sector",
     "revised_cost_cr_2025", "delay_months_2025",
 ]

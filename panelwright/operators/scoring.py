@@ -7,14 +7,16 @@ from panelwright.operators.scale import beside, competition_rank, exact_quantile
 
 TIER_PROBS = (0.50, 0.75, 0.90)
 
-# Provenance written beside every score.
-PROVENANCE = {
-    "cost_model_name": "RandomForestClassifier(n_estimators=300, random_state=42)",
-    "schedule_model_name": "RandomForestClassifier(n_estimators=300, random_state=42)",
-    "cost_probability_variant": "Raw / Uncalibrated",
-    "schedule_probability_variant": "Raw / Uncalibrated",
-    "scoring_method_version": "1.0.0",
-}
+
+
+def provenance(cost_model: str, schedule_model: str, variant="Raw / Uncalibrated", version="1.0.0") -> dict:
+    """Columns written beside every score; the model names are those of the models used."""
+    return {"cost_model_name": cost_model, "schedule_model_name": schedule_model, "cost_probability_variant": variant,
+            "schedule_probability_variant": variant, "scoring_method_version": version}
+
+
+def forest_name(trees: int, seed: int) -> str:
+    return f"RandomForestClassifier(n_estimators={trees}, random_state={seed})"
 
 
 def combine(df: DataFrame, pc="cost_risk_probability", ps="schedule_risk_probability") -> DataFrame:
@@ -36,10 +38,13 @@ def add_tiers(df: DataFrame, score="attention_score", out="attention_tier") -> D
 
 
 def score_portfolio(df: DataFrame, pc="cost_risk_probability", ps="schedule_risk_probability",
-                    provenance=None) -> DataFrame:
-    """All score columns of a portfolio with the two probabilities attached."""
+                    made_by=None) -> DataFrame:
+    """All score columns of a portfolio with the two probabilities attached.
+
+    ``made_by`` is the provenance of the probabilities; without it the names are unknown.
+    """
     scored = competition_rank(add_tiers(combine(df, pc, ps)), "attention_score", "portfolio_rank")
-    return scored.withColumns({k: F.lit(v) for k, v in (provenance or PROVENANCE).items()})
+    return scored.withColumns({k: F.lit(v) for k, v in (made_by or provenance("unknown", "unknown")).items()})
 
 
 def in_rank_order(df: DataFrame, key="canonical_project_key") -> DataFrame:

@@ -6,7 +6,7 @@ same table can share one pass; see :func:`one_pass`.
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.functions.numeric import number
@@ -14,7 +14,8 @@ from panelwright.functions.periods import is_month_slash_year
 from panelwright.operators.scale import beside
 
 # Fields a snapshot row must not miss.
-CRITICAL_FIELDS = ["project_id", "project_name", "state", "agency", "original_cost_crore"]
+CRITICAL_FIELDS = ["project_id", "project_name", "state", "original_cost_crore", "revised_cost_crore",
+                   "cumulative_expenditure_crore", "physical_progress_pct"]
 DASHES = ["(-)", "-"]
 NA_TOKENS = ["NA", "N.A.", "-", "(-)"]
 
@@ -56,16 +57,13 @@ def id_checks(df: DataFrame, project_id="project_id", serial="sl_no") -> DataFra
         F.coalesce(F.sum("text"), F.lit(0)).alias("non_numeric_ids"))
 
 
-def missing_fields(df: DataFrame, fields=CRITICAL_FIELDS, serial="sl_no", show=20) -> DataFrame:
-    """Blank count per field with the first ``show`` serials (a report column; counts are whole)."""
-    tall = df.select(F.col(serial).cast("long").alias("s"), F.explode(F.filter(
+def missing_fields(df: DataFrame, fields=CRITICAL_FIELDS, serial="sl_no") -> DataFrame:
+    """(field, serial, missing): every serial with a blank field, beside the field's blank count."""
+    tall = df.select(F.col(serial).cast("long").alias("serial"), F.explode(F.filter(
         F.array(*[F.when(_blank(f), F.lit(f)) for f in fields]), lambda x: x.isNotNull())).alias("field"))
-    counts = tall.groupBy("field").agg(F.count("*").alias("missing"))
-    # The rank limit is applied before the shuffle, so a field blank in every row is cheap.
-    w = Window.partitionBy("field").orderBy("s")
-    first = (tall.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= show)
-             .groupBy("field").agg(F.sort_array(F.collect_list("s")).alias("serials")))
-    return counts.join(first, "field")
+    counts = df.agg(F.map_from_arrays(
+        F.array(*[F.lit(f) for f in fields]), F.array(*[F.count_if(_blank(f)) for f in fields])).alias("_counts"))
+    return beside(tall, counts).select("field", "serial", F.col("_counts")[F.col("field")].alias("missing"))
 
 
 def cross_field_anomalies(df: DataFrame) -> DataFrame:

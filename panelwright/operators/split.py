@@ -1,7 +1,7 @@
 """Temporal splits with embargo, rolling folds, and exact stratified hold-outs.
 
 A temporal split is a range test on the period, decided from the list of distinct
-periods (months; the only thing collected, and checked to be small). Rows never move.
+periods (months, checked by their layout; the only thing collected). Rows never move.
 """
 
 from math import floor
@@ -11,11 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelwright.errors import LeakageError, SplitError
-from panelwright.functions.periods import month_distance
+from panelwright.functions.periods import PERIOD_PATTERN, month_distance
 from panelwright.operators.scale import hash_cuts, hash_key, hash_order
 
-MAX_PERIODS = 100_000  # more distinct values than this is not a period column
-
 
 def _period_column(df: DataFrame, time: str):
     if time not in df.columns:
@@ -27,14 +25,18 @@ def _period_column(df: DataFrame, time: str):
 
 def distinct_periods(df: DataFrame, time="reporting_period") -> list:
     """Sorted distinct periods; raises on an empty panel or a NULL period."""
-    rows = df.select(_period_column(df, time).alias("p")).distinct().limit(MAX_PERIODS + 1).collect()
-    if not rows:
+    month = F.col("p").rlike(PERIOD_PATTERN)
+    # Months of four-digit years bound the list, whatever the table holds.
+    found = df.select(_period_column(df, time).alias("p")).distinct().agg(
+        F.count("*").alias("n"), F.count_if(F.col("p").isNull()).alias("nulls"), F.min(F.when(~month, F.col("p"))).alias("other"),
+        F.sort_array(F.collect_list(F.when(month, F.col("p")))).alias("periods")).first()
+    if not found.n:
         raise SplitError("input is empty")
-    if any(r.p is None for r in rows):
+    if found.nulls:
         raise SplitError(f"time column '{time}' contains nulls")
-    if len(rows) > MAX_PERIODS:
-        raise SplitError(f"'{time}' holds more than {MAX_PERIODS} distinct values")
-    return sorted(r.p for r in rows)
+    if found.other is not None:
+        raise SplitError(f"'{time}' holds '{found.other}', which is no month")
+    return found.periods
 
 
 def _check_embargo(embargo):

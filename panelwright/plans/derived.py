@@ -238,7 +238,8 @@ def closed_form(task):
 
 def risk_portfolio(spark, sf_dir):
     """The scored, explained and routed cohort with closed-form scorers."""
+    from panelwright.operators.scoring import provenance
     from panelwright.plans.portfolio import from_scorers
 
     return from_scorers(cohort(spark, sf_dir), closed_form("cost"), closed_form("schedule"),
-                        cutoff_label="July 2025", deltas_digits=6)
+                        cutoff_label="July 2025", deltas_digits=6, made_by=provenance("closed form: cost", "closed form: schedule"))

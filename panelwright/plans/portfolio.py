@@ -33,7 +33,7 @@ class Portfolio:
 
 
 def from_scorers(cohort: DataFrame, cost_scorer, schedule_scorer, eligible="is_eligible_schedule_target",
-                 cutoff_label="the cutoff", source_label="source", materialize=True, deltas_digits=None) -> Portfolio:
+                 cutoff_label="the cutoff", source_label="source", materialize=True, deltas_digits=None, made_by=None) -> Portfolio:
     """Score, explain and route with any two scorers (``DataFrame -> DataFrame + probability``).
 
     The scored table is used by every later stage, so it is written once to the shared
@@ -47,7 +47,7 @@ def from_scorers(cohort: DataFrame, cost_scorer, schedule_scorer, eligible="is_e
     lead = both.withColumns({"state": F.col("feat_state"), "agency": F.col("feat_agency")})
     if materialize:
         lead = cut_lineage(lead)
-    scores = S.score_portfolio(lead)
+    scores = S.score_portfolio(lead, made_by=made_by)
     if materialize:
         scores = cut_lineage(scores)
     reference = X.reference_profile(cohort)
@@ -88,4 +88,5 @@ def attach_partitions(scores: DataFrame, partitions: DataFrame) -> DataFrame:
 def build(cohort: DataFrame, cost_target, schedule_target, seed=42, trees=300, depth=30, **labels) -> Portfolio:
     """The whole chain with trained forests; each model is fitted once and reused."""
     cost, schedule, _ = train(cohort, cost_target, schedule_target, seed=seed, trees=trees, depth=depth)
-    return from_scorers(cohort, cost.score, schedule.score, **labels)
+    name = S.forest_name(trees, seed)
+    return from_scorers(cohort, cost.score, schedule.score, made_by=S.provenance(name, name), **labels)

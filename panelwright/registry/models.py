@@ -74,9 +74,18 @@ def standard_scaling(spark, sf_dir):
 # --- fitted models -----------------------------------------------------------------------------
 
 
-def _partitioned(spark, sf_dir, target="cost_overrun"):
-    df = D.cohort(spark, sf_dir).withColumn("y", F.col(target))
-    return cut_lineage(K.stratified_partition(df, "y", KEY))
+#: Task, its target, and the rows that take part.
+TASKS = {"cost": ("cost_overrun", F.lit(True)), "schedule": ("time_overrun", F.col("is_eligible_schedule_target") == 1)}
+
+
+def _per_task(spark, sf_dir, table):
+    """``table(rows)`` of both tasks on their own partitions, with the task's name."""
+    cohort, out = D.cohort(spark, sf_dir), None
+    for task, (target, eligible) in TASKS.items():
+        rows = cohort.filter(eligible).withColumn("y", F.col(target))
+        one = table(cut_lineage(K.stratified_partition(rows, "y", KEY))).withColumn("task", F.lit(task))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _part(df, name):
@@ -85,10 +94,8 @@ def _part(df, name):
 
 @query()
 def logistic_scores(spark, sf_dir):
-    """M6: logistic probabilities of every row."""
-    df = _partitioned(spark, sf_dir)
-    model = M.fit_logistic(_part(df, "MODELFIT"), "y")
-    return model.score(df, "p").select(KEY, "partition", "y", "p")
+    """M6: logistic probabilities of every row, both tasks."""
+    return _per_task(spark, sf_dir, lambda df: M.fit_logistic(_part(df, "MODELFIT"), "y").score(df, "p").select(KEY, "partition", "y", "p"))
 
 
 @query()
@@ -107,34 +114,45 @@ def _as_scores(df):
 
 @query()
 def feature_set_experiment(spark, sf_dir):
-    """Basic and enhanced predictors on one split, with deltas."""
-    return M.feature_set_deltas(M.compare_feature_sets(_partitioned(spark, sf_dir), "y"))
+    """Basic and enhanced predictors on one split, with deltas, both tasks."""
+    return _per_task(spark, sf_dir, lambda df: M.feature_set_deltas(M.compare_feature_sets(df, "y")))
 
 
 @query()
 def logistic_coefficients(spark, sf_dir):
-    """Coefficients by name, extreme levels marked."""
-    model = M.fit_logistic(_part(_partitioned(spark, sf_dir), "MODELFIT"), "y")
-    coefs = M.coefficients(model, spark)
-    return coefs.join(M.extreme_levels(coefs).select("feature", "side").distinct(), "feature", "left")
+    """Coefficients by name, extreme levels marked, both tasks."""
+    def table(df):
+        coefs = M.coefficients(M.fit_logistic(_part(df, "MODELFIT"), "y"), spark)
+        return coefs.join(M.extreme_levels(coefs).select("feature", "side").distinct(), "feature", "left")
+
+    return _per_task(spark, sf_dir, table)
 
 
 @query()
 def forest_importances(spark, sf_dir):
-    """Raw top importances with their share, and parent sums."""
-    df = M.in_fit_order(_part(_partitioned(spark, sf_dir), "MODELFIT"), KEY)
-    table = M.importances(M.fit_forest(df, "y", trees=100), spark)
-    top = M.cumulative_importance(table).join(
-        M.parent_importance(table).withColumnRenamed("importance", "parent_importance"), "parent")
-    return top.select("feature", "parent", "importance", "cumulative_share", "parent_importance")
+    """Raw top importances with their share, and parent sums, both tasks."""
+    def table(df):
+        own = M.importances(M.fit_forest(M.in_fit_order(_part(df, "MODELFIT"), KEY), "y"), spark)
+        top = M.cumulative_importance(own).join(
+            M.parent_importance(own).withColumnRenamed("importance", "parent_importance"), "parent")
+        return top.select("feature", "parent", "importance", "cumulative_share", "parent_importance")
+
+    return _per_task(spark, sf_dir, table)
 
 
 @query()
 def calibrated_comparison(spark, sf_dir):
-    """Raw, sigmoid and isotonic probabilities compared."""
-    df = _partitioned(spark, sf_dir)
-    scored = cut_lineage(M.fit_logistic(_part(df, "MODELFIT"), "y").score(df, "p"))
-    return M.compare_calibrators(_part(scored, "CALIBRATION_HOLDOUT"), _part(scored, "TEST_HOLDOUT"), "y", "p")
+    """Raw, sigmoid and isotonic probabilities of both models and tasks compared."""
+    def table(df):
+        out, fit = None, M.in_fit_order(_part(df, "MODELFIT"), KEY)
+        for name, model in (("logistic", M.fit_logistic(fit, "y")), ("forest", M.fit_forest(fit, "y"))):
+            scored = cut_lineage(model.score(df, "p"))
+            one = M.compare_calibrators(_part(scored, "CALIBRATION_HOLDOUT"), _part(scored, "TEST_HOLDOUT"), "y", "p")
+            one = one.withColumn("model", F.lit(name))
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    return _per_task(spark, sf_dir, table)
 
 
 @query()
@@ -149,5 +167,5 @@ def calibration_slopes(spark, sf_dir):
 @query()
 def forest_portfolio(spark, sf_dir):
     """W3 with trained forests: score, explain, route."""
-    done = W.build(D.cohort(spark, sf_dir), "cost_overrun", "time_overrun", trees=100, depth=12)
+    done = W.build(D.cohort(spark, sf_dir), "cost_overrun", "time_overrun")
     return done.interventions

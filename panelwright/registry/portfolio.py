@@ -17,16 +17,18 @@ KEY = "canonical_project_key"
 SCORES = ["cost_risk_probability", "schedule_risk_probability", "risk_coverage", "attention_score",
           "compound_exposure", "attention_tier", "portfolio_rank"]
 
+_MADE_BY = S.provenance("hash of length", "hash of id")
+
 
 def _scores(spark, sf_dir):
-    return S.score_portfolio(D.portfolio(spark, sf_dir))
+    return S.score_portfolio(D.portfolio(spark, sf_dir), made_by=_MADE_BY)
 
 
 @query(f"WITH {PORTFOLIO}, {SCORED} SELECT {KEY}, {', '.join(SCORES)}, "
-       + ", ".join(f"'{v}' AS {k}" for k, v in S.PROVENANCE.items()) + " FROM scores")
+       + ", ".join(f"'{v}' AS {k}" for k, v in _MADE_BY.items()) + " FROM scores")
 def score_portfolio(spark, sf_dir):
     """Coverage, attention, exposure, tier, rank, provenance."""
-    return S.in_rank_order(_scores(spark, sf_dir)).select(KEY, *SCORES, *S.PROVENANCE)
+    return S.in_rank_order(_scores(spark, sf_dir)).select(KEY, *SCORES, *_MADE_BY)
 
 
 @query(f"WITH {PORTFOLIO} SELECT lang, round(quantile_cont(cost_risk_probability, 0.5), 9) AS q50, "
@@ -248,10 +250,11 @@ def intervention_distributions(spark, sf_dir):
 
 
 @query("WITH words(word) AS (VALUES " + ", ".join(f"('{w}')" for w in N.FORBIDDEN_WORDS) + f"), {COHORT}, {_ROUTES} "
-       "SELECT 'priority_reason' AS column_name, word, count(*) FILTER (contains(lower(priority_reason), word)) AS row_count FROM routed, words GROUP BY word")
+       "SELECT 'priority_reason' AS column_name, word, count(*) FILTER (contains(lower(priority_reason), word)) AS row_count FROM routed, words GROUP BY word "
+       f"UNION ALL SELECT 'governance_note', word, count(*) FILTER (contains(lower('{N.GOVERNANCE_NOTE}'), word)) FROM routed, words GROUP BY word")
 def forbidden_language(spark, sf_dir):
     """Forbidden wording in the advice."""
-    return N.forbidden_language(D.risk_portfolio(spark, sf_dir).interventions, ["priority_reason"])
+    return N.forbidden_language(D.risk_portfolio(spark, sf_dir).interventions)
 
 
 # --- serving ------------------------------------------------------------------------------------

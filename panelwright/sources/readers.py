@@ -36,11 +36,20 @@ def read_panel(spark: SparkSession, path, columns=None) -> DataFrame:
 
 
 def read_titled_csv(spark: SparkSession, path, title="Projects Details") -> DataFrame:
-    """CSV that may carry a two-line title above its header (one record per line)."""
+    """CSV whose files may carry a two-line title above the header (one record per line).
+
+    The first three lines of each file go by their position; any later line is data, also
+    one that repeats the header. A row that is wider or narrower than the header fails.
+    """
     head = [r.value for r in spark.read.text(path).head(3)]
-    if not head or title not in head[0]:
+    if len(head) < 3 or title not in head[0]:
         return read_panel(spark, path)
     names = next(csv.reader([head[2]]))
-    lines = spark.read.text(path).filter(~F.col("value").isin(head))
-    parsed = lines.select(F.from_csv("value", ", ".join(f"`c{i}` string" for i in range(len(names)))).alias("r"))
+    # Ids rise within a task in line order, so a file's first block tells its first lines.
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"))
+    first = lines.filter("_block = 0").groupBy("_file").agg(F.min("_line").alias("_first"))
+    body = lines.join(first, "_file").filter("(_block > 0 or _line >= _first + 3) and trim(value) <> ''")
+    parsed = body.select(F.from_csv("value", ", ".join(f"`c{i}` string" for i in range(len(names))), {"mode": "FAILFAST"}).alias("r"))
     return tokens_to_null(parsed.select("r.*").toDF(*names))

@@ -139,6 +139,27 @@ def test_readers(spark, tmp_path):
     assert R.read_titled_csv(spark, str(plain)).count() == 2
 
 
+def test_titled_csv_drops_lines_by_position_and_fails_on_ragged_rows(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    (folder / "a.csv").write_text('Projects Details\nas of May\nid,name\nid,name\n1,"x, y"\n')
+    (folder / "b.csv").write_text('Projects Details\nas of June\nid,name\nas of May,z\n')
+    rows = sorted(tuple(r) for r in R.read_titled_csv(spark, str(folder)).collect())
+    assert rows == [("1", "x, y"), ("as of May", "z"), ("id", "name")]
+    for ragged in ("4,5,6", "3"):
+        bad = tmp_path / f"{len(ragged)}.csv"
+        bad.write_text(f"Projects Details\nas of May\nid,name\n1,2\n{ragged}\n")
+        with pytest.raises(Exception, match="(?i)malformed"):
+            R.read_titled_csv(spark, str(bad)).collect()
+
+
+def test_missing_fields_lists_every_serial(spark):
+    df = spark.createDataFrame([(str(i), "" if i % 2 else "x", None) for i in range(100)], "sl_no string, state string, agency string")
+    rows = S.missing_fields(df, ["state", "agency"]).collect()
+    assert sorted(r.serial for r in rows if r.field == "state") == list(range(1, 100, 2))
+    assert len(rows) == 150 and {(r.field, r.missing) for r in rows} == {("state", 50), ("agency", 100)}
+
+
 def test_nan_rule(spark):
     df = spark.createDataFrame([(float("nan"), "nan"), (1.0, "a")], "x double, s string")
     assert R.tokens_to_null(df).filter("x is null and s is null").count() == 1
