@@ -98,6 +98,39 @@ def logistic_scores(spark, sf_dir):
     return _per_task(spark, sf_dir, lambda df: M.fit_logistic(_part(df, "MODELFIT"), "y").score(df, "p").select(KEY, "partition", "y", "p"))
 
 
+# Fits keep totals: with a free intercept a logistic fit's probabilities sum to its events, and
+# pooling adjacent violators keeps the weighted mean.
+_TOTALS = f"""WITH {COHORT}, rows_ AS (
+  SELECT 'cost' AS task, cost_overrun AS y FROM cohort
+  UNION ALL SELECT 'schedule', time_overrun FROM cohort WHERE is_eligible_schedule_target = 1)
+SELECT task, model, count(*) AS row_count, CAST(sum(y) AS DOUBLE) AS events
+FROM rows_ CROSS JOIN (VALUES ('logistic'), ('sigmoid'), ('isotonic')) m(model) GROUP BY ALL"""
+
+
+@query(_TOTALS)
+def fitted_totals(spark, sf_dir):
+    """Expected events of logistic, sigmoid and isotonic fits on their own rows."""
+    out = None
+    for task, (target, eligible) in TASKS.items():
+        rows = D.cohort(spark, sf_dir).filter(eligible).withColumn("y", F.col(target))
+        scored = cut_lineage(M.fit_logistic(rows, "y").score(rows, "logistic").select("y", "logistic"))
+        wide = M.fit_platt(scored, "y", "logistic").apply(scored, "logistic", "sigmoid")
+        wide = M.fit_isotonic(scored, "y", "logistic").apply(wide, "logistic", "isotonic")
+        tall = wide.select(F.inline(F.array(*[
+            F.struct(F.lit(m).alias("model"), F.col(m).alias("p")) for m in ("logistic", "sigmoid", "isotonic")])))
+        one = tall.groupBy("model").agg(F.count("*").alias("row_count"), F.round(F.sum("p"), 1).alias("events")).withColumn("task", F.lit(task))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"WITH {COHORT} SELECT {KEY}, TRUE AS has_cost, is_eligible_schedule_target = 1 AS has_schedule, TRUE AS in_range FROM cohort")
+def forest_score_coverage(spark, sf_dir):
+    """M7, M8: which rows get which forest probability, all within 0 and 1."""
+    c, s = F.col("cost_risk_probability"), F.col("schedule_risk_probability")
+    return forest_scores(spark, sf_dir).select(KEY, c.isNotNull().alias("has_cost"), s.isNotNull().alias("has_schedule"), (
+        c.between(0, 1) & F.coalesce(s, F.lit(0)).between(0, 1)).alias("in_range"))
+
+
 @query()
 def forest_scores(spark, sf_dir):
     """M7, M8: 300-tree forests for both tasks, schedule only where eligible."""

@@ -1,12 +1,16 @@
 """Queries that check snapshot tables, and table writers' building blocks."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from panelwright.functions.numeric import number
 from panelwright.operators import snapshots as V
+from panelwright.operators.quality import ISSUE_SCHEMA
 from panelwright.plans import derived as D
 from panelwright.registry import query
 from panelwright.registry.sql import CANONICAL, RAW
+from panelwright.session import checkpoint_dir
 from panelwright.sources import sinks
 
 # The three raw layouts under their shared columns, with planted gaps and clashes.
@@ -247,3 +251,33 @@ def manifest_replace(spark, sf_dir):
         "reporting_period", "source_type", F.lit("w").alias("source_url"), F.lit("ACQUIRED").alias("download_status"),
         F.lit("x").alias("notes"))
     return sinks.replace_rows(m.filter(F.col("reporting_period") < "1998-01"), fresh, ["reporting_period", "source_type"])
+
+
+# --- publishing -------------------------------------------------------------------------------------
+
+
+def _shelf(spark):
+    return f"{checkpoint_dir(spark)}/published/{uuid.uuid4().hex}"
+
+
+@query(f"""WITH {_MANIFEST} SELECT reporting_period, source_type, CASE WHEN n % 3 = 0 THEN 'u' || n ELSE '' END AS source_url,
+  'NEW' AS download_status, CAST(n AS VARCHAR) AS notes FROM m""")
+def promoted_table(spark, sf_dir):
+    """IO8: a table written, verified, published twice (once from itself) and read back."""
+    path, clean = _shelf(spark), spark.createDataFrame([], ISSUE_SCHEMA)
+    first = sinks.promote(_manifest(spark, sf_dir), clean, path)
+    sinks.promote(first, clean, path)
+    return spark.read.parquet(sinks.published(spark, path))
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS canonical_project_key, count(*) AS orders, c_name AS project_name "
+       "FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL")
+def seeded_tables(spark, sf_dir):
+    """IO6: parent and child loaded as one version and read back."""
+    key = lambda c: F.col(c).cast("string").alias("canonical_project_key")
+    orders = D.table(spark, sf_dir, "orders").groupBy(key("o_custkey")).agg(F.count("*").alias("orders"))
+    projects = D.table(spark, sf_dir, "customer").select(key("c_custkey"), F.col("c_name").alias("project_name"))
+    path = _shelf(spark)
+    sinks.seed_tables({"projects": projects, "orders": orders}, path, "v1")
+    stored = sinks.open_tables(spark, path, ["projects", "orders"])
+    return stored["orders"].join(stored["projects"], "canonical_project_key")

@@ -1,6 +1,7 @@
 """Writers: idempotent, verified before publishing, and free of driver data."""
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,21 +55,51 @@ def replace_rows(df: DataFrame, updates: DataFrame, keys) -> DataFrame:
     return df.join(updates.select(*keys), list(keys), "left_anti").unionByName(updates)
 
 
-def promote(df: DataFrame, issues: DataFrame, path, partition_by=()) -> DataFrame:
+def _publish(spark, path, folder):
+    """Add a pointer to ``folder``; the newest pointer counts, so readers always find one."""
+    newest = _pointers(spark, path)
+    number = newest[0].number + 1 if newest else 1
+    spark.createDataFrame([(number, folder)], _POINTER).coalesce(1).write.mode("append").json(f"{path}/_published")
+
+
+_POINTER = "number bigint, folder string"
+
+
+def _pointers(spark, path) -> list:
+    """The newest pointer, or nothing if none was published yet."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_published")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return []
+    return spark.read.schema(_POINTER).json(f"{path}/_published").orderBy(F.desc("number"), F.desc("folder")).limit(1).collect()
+
+
+def published(spark, path) -> str:
+    """Folder of the published version."""
+    newest = _pointers(spark, path)
+    if not newest:
+        raise ContractError(f"nothing is published below {path}")
+    return f"{path}/{newest[0].folder}"
+
+
+def promote(df: DataFrame, issues: DataFrame, path, version="v", partition_by=()) -> DataFrame:
     """Publish a table only if its issue table has no hard failure; returns what was written.
 
-    The written copy is fingerprinted against the source before it is handed out.
+    The table goes to a new folder, is compared with its source there, and only then does
+    the pointer move: a failure leaves the published version as it was, and the table may
+    be read from that version. :func:`published` gives readers the folder.
     """
     require_clean(issues)
-    write(df, path, partition_by)
-    written = df.sparkSession.read.parquet(path).select(*df.columns)
+    folder = f"{version}-{uuid.uuid4().hex}"
+    write(df, f"{path}/{folder}", partition_by)
+    written = df.sparkSession.read.parquet(f"{path}/{folder}").select(*df.columns)
     if not same_content(df, written).first().same:
-        raise ContractError(f"written table differs from its source: {path}")
+        raise ContractError(f"written table differs from its source: {path}/{folder}")
+    _publish(df.sparkSession, path, folder)
     return written
 
 
 def seed_tables(tables: dict, path, version: str, key="canonical_project_key", parent=None) -> str:
-    """Load related tables parent first into ``version`` and publish by moving a pointer.
+    """Load related tables parent first into a new folder of ``version`` and move the pointer.
 
     ``tables`` is ordered, the first one is the parent unless named. Every child key must
     exist in the parent and every written table must match its source, else nothing is
@@ -77,7 +108,8 @@ def seed_tables(tables: dict, path, version: str, key="canonical_project_key", p
     names = list(tables)
     parent = parent or names[0]
     spark = tables[parent].sparkSession
-    base = f"{path}/{version}"
+    folder = f"{version}-{uuid.uuid4().hex}"
+    base = f"{path}/{folder}"
     for name in [parent, *[n for n in names if n != parent]]:
         write(tables[name], f"{base}/{name}")
     written = {n: spark.read.parquet(f"{base}/{n}") for n in names}
@@ -86,12 +118,11 @@ def seed_tables(tables: dict, path, version: str, key="canonical_project_key", p
             raise ContractError(f"{name} holds keys without a row in {parent}")
         if fingerprint(written[name], tables[name].columns).first() != fingerprint(tables[name]).first():
             raise ContractError(f"{name} differs from its source")
-    pointer = spark.createDataFrame([(version,)], "version string")
-    pointer.coalesce(1).write.mode("overwrite").json(f"{path}/_current")
+    _publish(spark, path, folder)
     return base
 
 
 def open_tables(spark, path, names) -> dict:
     """The tables of the published version."""
-    version = spark.read.schema("version string").json(f"{path}/_current").first().version
-    return {n: spark.read.parquet(f"{path}/{version}/{n}") for n in names}
+    base = published(spark, path)
+    return {n: spark.read.parquet(f"{base}/{n}") for n in names}

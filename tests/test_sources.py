@@ -173,6 +173,14 @@ def test_promotion_gate(spark, tmp_path):
     with pytest.raises(ContractError):
         sinks.promote(df, dirty, str(tmp_path / "u"))
     assert not (tmp_path / "u").exists()
+    # A later version may be made from the published one; a failed one changes nothing.
+    current = spark.read.parquet(sinks.published(spark, str(tmp_path / "t")))
+    sinks.promote(current.filter("k = 1"), clean, str(tmp_path / "t"))
+    with pytest.raises(ContractError):
+        sinks.promote(df, dirty, str(tmp_path / "t"))
+    assert spark.read.parquet(sinks.published(spark, str(tmp_path / "t"))).count() == 1
+    with pytest.raises(ContractError):
+        sinks.published(spark, str(tmp_path / "u"))
 
 
 def test_seeding_publishes_only_whole_versions(spark, tmp_path):
