@@ -165,7 +165,7 @@ def record_hash(columns) -> Column:
 
 
 def source_fact(feature, value, cutoff_label="the cutoff", source_label="source") -> Column:
-    """One sentence on an observed feature value; ``value`` is text."""
+    """One sentence on an observed feature value; ``value`` is text. The sentences are fixed values."""
     f, v = col(feature), col(value)
     x = v.try_cast("double")
     number = lambda template: F.format_string(template, x)

@@ -13,6 +13,7 @@ from panelwright.functions.text import source_fact
 from panelwright.operators.cohort import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from panelwright.operators.scale import beside, exact_quantiles
 
+# Output texts.
 METHOD = "Local Marginal Reference Perturbation"
 DISCLAIMER = "Statistical association in evaluated data; not a causal driver."
 UNOBSERVED_FACT = ("Schedule outcome unobserved / unrevised in source reports; "

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Output text.
 GOVERNANCE_NOTE = ("Monitoring recommendation derived from historical statistical associations in source reports; "
                    "not an autonomous administrative decision or causal estimate.")
 # Tier to priority.
@@ -54,7 +55,7 @@ def data_quality_flag():
 
 
 def routing(cutoff_label="the cutoff"):
-    """The decision table, first match wins, as one struct column."""
+    """The decision table, first match wins, as one struct column; its texts and codes are fixed values."""
     full = F.col("risk_coverage") == "FULL"
     partial = F.col("risk_coverage") == "PARTIAL"
     pc, ps = F.col("cost_risk_probability"), F.col("schedule_risk_probability")
