@@ -123,7 +123,14 @@ def competition_rank(df: DataFrame, value: str, out: str, by=(), descending=True
 
 # --- exact splits in hash order -------------------------------------------------------
 
-HASH_DIGITS = 3
+#: Rows that share a hash prefix, about; the prefix gets longer as the table grows.
+PREFIX_ROWS = 1 << 20
+
+
+def _prefix(df: DataFrame, hashed: str) -> Column:
+    """The leading hash digits that cut ``df`` into parts of about ``PREFIX_ROWS`` rows."""
+    digits = df.agg(F.greatest(F.lit(1), F.ceil(F.log(16.0, F.count("*") / F.lit(PREFIX_ROWS))).cast("int"))).scalar()
+    return F.substr(F.col(hashed), F.lit(1), digits)
 
 
 def hash_key(key, seed) -> Column:
@@ -135,11 +142,10 @@ def hash_cuts(df: DataFrame, stratum: str, sizes: DataFrame, hashed="_h") -> Dat
     """The hash value at given ranks within each stratum.
 
     ``sizes`` holds (stratum, ``cut``, ``rank``), a few rows per stratum. Counts by hash
-    prefix locate the one prefix holding each rank; only rows with that prefix (1 in 4096)
-    are sorted. Output: one row per stratum with ``cuts``, a map from cut to hash; a rank
+    prefix locate the one prefix holding each rank; only rows with that prefix are sorted. Output: one row per stratum with ``cuts``, a map from cut to hash; a rank
     of 0 has no entry.
     """
-    prefix = F.substring(hashed, 1, HASH_DIGITS)
+    prefix = _prefix(df, hashed)
     counts = df.groupBy(F.col(stratum), prefix.alias("_p")).agg(F.count("*").alias("_c"))
     run = Window.partitionBy(stratum).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
     located = counts.withColumn("_upto", F.sum("_c").over(run))
@@ -158,7 +164,7 @@ def hash_cuts(df: DataFrame, stratum: str, sizes: DataFrame, hashed="_h") -> Dat
 
 def hash_order(df: DataFrame, stratum: str, hashed="_h", out="_rn") -> DataFrame:
     """Exact 1-based position of every row in hash order within its stratum."""
-    prefix = F.substring(hashed, 1, HASH_DIGITS)
+    prefix = _prefix(df, hashed)
     cut = df.withColumn("_p", prefix)
     counts = cut.groupBy(stratum, "_p").agg(F.count("*").alias("_c"))
     earlier = Window.partitionBy(stratum).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from panelwright.errors import LeakageError, SplitError
 from panelwright.functions.periods import PERIOD_PATTERN, month_distance
-from panelwright.operators.scale import hash_cuts, hash_key, hash_order
+from panelwright.operators.scale import beside, hash_cuts, hash_key, hash_order
 
 
 def _period_column(df: DataFrame, time: str):
@@ -278,8 +278,9 @@ def stratified_partition(df, y: str, key: str, seed=42, test=0.20, calibration=0
         .when(F.col("_h") <= F.col("cuts")["cal"], "CALIBRATION_HOLDOUT")
         .otherwise("MODELFIT")
     )
-    # One row per class; the optimizer broadcasts it by its measured size.
-    return hashed.join(cuts, "_s", "left").withColumn(out, label).select(*df.columns, out)
+    # One row per class becomes one map, so no row is shuffled on its class.
+    table = cuts.agg(F.map_from_entries(F.collect_list(F.struct("_s", "cuts"))).alias("_table"))
+    return beside(hashed, table).withColumn("cuts", F.col("_table")[F.col("_s")]).withColumn(out, label).select(*df.columns, out)
 
 
 def stratified_kfold(df, y: str, key: str, k=5, seed=42, out="fold") -> DataFrame:

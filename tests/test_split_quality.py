@@ -61,6 +61,13 @@ def test_split_errors(panel):
         K.require_split(leaky)
 
 
+def test_partition_shuffles_no_row_on_its_class(spark):
+    df = spark.range(1000).select(F.col("id"), (F.col("id") % 3 == 0).cast("int").alias("y"), F.lit("x").alias("wide"))
+    plan = K.stratified_partition(df, "y", "id")._jdf.queryExecution().optimizedPlan().toString()
+    main = plan.split("scalar-subquery")[0]
+    assert "Join" not in main and "wide" in main
+
+
 def test_partition_sizes_match_the_stratified_rule(spark):
     df = spark.range(437).withColumn("y", (F.col("id") < 132).cast("int"))
     got = _counts(K.stratified_partition(df, "y", "id"), "partition", "y")
