@@ -23,9 +23,11 @@ class Longitudinal:
     metadata: dict = field(default_factory=dict)
 
     def save(self, path) -> dict:
-        tables = {"annotated": self.annotated, "model_a": self.model_a, "model_b": self.model_b,
-                  "targets": self.targets}
-        return save_artifacts(tables, self.metadata, path)
+        """Write the annotated table once; the other tables are columns of what was written."""
+        paths = save_artifacts({"annotated": self.annotated}, self.metadata, path)
+        stored = self.annotated.sparkSession.read.parquet(paths["annotated"])
+        rest = {"model_a": self.model_a, "model_b": self.model_b, "targets": self.targets}
+        return paths | save_artifacts({name: stored.select(*df.columns) for name, df in rest.items()}, self.metadata, path)
 
 
 def build(df: DataFrame, horizons=(1, 3, 6, 12), cost_threshold=0.05, schedule_threshold=0.0,
