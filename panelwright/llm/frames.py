@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.session import cut_lineage
+from panelwright.session import cut_lineage, discard
 
 
 def remainder(key, modulus):
@@ -55,4 +55,4 @@ def labelled_sample(rows: DataFrame, key: str, bound: int) -> DataFrame:
     return rows.filter(order <= F.lit(last)) if last is not None else rows.limit(0)
 
 
-__all__ = ["cut_lineage", "labelled_sample", "per_row", "remainder"]
+__all__ = ["cut_lineage", "discard", "labelled_sample", "per_row", "remainder"]

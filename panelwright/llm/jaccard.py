@@ -8,7 +8,8 @@ prefix trees: candidates of one probe are stored from their most frequent shingl
 similar sets share paths, the overlap with the probe is counted once per shared path, and
 a subtree is left as soon as the lengths that remain cannot reach the needed overlap.
 
-Groups need no list of all pairs. A first round compares each set with one or two pivots
+Before whole sets are moved, pairs are tested by profiles (numbers of hashes per bucket), which
+bound the overlap from above. Groups need no list of all pairs. A first round compares each set with one or two pivots
 of its largest shared shingles, which joins copies to few components in linear work. The
 second round compares every remaining candidate pair of different components, so no link
 that matters is lost. Components are merged by star contractions.
@@ -23,6 +24,8 @@ an empty table has no rows; a null ``doc_id`` never becomes a ``component_id`` u
 document is alone. Columns other than ``doc_id`` and ``text`` are not read.
 """
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,12 +33,14 @@ from pyspark.sql import functions as F
 
 from panelwright.llm import textbytes as tb
 from panelwright.llm.components import components
-from panelwright.llm.frames import cut_lineage
+from panelwright.llm.frames import cut_lineage, discard
 
 SHINGLE = 4
 #: Link when ``DEN * intersection >= NUM * union``.
 NUM, DEN = 85, 100
-_COUNTERS, _BITS = 1 << 20, 1 << 22
+_COUNTERS, _BITS = 1 << 21, 1 << 22
+#: Buckets of a set's profile: how many of its hashes fall into each.
+_PROFILE = 256
 #: Candidate sets in one prefix tree, and candidates of a probe in one group of rows.
 TREE = 128
 _PART = 1 << 10
@@ -75,7 +80,7 @@ def class_key(own):
 
 def in_order(own, levels):
     """A set's shingles from rare to frequent; equal levels by hash."""
-    key = (levels[(own & np.uint64(_COUNTERS - 1)).astype(np.int64)] << np.uint64(44)) | (own >> np.uint64(20))
+    key = (levels[(own & np.uint64(_COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(44)) | (own >> np.uint64(20))
     return own[np.argsort(key, kind="stable")]
 
 
@@ -84,10 +89,14 @@ def _spread(keys, size):
 
 
 def _blocks(counts):
-    """Non-empty parts of a counter array as rows."""
+    """Non-empty parts of a counter array as rows of compressed integers."""
     table = counts.reshape(-1, _PART)
     used = np.flatnonzero(table.any(axis=1))
-    return used, [table[i].astype("<i8").tobytes() for i in used]
+    return used, [zlib.compress(table[i].astype("<i8").tobytes(), 1) for i in used]
+
+
+def _opened(counts):
+    return np.frombuffer(zlib.decompress(counts), "<i8")
 
 
 def _sum_blocks(rows: DataFrame):
@@ -96,18 +105,17 @@ def _sum_blocks(rows: DataFrame):
         totals: dict = {}
         for batch in batches:
             for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = np.frombuffer(counts, "<i8")
-                totals[block] = totals[block] + own if block in totals else own
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())],
-                                         names=["block", "counts"])
+                totals[block] = totals[block] + _opened(counts) if block in totals else _opened(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(
+            [zlib.compress(t.tobytes(), 1) for t in totals.values()], pa.binary())], names=["block", "counts"])
 
-    return rows.repartition("block").mapInArrow(add, "block int, counts binary").collect()
+    return rows.repartition("block").mapInArrow(add, "block int, counts binary").toLocalIterator()
 
 
 def _table(rows, size):
     out = np.zeros(size, np.int64)
     for r in rows:
-        out[r["block"] * _PART:(r["block"] + 1) * _PART] = np.frombuffer(r["counts"], "<i8")
+        out[r["block"] * _PART:(r["block"] + 1) * _PART] = _opened(r["counts"])
     return out
 
 
@@ -126,7 +134,7 @@ def membership(keys: DataFrame, size=_BITS) -> np.ndarray:
 def _scan(docs: DataFrame, k, seed) -> DataFrame:
     """Per document its set's size and class, and per task the counts of hashed shingles."""
     def run(batches):
-        counts = np.zeros(_COUNTERS, np.int64)
+        counts = np.zeros(_COUNTERS, np.int32)
         names = ["doc_id", "n_shingles", "cid", "proof", "block", "counts"]
         for batch in batches:
             n, keys = np.zeros(batch.num_rows, np.int64), np.zeros((2, batch.num_rows), np.int64)
@@ -193,8 +201,13 @@ def _beginnings(docs, k, seed, chosen, levels) -> DataFrame:
     return docs.mapInArrow(run, "token bigint, cid bigint")
 
 
+def profile(own):
+    """Numbers of hashes per bucket, at most 255."""
+    return np.minimum(np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=_PROFILE), 255).astype(np.uint8)
+
+
 def _candidates(docs, k, seed, chosen, levels, shared) -> DataFrame:
-    """Sets whose beginning holds a shingle that may be shared, and where it does."""
+    """Sets whose beginning holds a shingle that may be shared: where, and the set's profile."""
     hit = pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32())]))
 
     def rows(batches):
@@ -203,12 +216,43 @@ def _candidates(docs, k, seed, chosen, levels, shared) -> DataFrame:
             begin = own[:prefix_length(len(own))].view(np.int64)
             at = np.flatnonzero(shared.value[_spread(begin, _BITS)])
             if len(at):
-                yield cid, len(own), own.astype("<u8").tobytes(), [{"token": t, "pos": p} for t, p in zip(begin[at].tolist(), at.tolist())]
+                yield cid, len(own), profile(own).tobytes(), [{"token": t, "pos": p} for t, p in zip(begin[at].tolist(), at.tolist())]
 
     def run(batches):
-        yield from _batches(rows(batches), ["cid", "n", "tokens", "hits"], [pa.int64(), pa.int64(), pa.binary(), hit])
+        yield from _batches(rows(batches), ["cid", "n", "profile", "hits"], [pa.int64(), pa.int64(), pa.binary(), hit])
+
+    return docs.mapInArrow(run, "cid bigint, n bigint, profile binary, hits array<struct<token:bigint,pos:int>>")
+
+
+def _sets(docs, k, seed, chosen, levels) -> DataFrame:
+    """``(cid, tokens)`` of the sets of chosen rows, in global order."""
+    def run(batches):
+        rows = ((cid, in_order(own, levels.value).astype("<u8").tobytes()) for cid, own in _each_set(batches, k, seed, chosen.value))
+        yield from _batches(rows, ["cid", "tokens"], [pa.int64(), pa.binary()])
+
+    return docs.mapInArrow(run, "cid bigint, tokens binary")
 
-    return docs.mapInArrow(run, "cid bigint, n bigint, tokens binary, hits array<struct<token:bigint,pos:int>>")
+
+def possible(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """The ``pairs`` whose profiles leave room for the overlap they need.
+
+    A bucket shares no more hashes than the smaller of its two numbers, so the sum of these
+    bounds the overlap; a number at its limit bounds nothing.
+    """
+    side = lambda m: profiles.select(*[F.col(c).alias(f"{m}{c}") for c in ("cid", "n", "profile")])
+    wide = pairs.join(side("a_"), F.col("a") == F.col("a_cid")).join(side("b_"), F.col("b") == F.col("b_cid"))
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, _PROFILE) for i in (4, 5))
+            least = np.minimum(one, two)
+            room = np.where((least == 255).any(axis=1), np.iinfo(np.int64).max, least.sum(axis=1, dtype=np.int64))
+            need = least_overlap(np.asarray(batch.column(2)), np.asarray(batch.column(3)))
+            yield batch.select(["a", "b"]).filter(pa.array(room >= need))
+
+    return wide.select("a", "b", "a_n", "b_n", "a_profile", "b_profile").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 # --- the prefix tree ------------------------------------------------------------------
@@ -274,7 +318,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 for i, overlap in PrefixTree([s for _, s in held]).linked(probe):
                     yield group[0], held[i][0], overlap
 
-        for batch in batches:
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             for a, part, b, tokens in zip(*(c.to_pylist() for c in batch.columns)):
                 own = np.frombuffer(tokens, "<u8")
                 if (a, part) != group:
@@ -344,17 +388,29 @@ def jaccard_groups(docs: DataFrame, k=SHINGLE) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     seed, documents, classes, counters = _classes(slim, k)
     counts = _table(_sum_blocks(counters), _COUNTERS)
-    levels = context.broadcast((np.log2(1.0 + counts) * 16384).astype(np.uint64))
+    levels = context.broadcast((np.log2(1.0 + counts) * 16384).astype(np.uint32))
     chosen = context.broadcast(membership(classes.select("rep")))
     tokens = cut_lineage(_beginnings(slim, k, seed, chosen, levels).groupBy("token").agg(
         F.min("cid").alias("x"), F.max("cid").alias("y")).filter("x <> y").select("token"))
     shared_bits = context.broadcast(membership(tokens))
-    sets = cut_lineage(_candidates(slim, k, seed, chosen, levels, shared_bits))
-    shared = cut_lineage(sets.select("cid", "n", F.explode("hits").alias("h")).select("cid", "n", "h.token", "h.pos").join(tokens, "token"))
-    first = cut_lineage(verified(_pivots(shared), sets).select("a", "b"))
+    candidates = cut_lineage(_candidates(slim, k, seed, chosen, levels, shared_bits))
+    shared = cut_lineage(candidates.select("cid", "n", F.explode("hits").alias("h")).select("cid", "n", "h.token", "h.pos").join(tokens, "token"))
+
+    def links(pairs):
+        """Candidate pairs that link: by profiles, then by the sets of what is left."""
+        left = cut_lineage(possible(pairs, candidates))
+        ids = left.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        wanted = context.broadcast(membership(classes.join(ids, "cid").select("rep")))
+        sets = cut_lineage(_sets(slim, k, seed, wanted, levels))
+        found = cut_lineage(verified(left, sets).select("a", "b"))
+        discard(left, sets)
+        return found
+
+    first = links(_pivots(shared))
     roots = components(first)
-    second = cut_lineage(verified(_across(shared, roots), sets).select("a", "b"))
+    second = links(_across(shared, roots))
     roots = components(first.unionByName(second))
+    discard(tokens, candidates, shared)
     placed = classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_class = placed.join(smallest, "root").select("cid", "component_id")
