@@ -8,11 +8,11 @@ prefix trees: candidates of one probe are stored from their most frequent shingl
 similar sets share paths, the overlap with the probe is counted once per shared path, and
 a subtree is left as soon as the lengths that remain cannot reach the needed overlap.
 
-Before whole sets are moved, pairs are tested by profiles (numbers of hashes per bucket), which
-bound the overlap from above. Groups need no list of all pairs. A first round compares each set with one or two pivots
-of its largest shared shingles, which joins copies to few components in linear work. The
-second round compares every remaining candidate pair of different components, so no link
-that matters is lost. Components are merged by star contractions.
+Before whole sets are moved, pairs are tested by profiles (buckets that hold a hash, and
+numbers of hashes per bucket), which bound the overlap from above. Groups need no list of all pairs. A few rounds compare each set with one pivot per
+shared shingle, which joins copies to few components in linear work. A last
+round compares every remaining candidate pair of different components, so no link that
+matters is lost. Components are merged by star contractions.
 
 Shuffles: shingles are pre-aggregated, and every join on a shingle, class or node can be
 split by adaptive execution. Nothing that grows with the corpus is broadcast: the count
@@ -41,6 +41,10 @@ NUM, DEN = 85, 100
 _COUNTERS, _BITS = 1 << 21, 1 << 22
 #: Buckets of a set's profile: how many of its hashes fall into each.
 _PROFILE = 256
+#: Long words of a set's bit profile: which of 64 times as many buckets hold a hash.
+_WORDS = 8
+#: Rounds in which sets are compared with pivots only, before all remaining pairs are.
+PIVOT_ROUNDS = 2
 #: Candidate sets in one prefix tree, and candidates of a probe in one group of rows.
 TREE = 128
 _PART = 1 << 10
@@ -206,8 +210,15 @@ def profile(own):
     return np.minimum(np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=_PROFILE), 255).astype(np.uint8)
 
 
+def bit_profile(own):
+    """The buckets of a set as 64-bit words."""
+    bits = np.zeros(64 * _WORDS, np.uint8)
+    bits[(own >> np.uint64(64 - 9)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view("<i8").tolist()
+
+
 def _candidates(docs, k, seed, chosen, levels, shared) -> DataFrame:
-    """Sets whose beginning holds a shingle that may be shared: where, and the set's profile."""
+    """Sets whose beginning holds a shingle that may be shared: where, and the set's profiles."""
     hit = pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32())]))
 
     def rows(batches):
@@ -216,12 +227,13 @@ def _candidates(docs, k, seed, chosen, levels, shared) -> DataFrame:
             begin = own[:prefix_length(len(own))].view(np.int64)
             at = np.flatnonzero(shared.value[_spread(begin, _BITS)])
             if len(at):
-                yield cid, len(own), profile(own).tobytes(), [{"token": t, "pos": p} for t, p in zip(begin[at].tolist(), at.tolist())]
+                yield cid, len(own), profile(own).tobytes(), bit_profile(own), [{"token": t, "pos": p} for t, p in zip(begin[at].tolist(), at.tolist())]
 
     def run(batches):
-        yield from _batches(rows(batches), ["cid", "n", "profile", "hits"], [pa.int64(), pa.int64(), pa.binary(), hit])
+        yield from _batches(rows(batches), ["cid", "n", "profile", "bits", "hits"],
+                            [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), hit])
 
-    return docs.mapInArrow(run, "cid bigint, n bigint, profile binary, hits array<struct<token:bigint,pos:int>>")
+    return docs.mapInArrow(run, "cid bigint, n bigint, profile binary, bits array<bigint>, hits array<struct<token:bigint,pos:int>>")
 
 
 def _sets(docs, k, seed, chosen, levels) -> DataFrame:
@@ -354,30 +366,44 @@ def _classes(docs, k):
     raise RuntimeError("class ids collide under every seed")
 
 
-def _pivots(shared: DataFrame) -> DataFrame:
-    """Each set beside a pivot of its largest shared shingle, and of another one."""
-    groups = shared.groupBy("token").agg(F.count("*").alias("m"), F.min_by(F.struct("cid", "n"), F.xxhash64("cid", "token")).alias("pivot"))
-    beside = shared.join(groups, "token")
-    chosen = beside.groupBy("cid", "n").agg(F.array_distinct(F.array(
-        F.max_by("pivot", F.struct("m", "token")), F.max_by("pivot", F.struct("m", F.xxhash64("token"))))).alias("pivots"))
-    pairs = chosen.select("cid", "n", F.explode("pivots").alias("p"))
-    return pairs.filter((F.col("cid") != F.col("p.cid")) & (DEN * F.least("n", "p.n") >= NUM * F.greatest("n", "p.n"))).select(
-        F.col("p.cid").alias("a"), F.col("cid").alias("b")).distinct()
+_BITWORDS = [f"b{i}" for i in range(_WORDS)]
+_SET = ["cid", "n", *_BITWORDS]
+
+
+def _placed(shared: DataFrame, roots) -> DataFrame:
+    """Shared shingles of sets with their components, where a shingle has several components."""
+    placed = shared.withColumn("root", F.col("cid")) if roots is None else shared.join(
+        roots, F.col("cid") == F.col("node"), "left").select(*shared.columns, F.coalesce("root", "cid").alias("root"))
+    mixed = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token")
+    return placed.join(mixed, "token")
+
+
+_NEED = f"({NUM} * (n + n_r) + {NUM + DEN - 1}) div {NUM + DEN}"
+
+
+def _close():
+    """Sizes, and bit profiles that differ no more than those of linked sets can."""
+    need = F.expr(_NEED)
+    alone = lambda x, y: F.expr(" + ".join(f"bit_count(b{i}{x} & ~b{i}{y})" for i in range(_WORDS)))
+    return ((F.col("root") != F.col("root_r")) & (DEN * F.least("n", "n_r") >= NUM * F.greatest("n", "n_r"))
+            & (alone("", "_r") <= F.col("n") - need) & (alone("_r", "") <= F.col("n_r") - need))
 
 
-def _across(shared: DataFrame, roots: DataFrame) -> DataFrame:
+def _pivots(placed: DataFrame, salt: int) -> DataFrame:
+    """Each set beside the pivot of each of its shared shingles, where they may link."""
+    own = F.struct(*[F.col(c).alias(f"{c}_r") for c in [*_SET, "root"]])
+    groups = placed.groupBy("token").agg(F.min_by(own, F.xxhash64("cid", "token", F.lit(salt))).alias("p")).select("token", "p.*")
+    return placed.join(groups, "token").filter(_close()).select(F.col("cid_r").alias("a"), F.col("cid").alias("b")).distinct()
+
+
+def _across(placed: DataFrame) -> DataFrame:
     """All candidate pairs of different components: a shared shingle within both beginnings
     that the pair's sizes ask for, and positions that leave room for the needed overlap."""
-    placed = shared.join(roots, F.col("cid") == F.col("node"), "left").select(
-        "token", "cid", "n", "pos", F.coalesce("root", "cid").alias("root"))
-    mixed = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token")
-    left = cut_lineage(placed.join(mixed, "token"))
-    right = left.select("token", *[F.col(c).alias(f"{c}_r") for c in ("cid", "n", "pos", "root")])
-    need = F.expr(f"({NUM} * (n + n_r) + {NUM + DEN - 1}) div {NUM + DEN}")
-    return left.join(right, "token").filter(
-        (F.col("root") < F.col("root_r")) & (DEN * F.least("n", "n_r") >= NUM * F.greatest("n", "n_r"))
-        & (F.col("pos") <= F.col("n") - need) & (F.col("pos_r") <= F.col("n_r") - need)
-        & (F.least("pos", "pos_r") + F.least(F.col("n") - F.col("pos"), F.col("n_r") - F.col("pos_r")) >= need)
+    right = placed.select("token", *[F.col(c).alias(f"{c}_r") for c in [*_SET, "root", "pos"]])
+    need = F.expr(_NEED)
+    return placed.join(right, "token").filter(
+        (F.col("root") < F.col("root_r")) & (F.col("pos") <= F.col("n") - need) & (F.col("pos_r") <= F.col("n_r") - need)
+        & (F.least("pos", "pos_r") + F.least(F.col("n") - F.col("pos"), F.col("n_r") - F.col("pos_r")) >= need) & _close()
     ).select(F.col("cid").alias("a"), F.col("cid_r").alias("b")).distinct()
 
 
@@ -394,7 +420,8 @@ def jaccard_groups(docs: DataFrame, k=SHINGLE) -> DataFrame:
         F.min("cid").alias("x"), F.max("cid").alias("y")).filter("x <> y").select("token"))
     shared_bits = context.broadcast(membership(tokens))
     candidates = cut_lineage(_candidates(slim, k, seed, chosen, levels, shared_bits))
-    shared = cut_lineage(candidates.select("cid", "n", F.explode("hits").alias("h")).select("cid", "n", "h.token", "h.pos").join(tokens, "token"))
+    words = [F.col("bits")[i].alias(b) for i, b in enumerate(_BITWORDS)]
+    shared = cut_lineage(candidates.select("cid", "n", *words, F.explode("hits").alias("h")).select(*_SET, "h.token", "h.pos").join(tokens, "token"))
 
     def links(pairs):
         """Candidate pairs that link: by profiles, then by the sets of what is left."""
@@ -406,10 +433,12 @@ def jaccard_groups(docs: DataFrame, k=SHINGLE) -> DataFrame:
         discard(left, sets)
         return found
 
-    first = links(_pivots(shared))
-    roots = components(first)
-    second = links(_across(shared, roots))
-    roots = components(first.unionByName(second))
+    found, roots = None, None
+    for number in range(PIVOT_ROUNDS + 1):
+        placed = _placed(shared, roots)
+        more = links(_pivots(placed, number) if number < PIVOT_ROUNDS else _across(placed))
+        found = more if found is None else found.unionByName(more)
+        roots = components(found)
     discard(tokens, candidates, shared)
     placed = classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
