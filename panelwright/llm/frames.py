@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from panelwright.session import cut_lineage, discard
 
 
+#: Rows handled and returned at a time.
+ROWS = 2000
+
+
 def remainder(key, modulus):
     """crc32 of the key's decimal text modulo ``modulus``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % modulus
@@ -19,12 +23,13 @@ def per_row(docs: DataFrame, function, schema: str, text="text", keep=("doc_id",
     not named are not read, so their names cannot clash with the new ones.
     """
     keep = list(keep)
-    chosen = docs.select(*keep, F.col(text).alias("_text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema[:-1])
+    at = keep.index(text) if text in keep else len(keep)
+    chosen = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias("_text"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema[:len(keep)])
 
     def run(batches):
-        for batch in batches:
-            made = function(batch.column(len(keep)))
+        for batch in (whole.slice(low, ROWS) for whole in batches for low in range(0, max(1, whole.num_rows), ROWS)):
+            made = function(batch.column(at))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in range(len(keep))] + [pa.array(x) if not isinstance(x, pa.Array) else x for x in made],
                 names=keep + names)

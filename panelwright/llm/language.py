@@ -34,7 +34,7 @@ LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
 UNKNOWN = "und"
 BLOCK = 32
 #: Words whose scores a process keeps.
-KEPT = 1 << 20
+KEPT = 1 << 19
 _SALTS = tuple(np.uint64(x) for x in (0x1F3D, 0x2E5B, 0x3C79, 0x4A97, 0x58B5, 0x66D3, 0x74F1, 0x8311))
 
 
@@ -152,7 +152,7 @@ class LanguageModel:
     def predict(self, column):
         """Language and its share of the text's letters for every row."""
         best, share = np.full(len(column), -1), np.zeros(len(column))
-        for low, high, data, offsets in tb.each_slice(column, 1 << 20):
+        for low, high, data, offsets in tb.each_slice(column, 1 << 19):
             starts, ends, first, p = self.word_marginals(tb.LOWER[data], offsets)
             filled = np.flatnonzero(np.diff(first))
             if not len(filled) or not self.labels:
