@@ -75,7 +75,7 @@ def standard_scaling(spark, sf_dir):
 
 
 #: Task, its target, and the rows that take part.
-TASKS = {"cost": ("cost_overrun", F.lit(True)), "schedule": ("time_overrun", F.col("is_eligible_schedule_target") == 1)}
+TASKS = {"cost": ("cost_overrun", "true"), "schedule": ("time_overrun", "is_eligible_schedule_target = 1")}
 
 
 def _per_task(spark, sf_dir, table):
