@@ -6,7 +6,8 @@ whole corpus, and classes of the others by their endings. The network adds an em
 per context position, applies tanh, and has a two-level softmax (group, then member), so
 no step costs as much as the vocabulary is large. It is trained in numpy where the
 documents are: every task starts from the same weights, runs through all its documents,
-and the tasks' weights are averaged by the number of words they have seen.
+and the tasks' weights are averaged by the number of words they have seen. Each word of
+every document is a training target in one of the rounds.
 
 Edge cases: a null, empty or wordless text has no words, log-probability 0 and a null
 mean; texts of any length are read whole; an empty corpus gives an untrained network;
@@ -27,8 +28,8 @@ VOCABULARY = GROUPS * MEMBERS
 FREQUENT = 768
 REACH, SIZE = 2, 16
 OFFSETS = tuple(o for o in range(-REACH, REACH + 1) if o)
-#: Of the words of each document, every how many-th is predicted in a training round.
-STRIDE, ROUNDS, RATE, BATCH = 8, 2, 1.2, 1024
+#: Rounds of training; each predicts another share of every document's words, together all of them.
+ROUNDS, RATE, BATCH = 2, 1.2, 1024
 _HASH, _END = tb.Hasher(61), tb.Hasher(62)
 _PART = 2048
 
@@ -53,13 +54,16 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Network:
-    """Weights by name; ``frequent`` are the sorted hashes of the words with numbers of their own."""
+    """Weights by name; ``frequent`` are the sorted hashes of the words with numbers of their own.
+
+    ``seen`` counts the words that were predicted in training.
+    """
 
     SHAPES = {"context": (len(OFFSETS), VOCABULARY + 1, SIZE), "hidden": (SIZE,), "group": (SIZE + 1, GROUPS),
               "member": (GROUPS, SIZE + 1, MEMBERS)}
 
     def __init__(self, frequent, numbers, weights=None):
-        self.frequent, self.numbers = frequent, numbers
+        self.frequent, self.numbers, self.seen = frequent, numbers, 0
         rng = np.random.default_rng(6)
         self.weights = weights or {k: (rng.normal(size=s) * 0.1).astype(np.float32) for k, s in self.SHAPES.items()}
 
@@ -74,7 +78,7 @@ class Network:
     def contexts(self, tokens, first, at):
         """Tokens at every offset from ``at``; the last number stands for what is outside the text."""
         row = np.searchsorted(first, at, "right") - 1
-        out = np.full((len(OFFSETS), len(at)), VOCABULARY)
+        out = np.full((len(OFFSETS), len(at)), VOCABULARY, np.int16)
         for i, o in enumerate(OFFSETS):
             inside = (at + o >= first[row]) & (at + o < first[row + 1])
             out[i, inside] = tokens[at[inside] + o]
@@ -99,34 +103,37 @@ class Network:
                 out[own] += logits[np.arange(len(own)), member[own]] - _log_sum(logits)
         return out
 
-    def learn(self, tokens, first, at, rate):
-        """One gradient step on the mean log-probability of the words ``at``."""
-        w, n = self.weights, len(at)
-        contexts = self.contexts(tokens, first, at)
+    def learn(self, contexts, tokens, rate):
+        """One gradient step on the mean log-probability of ``tokens`` beside their ``contexts``."""
+        w, n = self.weights, len(tokens)
+        group, member = np.divmod(tokens, MEMBERS)
+        by = np.argsort(group.astype(np.int8), kind="stable")    # small types sort in linear time
+        contexts, group, member, rows = contexts[:, by], group[by], member[by], np.arange(n)
         h = self.hidden(contexts)
-        group, member = np.divmod(tokens[at], MEMBERS)
         error = -_softmax(h @ w["group"])
-        error[np.arange(n), group] += 1
+        error[rows, group] += 1
         back = error @ w["group"].T
         change_group = h.T @ error / n
-        by = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[by], np.arange(GROUPS + 1))
-        for g in range(GROUPS):
-            own = by[edges[g]:edges[g + 1]]
-            if len(own):
-                error = -_softmax(h[own] @ w["member"][g])
-                error[np.arange(len(own)), member[own]] += 1
-                back[own] += error @ w["member"][g].T
-                w["member"][g] += rate * (h[own].T @ error) / np.sqrt(n * len(own))
+        edges = np.searchsorted(group, np.arange(GROUPS + 1))
+        slices = [(g, slice(edges[g], edges[g + 1])) for g in range(GROUPS) if edges[g] < edges[g + 1]]
+        logits = np.empty((n, MEMBERS), np.float32)
+        for g, own in slices:
+            logits[own] = h[own] @ w["member"][g]
+        error = -_softmax(logits)
+        error[rows, member] += 1
+        for g, own in slices:
+            back[own] += error[own] @ w["member"][g].T
+            w["member"][g] += rate * (h[own].T @ error[own]) / np.float32(np.sqrt(n * (own.stop - own.start)))
         w["group"] += rate * change_group * 4
         back = back[:, :SIZE] * (1 - h[:, :SIZE] ** 2)
         w["hidden"] += rate * back.mean(axis=0)
         for i, c in enumerate(contexts):
             order = np.argsort(c, kind="stable")
-            seen, begin = np.unique(c[order], return_index=True)
+            c = c[order]
+            begin = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
             total = np.add.reduceat(back[order], begin, axis=0)
             count = np.diff(np.append(begin, n))[:, None]
-            w["context"][i][seen] += rate * total / np.sqrt(n * count)
+            w["context"][i][c[begin]] += total * (rate / np.sqrt(n * count)).astype(np.float32)
 
     def flat(self):
         return np.concatenate([self.weights[k].ravel() for k in self.SHAPES])
@@ -150,7 +157,13 @@ def _softmax(x):
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _round(docs: DataFrame, network: Network, number: int, stride: int, rate: float) -> Network:
+def targets(first, number, rounds):
+    """Places of the words that round ``number`` predicts, counted from the start of each text."""
+    place = np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))
+    return np.flatnonzero(place % rounds == number)
+
+
+def _round(docs: DataFrame, network: Network, number: int, rounds: int, rate: float) -> Network:
     """One run of every task over its documents, and the average of what the tasks learned."""
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
@@ -160,9 +173,10 @@ def _round(docs: DataFrame, network: Network, number: int, stride: int, rate: fl
             for _, _, data, offsets in tb.each_slice(batch.column(0)):
                 words, endings, first = word_hashes(data, offsets)
                 tokens = own.tokens(words, endings)
-                at = np.arange(number % stride, len(tokens), stride)
+                at = targets(first, number, rounds)
+                contexts, tokens = own.contexts(tokens, first, at), tokens[at]
                 for low in range(0, len(at), BATCH):
-                    own.learn(tokens, first, at[low:low + BATCH], rate)
+                    own.learn(contexts[:, low:low + BATCH], tokens[low:low + BATCH], rate)
                 seen += len(at)
         flat = own.flat().astype(np.float64) * seen
         parts = range(0, len(flat), _PART)
@@ -185,18 +199,20 @@ def _round(docs: DataFrame, network: Network, number: int, stride: int, rate: fl
     rows = docs.select("text").mapInArrow(run, schema).repartition("part").mapInArrow(add, schema).orderBy("part").collect()
     if not rows or not rows[0]["seen"]:
         return network
-    return network.with_flat(np.concatenate([np.frombuffer(r["sums"]) / r["seen"] for r in rows]))
+    learned = network.with_flat(np.concatenate([np.frombuffer(r["sums"]) / r["seen"] for r in rows]))
+    learned.seen = network.seen + rows[0]["seen"]
+    return learned
 
 
-def train(docs: DataFrame, rounds=ROUNDS, stride=STRIDE, rate=RATE) -> Network:
-    """Vocabulary and weights from all documents."""
+def train(docs: DataFrame, rounds=ROUNDS, rate=RATE) -> Network:
+    """Vocabulary and weights from all documents; every word is predicted in one of the rounds."""
     top = word_counts(docs).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     words = np.array([r["word"] for r in top], np.int64)
     rank = np.arange(len(words))
     by = np.argsort(words)
     network = Network(words[by], rank[by])
     for number in range(rounds):
-        network = _round(docs, network, number * (stride // 2), stride, rate)
+        network = _round(docs, network, number, rounds, rate)
     return network
 
 

@@ -138,6 +138,15 @@ def test_lm_probabilities_sum_to_one_and_training_helps(tables, odd):
     assert lm.score(odd.limit(0), lm.train(odd.limit(0))).count() == 0
 
 
+def test_lm_trains_on_every_word(spark, tables):
+    short = spark.createDataFrame([(0, "one"), (1, "two words"), (2, None), (3, "a b c d e f g h i j k")], "doc_id int, text string")
+    for docs in (short, tables["documents"].limit(200)):
+        assert lm.train(docs).seen == lm.word_counts(docs).agg(F.sum("n")).first()[0]
+    first = np.array([0, 1, 3, 3, 14])
+    parts = [lm.targets(first, number, 3) for number in range(3)]
+    assert sorted(np.concatenate(parts)) == list(range(14)) and {0, 1, 3} <= set(parts[0])
+
+
 # --- urls ---------------------------------------------------------------------------------------
 
 def test_url_parts_rules_and_model(spark, tables):
