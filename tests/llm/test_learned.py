@@ -147,6 +147,38 @@ def test_lm_trains_on_every_word(spark, tables):
     assert sorted(np.concatenate(parts)) == list(range(14)) and {0, 1, 3} <= set(parts[0])
 
 
+def test_lm_scores_each_word_of_a_class(spark, monkeypatch):
+    monkeypatch.setattr(lm, "FREQUENT", 4)
+    texts = ["the of and to " * 50 + "common-ending " * 40 + "rarending bending bending xyz"] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    counts = {}
+    for word in (w for t in texts for w in t.replace("-", " ").split()):
+        counts[word] = counts.get(word, 0) + 1
+    column = pa.array(list(counts))
+    (_, _, data, offsets), = lm.tb.each_slice(column)
+    words, endings, _ = lm.word_hashes(data, offsets)
+    for most in (0, 1, lm.KEPT):                # all counts joined, some, none
+        known, numbers = lm.vocabulary(docs, most)
+        network = lm.Network(known, numbers)
+        tokens = network.tokens(words, endings)
+        totals = {}
+        for t, n in zip(tokens, counts.values()):
+            totals[t] = totals.get(t, 0) + n
+        bare = lm.Network(lm.Vocabulary(known.own), numbers, network.weights)
+        probes = spark.createDataFrame(
+            [(i, w) for i, w in enumerate(counts)] + [(90, "unknownending"), (91, None), (91, None), (92, "bending xyz bending")], "doc_id int, text string")
+        score = lambda x: {r["doc_id"]: r["log_probability"] for r in lm.score(probes, x).collect()}
+        full, plain = score(network), score(bare)
+        place = {w: i for i, w in enumerate(counts)}
+        share = {w: np.log(n / (totals[t] + 1)) if t >= 4 else 0.0 for (w, n), t in zip(counts.items(), tokens)}
+        for w, i in place.items():
+            assert abs(full[i] - plain[i] - share[w]) < 1e-6
+        assert full[place["bending"]] > full[place["rarending"]] and full[91] == 0
+        assert abs(full[92] - plain[92] - 2 * share["bending"] - share["xyz"]) < 1e-6
+        assert abs(full[90] - plain[90] + np.log(totals[tokens[place["bending"]]] + 1)) < 1e-6
+        assert lm.score(probes, network).count() == len(counts) + 4
+
+
 # --- urls ---------------------------------------------------------------------------------------
 
 def test_url_parts_rules_and_model(spark, tables):
