@@ -1,7 +1,7 @@
 """Personal data by fixed patterns and a semi-Markov conditional random field.
 
-Base spans follow stated patterns. Around every chunk of text with a digit or an at sign, a
-semi-Markov model scores whole candidate spans (their shape, digits, checksum and
+Base spans follow stated patterns. Around every chunk of text with a digit, an at sign or
+one spelled out, as in ``(at)``, ``[at]`` or ``at example dot org``, a semi-Markov model scores whole candidate spans (their shape, digits, checksum and
 neighbours) and a dynamic program over spans of at most ``LONGEST`` chunks chooses
 boundaries and types together. Its spans are added where no base span lies. The model
 learns from base spans of a bounded sample of documents and from altered copies of them.
@@ -13,9 +13,11 @@ the model adds nothing. Columns that are not named in ``keep`` are not read.
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,15 @@ _CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _CHUNK = re.compile(r"[^\s,;=\"'<>\[\]{}|]+")
-_SEED = re.compile(r"[0-9@]")
+_S = r"[\x20\x09-\x0D]"
+#: At signs spelled out; Python, Java and RE2 read this the same way.
+_SPELLED = rf"[(\[{{<]{_S}*[Aa][Tt]{_S}*[)\]}}>]|{_S}[Aa][Tt]{_S}+[A-Za-z0-9.-]+{_S}+[Dd][Oo][Tt]{_S}"
+SEED = rf"[0-9@]+|{_SPELLED}"
+_SEED = re.compile(SEED)
+_AT = re.compile(rf"{_S}*[(\[{{<]{_S}*at{_S}*[)\]}}>]{_S}*|{_S}+at{_S}+", re.IGNORECASE)
+_DOT = re.compile(rf"{_S}*[(\[{{<]{_S}*dot{_S}*[)\]}}>]{_S}*|{_S}+dot{_S}+", re.IGNORECASE)
+_ADDRESS = re.compile(rf"[A-Za-z0-9._%+-]+@{_DOMAIN.pattern}")
+_AT_OR_DOT = re.compile(r"(?<![A-Za-z])(at|dot)(?![A-Za-z])", re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -93,6 +103,16 @@ def joined(spans) -> str:
 
 # --- the model ------------------------------------------------------------------------
 
+def seeded(text, chunks):
+    """Numbers of the chunks that a seed touches; a seed may reach over several."""
+    if not chunks:
+        return []
+    starts, ends, out = [a for a, _ in chunks], [b for _, b in chunks], set()
+    for m in _SEED.finditer(text, max(0, starts[0] - 1), min(len(text), ends[-1] + 1)):
+        out.update(range(bisect_right(ends, m.start()), bisect_left(starts, m.end())))
+    return sorted(out)
+
+
 def regions(text):
     """Lists of chunk bounds around seeds; no candidate span reaches beyond its region."""
     chunks = []
@@ -104,7 +124,7 @@ def regions(text):
             start += 1
         if start < end:
             chunks.append((start, end))
-    seeds = [i for i, (a, b) in enumerate(chunks) if _SEED.search(text, a, b)]
+    seeds = seeded(text, chunks)
     low = 0
     while low < len(seeds):
         high = low
@@ -134,6 +154,10 @@ def features(text, region, i, j):
     if "." in own:
         parts = own.split(".")
         names.append(f"octets={len(parts) == 4 and all(p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts if p.isascii())}")
+    if "@" in own or _AT_OR_DOT.search(own):
+        names.append(f"address={_ADDRESS.fullmatch(_DOT.sub('.', _AT.sub('@', own))) is not None}")
+    if _AT_OR_DOT.search(own):
+        names.append(f"spelled={re.sub(r'[A-Za-z0-9.-]+', lambda m: m[0].lower() if _AT_OR_DOT.fullmatch(m[0]) else 'a', own)[:40]}")
     names.append(f"left={shape(text[region[i - 1][0]:region[i - 1][1]])[:8] if i else ''}")
     names.append(f"right={shape(text[region[j][0]:region[j][1]])[:8] if j < len(region) else ''}")
     return names
@@ -141,10 +165,12 @@ def features(text, region, i, j):
 
 def candidates(text, region):
     """``(i, j)`` of spans that hold a seed and stay on one line."""
-    seeded = np.cumsum([0] + [1 if _SEED.search(text, a, b) else 0 for a, b in region])
+    own = np.zeros(len(region) + 1, int)
+    own[[i + 1 for i in seeded(text, region)]] = 1
+    seeds = np.cumsum(own)
     for i in range(len(region)):
         for j in range(i + 1, min(i + LONGEST, len(region)) + 1):
-            if seeded[j] > seeded[i] and (j == i + 1 or "\n" not in text[region[j - 2][1]:region[j - 1][0]]):
+            if seeds[j] > seeds[i] and (j == i + 1 or "\n" not in text[region[j - 2][1]:region[j - 1][0]]):
                 if j > i + 1 and "\n" in text[region[i][1]:region[j - 1][0]]:
                     break
                 yield i, j
@@ -295,7 +321,12 @@ def _disguises(kind, span):
     if kind == "phone":
         yield span.lstrip("+")
     if kind == "email":
-        yield span.replace("@", "(at)", 1)
+        for own in dict.fromkeys((span, re.sub("[0-9]", "n", span))):    # addresses may have no digit
+            local, domain = own.split("@", 1)
+            host, top = domain.rsplit(".", 1)
+            yield f"{local}(at){domain}"
+            yield f"{local}[at]{domain}"
+            yield f"{local} at {host} dot {top}"
     if kind == "card" and span.isdigit() and len(span) == 16:
         yield ".".join(span[i:i + 4] for i in range(0, 16, 4))
 
@@ -314,15 +345,13 @@ def all_spans(text, model):
 
 
 def fit_model(docs: DataFrame, bound=FIT_ROWS) -> SemiCRF:
-    """Fitted on at most ``bound`` documents that hold a digit or an at sign."""
-    rows = labelled_sample(docs.filter(F.col("text").rlike("[0-9@]")).select("doc_id", "text"), "doc_id", bound)
+    """Fitted on at most ``bound`` documents that hold a seed."""
+    rows = labelled_sample(docs.filter(F.col("text").rlike(SEED)).select("doc_id", "text"), "doc_id", bound)
     return SemiCRF().fit(examples(sorted({r["text"] for r in rows.select("text").collect()})))
 
 
 SCHEMA = "base array<struct<kind:string,start:int,end:int>>, spans array<struct<kind:string,start:int,end:int>>"
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-_HAS_SEED = np.zeros(256, bool)
-_HAS_SEED[48:58] = _HAS_SEED[64] = True
 
 
 def find_spans(docs: DataFrame, model: SemiCRF | None = None, keep=("doc_id",)) -> DataFrame:
@@ -332,9 +361,9 @@ def find_spans(docs: DataFrame, model: SemiCRF | None = None, keep=("doc_id",))
 
     def function(column):
         base, spans = [[]] * len(column), [[]] * len(column)
+        has_seed = pc.fill_null(pc.match_substring_regex(column, SEED), False).to_numpy(zero_copy_only=False)
         for low, high, data, offsets in tb.each_slice(column):
-            seeds = np.concatenate([[0], np.cumsum(_HAS_SEED[data])])[offsets]
-            for i in np.flatnonzero(np.diff(seeds)).tolist():
+            for i in np.flatnonzero(has_seed[low:high]).tolist():
                 text = data[offsets[i]:offsets[i + 1]].tobytes().decode()
                 for out, found in zip((base, spans), all_spans(text, shared.value)):
                     out[low + i] = [{"kind": k, "start": a, "end": b} for k, a, b in sorted(

@@ -197,6 +197,19 @@ def test_url_parts_rules_and_model(spark, tables):
     assert judged.filter("verdict not in ('allow', 'block')").count() == 0
 
 
+def test_pii_finds_disguised_addresses_without_digits(spark, tables):
+    hidden = ["anna.maria(at)example.org", "anna.maria[at]example.org", "anna.maria at example dot org"]
+    texts = [f"please write to {h} about the matter" for h in hidden] + ["we look at the sky and then at the sea"]
+    model = pii.fit_model(tables["documents"])
+    rows = {r["doc_id"]: r for r in pii.find_spans(
+        spark.createDataFrame([*enumerate(texts), (9, None)], "doc_id int, text string"), model).collect()}
+    for i, h in enumerate(hidden):
+        assert [(s["kind"], texts[i][s["start"]:s["end"]]) for s in rows[i]["spans"]] == [("email", h)] and not rows[i]["base"]
+    assert rows[3]["spans"] == rows[9]["spans"] == []
+    for text in ("x anna@example.org y", ):
+        assert sum(bool(truth) for _, _, truth in pii.examples([text])) == 4
+
+
 # --- toxicity -------------------------------------------------------------------------------------
 
 def test_toxicity_finds_labelled_documents_and_single_words(tables, odd):
