@@ -13,14 +13,12 @@ from panelwright.llm import decontaminate, jaccard, language, packing, pii
 from panelwright.session import checkpoint_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A text is rejected without a language, or if no language has this share of its letters.
-LEAST_SHARE = 0.4
 
 
 def identify_language(spark, docs, sf_dir):
-    """Documents in a known language; the model learns from all labelled ``docs``."""
+    """Documents in a known language, also mixed ones; the model learns from all labelled ``docs``."""
     found = language.identify(docs, language.train(docs), keep=COLUMNS)
-    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*COLUMNS)
+    return found.filter(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark, docs, sf_dir):

@@ -247,6 +247,17 @@ def test_stages_take_effect_and_keep_the_columns(spark, sf_dir, odd):
     assert masked.filter("n_chars <> length(text)").count() == 0
 
 
+def test_language_stage_keeps_mixed_documents(spark, tables, sf_dir):
+    docs = tables["documents"]
+    parts = [docs.filter((F.col("lang") == lang) & (F.length("text") > 400)).orderBy("doc_id").first()["text"][:300] for lang in ("de", "en", "es", "fr")]
+    mixed = spark.createDataFrame([(-1, " ".join(parts), None, "s", 1203), (-2, "123 !!", None, "s", 6)], docs.schema)
+    both = docs.unionByName(mixed)
+    found = language.identify(mixed, language.train(both), keep=("doc_id",)).filter("doc_id = -1").first()
+    assert found["lang_pred"] != language.UNKNOWN and found["score"] < 0.4
+    kept = corpus_pipeline.identify_language(spark, both, sf_dir).filter("doc_id < 0").collect()
+    assert [r["doc_id"] for r in kept] == [-1]
+
+
 def test_pipeline_runs_and_equals_its_stages(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
