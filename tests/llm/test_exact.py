@@ -298,4 +298,4 @@ def test_semi_markov_model_learns_shapes_and_is_normalised():
 
 
 def test_registered_names_and_sql():
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11)) and set(queries.SQL) <= set(queries.QUERIES)
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14)) and set(queries.SQL) <= set(queries.QUERIES)
