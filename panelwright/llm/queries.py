@@ -1,6 +1,6 @@
 """Registered queries of the corpus operators; a query without SQL is tested against brute force."""
 
-from panelwright.llm import decontaminate, hostrules, jaccard, language, lm, packing, pii, quality, topk, toxicity, urls
+from panelwright.llm import alignment, decontaminate, hostrules, jaccard, language, lm, packing, pii, quality, topk, toxicity, trie, urls
 
 
 def _table(spark, sf_dir, name):
@@ -47,10 +47,19 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_alignment(spark, sf_dir):
+    return alignment.alignment_digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark, sf_dir):
+    return trie.trie_digest(_table(spark, sf_dir, "conversations"))
+
+
 def op13_host_rules(spark, sf_dir):
     return hostrules.host_rules_digest(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pack, op3_jaccard_join, op4_quality, op5_language, op6_lm_score, op7_topk,
-                                     op8_pii, op9_urls, op10_toxicity, op13_host_rules)}
-SQL = {"op1_decontaminate": decontaminate.SQL, "op7_topk": topk.SQL, "op13_host_rules": hostrules.SQL}
+                                     op8_pii, op9_urls, op10_toxicity, op11_alignment, op12_prefix_trie,
+                                     op13_host_rules)}
+SQL = {"op1_decontaminate": decontaminate.SQL, "op7_topk": topk.SQL, "op12_prefix_trie": trie.SQL, "op13_host_rules": hostrules.SQL}
