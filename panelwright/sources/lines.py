@@ -1,13 +1,14 @@
 """Page lines to records. Order is always a column: (document, page, line_no).
 
-Windows run within one page of one document; only numbered candidate lines and one row
-per page are ever ordered across a whole document.
+Windows run within one page of one document. Only one row per page is ordered across a whole
+document (headings); serial numbers are followed through blocks of pages.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.text import clean
+from panelwright.sources.serials import BLOCK_PAGES, take_serials
 
 CODE = r"\(\d{4,}\)"
 LOOKAHEAD = 24
@@ -26,34 +27,16 @@ def _tidy(lines: DataFrame) -> DataFrame:
     return lines.withColumn("line", F.trim("line")).filter(F.col("line") != "")
 
 
-def accepted_serials(lines: DataFrame) -> DataFrame:
+def accepted_serials(lines: DataFrame, block_pages=BLOCK_PAGES) -> DataFrame:
     """(document, page, line_no, serial) of the lines that start record 1, 2, 3, ...
 
     A numeric line qualifies when a code follows within 25 lines of its page. Qualified
-    lines are taken greedily in document order. They are first folded into runs of
-    consecutive numbers, so the sequential step sees one entry per break in numbering.
+    lines are taken greedily in document order, see :mod:`panelwright.sources.serials`.
     """
     page = Window.partitionBy("document", "page").orderBy("line_no")
     ahead = F.max(F.col("line").rlike(CODE)).over(page.rowsBetween(0, LOOKAHEAD))
     found = lines.withColumn("_coded", ahead).filter(F.col("_coded") & F.col("line").rlike(r"^[1-9]\d{0,17}$"))
-    found = found.select("document", "page", "line_no", F.col("line").cast("long").alias("serial"))
-    order = Window.partitionBy("document").orderBy("page", "line_no")
-    breaks = F.coalesce(F.col("serial") != F.lag("serial").over(order) + 1, F.lit(True)).cast("long")
-    marked = found.withColumn("_break", breaks).withColumn(
-        "_run", F.sum("_break").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = marked.groupBy("document", "_run").agg(F.min("serial").alias("lo"), F.max("serial").alias("hi"))
-    start = F.struct(F.lit(1).cast("long").alias("next"),
-                     F.array().cast("array<struct<_run:bigint,_from:bigint>>").alias("taken"))
-
-    def step(acc, run):
-        hit = (acc["next"] >= run["lo"]) & (acc["next"] <= run["hi"])
-        took = F.concat(acc["taken"], F.array(F.struct(run["_run"].alias("_run"), acc["next"].alias("_from"))))
-        return F.when(hit, F.struct((run["hi"] + 1).alias("next"), took.alias("taken"))).otherwise(acc)
-
-    folded = runs.groupBy("document").agg(F.array_sort(F.collect_list(F.struct("_run", "lo", "hi"))).alias("_r"))
-    taken = folded.select("document", F.inline(F.aggregate("_r", start, step, lambda acc: acc["taken"])))
-    return marked.join(taken, ["document", "_run"]).filter(F.col("serial") >= F.col("_from")).select(
-        "document", "page", "line_no", "serial")
+    return take_serials(found.select("document", "page", "line_no", F.col("line").cast("long").alias("serial")), block_pages)
 
 
 def segment_records(lines: DataFrame) -> DataFrame:

@@ -102,6 +102,57 @@ def test_segments_follow_the_greedy_rule(spark):
     assert got == sorted(_greedy(pages)) and len(got) >= 7
 
 
+def test_serials_of_a_document_in_many_blocks(spark):
+    """A hot document of 150 pages, breaks at random places, beside short ones; blocks of one to four pages."""
+    import random
+    rng, documents = random.Random(11), {}
+    for name, n in (("hot", 150), ("a", 1), ("b", 7), ("c", 13), ("none", 3)):
+        want, pages = 1, []
+        for p in range(n):
+            lines = []
+            for _ in range(rng.randint(0, 9)):
+                more = rng.choice([[str(want)], [str(want), "x"], [str(rng.randint(1, want + 3))], ["(12345)"], ["7", str(want + 1)]])
+                for line in more:
+                    want += line == str(want) and rng.random() < 0.99
+                lines += more
+            pages.append((p * (3 if name == "c" else 1) - (4 if name == "b" else 0), lines + ["(12345)"] * (name != "none")))
+        documents[name] = pages
+    rows = [(d, p, i, l) for d, pages in documents.items() for p, lines in pages for i, l in enumerate(lines)]
+    df = spark.createDataFrame(rows, "document string, page int, line_no int, line string")
+    expected = sorted((d, *x) for d, pages in documents.items() for x in _greedy(pages))
+    assert sum(x[0] == "hot" for x in expected) > 20
+    for block_pages in (1, 4, 64):
+        got = sorted((r.document, r.page, r.line_no, r.serial) for r in L.accepted_serials(df, block_pages).collect())
+        assert got == expected
+    assert L.accepted_serials(df.limit(0)).count() == 0
+
+
+def test_block_maps_compose_like_their_lines(spark):
+    from panelwright.sources import serials
+    import random
+    rng = random.Random(3)
+    lines = [rng.randint(1, 9) for _ in range(60)]
+    found = spark.createDataFrame([("d", i // 30, i, i, v) for i, v in enumerate(lines)], "document string, _block long, page int, line_no int, serial long")
+    leads = {(r._block, r.serial): r.next for r in serials.block_maps(found).collect()}
+    whole = serials.block_maps(found.withColumn("_block", F.lit(0).cast("long"))).collect()
+    maps = serials.block_maps(found).selectExpr("document", "2L AS _blocks", "_block AS _node", "serial", "next")
+    composed = {r.serial: r.next for r in serials._composed(maps).collect()}
+    for e in range(1, 12):
+        want = e
+        for v in lines:
+            want += v == want
+        middle = leads.get((0, e), e)
+        assert leads.get((1, middle), middle) == want == composed.get(e, e)
+    assert composed == {r.serial: r.next for r in whole}
+
+
+def test_segmentation_orders_no_document_in_one_task(spark):
+    df = spark.createDataFrame([("d", 1, 1, "1"), ("d", 90, 1, "(12345)")], "document string, page int, line_no int, line string")
+    plan = L.segment_records(df)._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window " in line]
+    assert windows and all("page#" in line.split("],")[-2] + line.split("],")[-1] for line in windows)
+
+
 def test_line_records(spark):
     lines = ["Heading", "1", "Road", "part", "(AG)", "(12345)", "Goa", "01/2020", "02/2024", "(-)", "10.0", "(12.0)", "3", "40",
              "2", "Dam", "XY", "(12346)", "Bihar", "03/2024", "-", "5", "(6)", "7", "8", "Total (2)", "9"]
