@@ -33,8 +33,10 @@ from panelwright.session import cut_lineage, discard
 
 #: Pairs of the table that is sent to the tasks, at 16 bytes each.
 TABLE_PAIRS = 1 << 19
-#: Distinct pairs a task gathers before it passes on their counts.
-GATHERED = 1 << 20
+#: Pairs a task gathers before it adds them up, and distinct ones that it then passes on.
+GATHERED, PASSED = 1 << 20, 1 << 18
+#: Bytes of text encoded, and bytes of ids aligned, at a time.
+TEXT_BYTES, ID_BYTES = 2 << 20, 1 << 20
 #: An id pair is one number, A's id above B's.
 _SHIFT = 32
 
@@ -162,22 +164,35 @@ def _raw(column):
     return data, offsets - offsets[0]
 
 
-def _flat(column):
+def _kinds(paths):
+    """Unsigned little-endian types that hold all ids of A and of B."""
+    return ["<u2" if len(lengths) <= 1 << 16 else "<u4" for lengths in (_lengths(paths[0]), piece_coder(paths[1]).lengths)]
+
+
+def _flat(column, kind):
     data, offsets = _raw(column)
-    return data.view("<u4").astype(np.int64), offsets // 4
+    ids = data.view(kind)
+    return ids.astype(np.int64), offsets // ids.itemsize
 
 
-def _as_binary(ids, begin):
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin) - 1, [
-        None, pa.py_buffer((begin * 4).astype(np.int64)), pa.py_buffer(ids.astype("<u4"))]).cast(pa.binary())
+def _as_binary(parts, kind):
+    ids = np.concatenate([ids for ids, _ in parts]).astype(kind)
+    sizes = np.concatenate([np.diff(begin) for _, begin in parts])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [
+        None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes * ids.itemsize)]).astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
 
 
 def write_ids(docs: DataFrame, paths, keep) -> DataFrame:
-    """A written table of ``keep``, ``_row``, and the ids ``_a`` and ``_b`` of every document, little-endian unsigned 32-bit."""
+    """A written table of ``keep``, ``_row``, and the ids ``_a`` and ``_b`` of every document, in the types of :func:`_kinds`."""
 
     def encoded(column):
-        (a, a_begin), (b, b_begin) = both_ids(column, paths)
-        return [_as_binary(a, a_begin), _as_binary(b, b_begin)]
+        none = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        a, b = [none], [none]
+        for low, high in tb.slices(tb.raw(column)[1], TEXT_BYTES):
+            one, two = both_ids(column.slice(low, high - low), paths)
+            a.append(one)
+            b.append(two)
+        return [_as_binary(parts, kind) for parts, kind in zip((a, b), _kinds(paths))]
 
     found = per_row(docs, encoded, "_a binary, _b binary", keep=keep)
     return cut_lineage(found.withColumn("_row", F.monotonically_increasing_id()))
@@ -185,23 +200,31 @@ def write_ids(docs: DataFrame, paths, keep) -> DataFrame:
 
 def _aligned(batch, paths):
     names = batch.schema.names
-    return Alignment(_flat(batch.column(names.index("_a"))), _flat(batch.column(names.index("_b"))), _lengths(paths[0]),
-                     piece_coder(paths[1]).lengths)
+    a, b = (_flat(batch.column(names.index(c)), kind) for c, kind in zip(("_a", "_b"), _kinds(paths)))
+    return Alignment(a, b, _lengths(paths[0]), piece_coder(paths[1]).lengths)
 
 
 def pair_counts(ids: DataFrame, paths) -> DataFrame:
     """``pair`` and ``n``, the number of documents that hold the pair linked."""
 
+    def added(parts):
+        pairs, inverse = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
+        return pairs, np.bincount(inverse, np.concatenate([n for _, n in parts]), len(pairs)).astype(np.int64)
+
     def run(batches):
-        pairs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        parts, size = [], 0
         for batch in _small(batches):
-            own, n = np.unique(_aligned(batch, paths).by_document()[1], return_counts=True)
-            pairs, inverse = np.unique(np.concatenate([pairs, own]), return_inverse=True)
-            counts = np.bincount(inverse, np.concatenate([counts, n]), len(pairs)).astype(np.int64)
-            if len(pairs) > GATHERED:
-                yield from _rows(pairs, counts)
-                pairs, counts = pairs[:0], counts[:0]
-        yield from _rows(pairs, counts)
+            pairs, n = np.unique(_aligned(batch, paths).by_document()[1], return_counts=True)
+            parts.append((pairs, n))
+            size += len(pairs)
+            if size > GATHERED:
+                parts = [added(parts)]
+                size = len(parts[0][0])
+                if size > PASSED:
+                    yield from _rows(*parts[0])
+                    parts, size = [], 0
+        if parts:
+            yield from _rows(*added(parts))
 
     gathered = ids.select("_a", "_b").mapInArrow(run, "pair bigint, n bigint")
     return gathered.groupBy("pair").agg(F.sum("n").alias("n"))
@@ -212,7 +235,7 @@ def _rows(pairs, counts, most=1 << 16):
         yield pa.RecordBatch.from_arrays([pa.array(pairs[low:low + most]), pa.array(counts[low:low + most])], names=["pair", "n"])
 
 
-def _small(batches, most=4 << 20):
+def _small(batches, most=ID_BYTES):
     """Batches of a bounded number of id bytes, or of one longer row."""
     for whole in batches:
         if whole.num_rows:
