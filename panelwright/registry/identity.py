@@ -176,13 +176,34 @@ def trajectory_distribution(spark, sf_dir):
     return J.trajectory_distribution(_identity(spark, sf_dir))
 
 
-@query(f"WITH {IDENTITY} SELECT 'lost_observations' AS \"check\", 0 AS violations UNION ALL SELECT 'repeated_observations', 0 "
+_TRANSITIVE = f"""WITH RECURSIVE {IDENTITY},
+said AS (SELECT a_key AS a, b_key AS b FROM exact WHERE accepted UNION SELECT a_key, b_key FROM strong),
+edges AS (SELECT a, b FROM said UNION SELECT b, a FROM said UNION SELECT a, a FROM said UNION SELECT b, b FROM said),
+reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+sets AS (SELECT a AS node, min(b) AS root FROM reach GROUP BY a),
+conflicts AS (SELECT root, count(*) AS observations, count(DISTINCT canonical_project_key) AS entities
+  FROM sets JOIN identity ON canonical_observation_key = node GROUP BY root HAVING count(DISTINCT canonical_project_key) > 1)"""
+
+
+@query(_TRANSITIVE + " SELECT 'lost_observations' AS \"check\", 0 AS violations UNION ALL SELECT 'repeated_observations', 0 "
        "UNION ALL SELECT 'split_observations', 0 UNION ALL SELECT 'entity_twice_in_snapshot', "
-       "(SELECT count(*) FROM (SELECT 1 FROM identity GROUP BY canonical_project_key, source_snapshot HAVING count(*) > 1))")
+       "(SELECT count(*) FROM (SELECT 1 FROM identity GROUP BY canonical_project_key, source_snapshot HAVING count(*) > 1)) "
+       "UNION ALL SELECT 'broken_transitivity', (SELECT count(*) FROM conflicts)")
 def audit_identity(spark, sf_dir):
-    """Loss, repeats and doubled entities."""
+    """Loss, repeats, doubled entities and linked observations that are not one entity."""
+    df = _stored(spark, sf_dir)
+    found = J.match_snapshots(df, D.SNAPSHOTS)
+    identity = cut_lineage(J.assign_entities(df, found.exact, found.strong_early, found.strong_late, D.SNAPSHOTS))
+    return J.audit_identity(df, identity, found.accepted_links())
+
+
+@query(_TRANSITIVE + " SELECT root, observations, entities FROM conflicts")
+def transitivity_conflicts(spark, sf_dir):
+    """Sets of observations that accepted links join but the identity map splits."""
     df = _stored(spark, sf_dir)
-    return J.audit_identity(df, J.resolve(df, D.SNAPSHOTS))
+    found = J.match_snapshots(df, D.SNAPSHOTS)
+    identity = J.assign_entities(df, found.exact, found.strong_early, found.strong_late, D.SNAPSHOTS)
+    return J.transitivity_conflicts(identity, found.accepted_links())
 
 
 _PAIR_DOUBLES = [*P.NUMERIC_FEATURES[:7], "feat_remaining_original_duration_months", "future_total_cost_escalation_1999",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelwright.operators import identity as J
 from panelwright.operators import scale as Z
+from panelwright.operators.links import components
 
 OBS = ("canonical_observation_key string, source_snapshot string, source_table string, source_project_id string, source_row string, "
        "project_name string, state string, agency string, approval_date string, original_cost_crore string")
@@ -78,7 +79,49 @@ def test_cascade(spark):
     assert m["2025-07:6"].canonical_project_key == "PROJ-REVIEW-2025-07-6" and "State conflict" in m["2025-07:6"].match_evidence
     assert m["2025-07:7"].canonical_project_key == "PROJ-UNMATCHED-2025-07-7" and len(m) == 8
     checks = {r.check: r.violations for r in J.audit_identity(obs, J.resolve(obs, ("2025-06", "2025-07", "2026-07"))).collect()}
-    assert set(checks.values()) == {0}
+    assert set(checks.values()) == {0} and len(checks) == 4
+    # O1 is 2025-07:5 and 2026-07:8, and 2025-07:5 is 2026-07:5: one chain, two entities.
+    found = J.match_snapshots(obs, ("2025-06", "2025-07", "2026-07"))
+    identity = J.assign_entities(obs, found.exact, found.strong_early, found.strong_late, ("2025-06", "2025-07", "2026-07"))
+    checks = {r.check: r.violations for r in J.audit_identity(obs, identity, found.accepted_links()).collect()}
+    assert checks.pop("broken_transitivity") == 1 and set(checks.values()) == {0}
+    one = identity.withColumn("canonical_project_key", F.lit("P"))
+    assert J.transitivity_conflicts(one, found.accepted_links()).count() == 0
+
+
+def test_components_of_chains_hubs_and_nothing(spark):
+    rng = random.Random(4)
+    pairs = [(f"c{i:04d}", f"c{i + 1:04d}") for i in range(200)] + [("hub", f"x{i:04d}") for i in range(500)]
+    pairs += [("self", "self"), (None, "self"), ("hub", "x0001")] + [(f"r{rng.randrange(90):02d}", f"r{rng.randrange(90):02d}") for _ in range(60)]
+    rng.shuffle(pairs)
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        if a and b and a != b:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    frame = spark.createDataFrame(pairs, "a string, b string")
+    got = {r.node: r.root for r in components(frame).collect()}
+    assert got == {x: find(x) for x in root if find(x) != x} and got["x0499"] == "hub" and got["c0200"] == "c0000"
+    assert components(frame.limit(0)).count() == 0
+
+
+def test_title_join_moves_rows_linear_in_words(spark):
+    """Rows before the join hold one token each; a title of four times the words has about four times the rows."""
+    sizes = {}
+    for words in (50, 200):
+        titles = spark.range(20).select(
+            F.col("id").cast("string").alias("title"), F.lit(True).alias("in_a"), F.lit(True).alias("in_b"),
+            F.transform(F.sequence(F.lit(1), F.lit(words)), lambda i: F.concat(F.lit("w"), (i + F.col("id")).cast("string"))).alias("tokens"))
+        rows = J._prefixes(titles, 0.85)
+        assert not any(t.startswith("array") for _, t in rows.dtypes)
+        sizes[words] = rows.count()
+    assert sizes[200] <= 4.5 * sizes[50]
 
 
 def _values(spark, n=4000, partitions=5):
