@@ -38,7 +38,9 @@ from panelwright.llm.frames import cut_lineage, discard
 SHINGLE = 4
 #: Link when ``DEN * intersection >= NUM * union``.
 NUM, DEN = 85, 100
-_COUNTERS, _BITS = 1 << 21, 1 << 22
+_COUNTERS = 1 << 21
+#: Bits of a membership table for each of its keys, and at most (16 MB).
+_BITS_A_KEY, _MOST_BITS = 16, 1 << 27
 #: Buckets of a set's profile: how many of its hashes fall into each.
 _PROFILE = 256
 #: Long words of a set's bit profile: which of 64 times as many buckets hold a hash.
@@ -47,6 +49,10 @@ _WORDS = 8
 PIVOT_ROUNDS = 2
 #: Candidate sets in one prefix tree, and candidates of a probe in one group of rows.
 TREE = 128
+#: Bytes of candidate sets that a tree holds before it is used and dropped.
+TREE_BYTES = 8 << 20
+#: Rows of documents handled at a time.
+ROWS = 1000
 _PART = 1 << 10
 
 
@@ -92,6 +98,12 @@ def _spread(keys, size):
     return (tb.mix(np.asarray(keys).astype(np.int64).view(np.uint64)) & np.uint64(size - 1)).astype(np.int64)
 
 
+def is_member(keys, table):
+    """Whether each of the long keys may be in a packed membership table."""
+    at = _spread(keys, 8 * len(table))
+    return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
 def _blocks(counts):
     """Non-empty parts of a counter array as rows of compressed integers."""
     table = counts.reshape(-1, _PART)
@@ -123,16 +135,43 @@ def _table(rows, size):
     return out
 
 
-def membership(keys: DataFrame, size=_BITS) -> np.ndarray:
-    """A fixed-size table that is true wherever one of the long keys may be."""
+def membership(keys: DataFrame, count: int) -> np.ndarray:
+    """A packed table that says yes wherever one of the ``count`` long keys may be.
+
+    It has 16 bits a key, up to 16 MB in all; with still more keys it says yes more often.
+    """
+    size = min(max(1 << (_BITS_A_KEY * max(1, count) - 1).bit_length(), 8 * _PART), _MOST_BITS)
+
     def run(batches):
-        counts = np.zeros(size, np.int8)
+        bits = np.zeros(size // 8, np.uint8)
         for batch in batches:
-            counts[_spread(batch.column(0).fill_null(-1), size)] = 1
-        used, blocks = _blocks(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blocks, pa.binary())], names=["block", "counts"])
+            at = _spread(batch.column(0).fill_null(-1), size)
+            np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        parts = bits.reshape(-1, _PART)
+        used = np.flatnonzero(parts.any(axis=1))
+        for low in range(0, len(used), 1024):
+            own = used[low:low + 1024]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in own], pa.binary())],
+                                             names=["block", "bits"])
+
+    def join(batches):
+        totals: dict = {}
+        for batch in batches:
+            for block, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = np.frombuffer(zlib.decompress(bits), np.uint8)
+                totals[block] = totals[block] | own if block in totals else own
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(
+            [zlib.compress(t.tobytes(), 1) for t in totals.values()], pa.binary())], names=["block", "bits"])
+
+    out = np.zeros(size // 8, np.uint8)
+    rows = keys.mapInArrow(run, "block int, bits binary").repartition("block").mapInArrow(join, "block int, bits binary").collect()
+    for r in rows:
+        out[r["block"] * _PART:(r["block"] + 1) * _PART] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    return out
 
-    return _table(_sum_blocks(keys.mapInArrow(run, "block int, counts binary")), size) > 0
+
+def _few(batches, size=ROWS):
+    return (whole.slice(at, size) for whole in batches for at in range(0, whole.num_rows, size))
 
 
 def _scan(docs: DataFrame, k, seed) -> DataFrame:
@@ -140,7 +179,7 @@ def _scan(docs: DataFrame, k, seed) -> DataFrame:
     def run(batches):
         counts = np.zeros(_COUNTERS, np.int32)
         names = ["doc_id", "n_shingles", "cid", "proof", "block", "counts"]
-        for batch in batches:
+        for batch in _few(batches):
             n, keys = np.zeros(batch.num_rows, np.int64), np.zeros((2, batch.num_rows), np.int64)
             for row, own in sets_of(batch.column(1), k, seed):
                 n[row] = len(own)
@@ -162,9 +201,8 @@ def _scan(docs: DataFrame, k, seed) -> DataFrame:
 def _each_set(batches, k, seed, chosen):
     """Sets of rows whose ``doc_id`` may be a representative, each class once per task."""
     seen = set()
-    for batch in batches:
-        wanted = chosen[_spread(batch.column(0).fill_null(-1), _BITS)]
-        rows = np.flatnonzero(wanted)
+    for batch in _few(batches):
+        rows = np.flatnonzero(is_member(batch.column(0).fill_null(-1), chosen))
         if not len(rows):
             continue
         for row, own in sets_of(batch.column(1).take(pa.array(rows)), k, seed):
@@ -219,21 +257,32 @@ def bit_profile(own):
 
 def _candidates(docs, k, seed, chosen, levels, shared) -> DataFrame:
     """Sets whose beginning holds a shingle that may be shared: where, and the set's profiles."""
-    hit = pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32())]))
+    names = ["cid", "n", "profile", "bits", "tokens", "places"]
+
+    def run(batches):
+        held, weight = [], 0
+
+        def batch():
+            cids, sizes, profiles, bits, tokens, places = zip(*held)
+            bounds = pa.array(np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32))
+            return pa.RecordBatch.from_arrays([
+                pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(profiles, pa.binary()), pa.array(bits, pa.list_(pa.int64())),
+                pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(tokens))), pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(places)))], names=names)
 
-    def rows(batches):
         for cid, own in _each_set(batches, k, seed, chosen.value):
             own = in_order(own, levels.value)
             begin = own[:prefix_length(len(own))].view(np.int64)
-            at = np.flatnonzero(shared.value[_spread(begin, _BITS)])
+            at = np.flatnonzero(is_member(begin, shared.value))
             if len(at):
-                yield cid, len(own), profile(own).tobytes(), bit_profile(own), [{"token": t, "pos": p} for t, p in zip(begin[at].tolist(), at.tolist())]
-
-    def run(batches):
-        yield from _batches(rows(batches), ["cid", "n", "profile", "bits", "hits"],
-                            [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), hit])
+                held.append((cid, len(own), profile(own).tobytes(), bit_profile(own), begin[at], at.astype(np.int32)))
+                weight += 400 + 12 * len(at)
+                if weight > 4 << 20:
+                    yield batch()
+                    held, weight = [], 0
+        if held:
+            yield batch()
 
-    return docs.mapInArrow(run, "cid bigint, n bigint, profile binary, bits array<bigint>, hits array<struct<token:bigint,pos:int>>")
+    return docs.mapInArrow(run, "cid bigint, n bigint, profile binary, bits array<bigint>, tokens array<bigint>, places array<int>")
 
 
 def _sets(docs, k, seed, chosen, levels) -> DataFrame:
@@ -323,7 +372,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     ordered = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def links(batches):
-        group, probe, held = None, None, []
+        group, probe, held, weight = None, None, [], 0
 
         def flush():
             if held and probe is not None:
@@ -335,14 +384,15 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 own = np.frombuffer(tokens, "<u8")
                 if (a, part) != group:
                     yield from flush()
-                    group, probe, held = (a, part), None, []
+                    group, probe, held, weight = (a, part), None, [], 0
                 if b is None:
                     probe = own
                 else:
                     held.append((b, own))
-                    if len(held) >= 4 * TREE:
+                    weight += own.nbytes
+                    if len(held) >= 4 * TREE or weight > TREE_BYTES:
                         yield from flush()
-                        held = []
+                        held, weight = [], 0
         yield from flush()
 
     def run(batches):
@@ -367,79 +417,97 @@ def _classes(docs, k):
 
 
 _BITWORDS = [f"b{i}" for i in range(_WORDS)]
-_SET = ["cid", "n", *_BITWORDS]
 
 
 def _placed(shared: DataFrame, roots) -> DataFrame:
     """Shared shingles of sets with their components, where a shingle has several components."""
-    placed = shared.withColumn("root", F.col("cid")) if roots is None else shared.join(
-        roots, F.col("cid") == F.col("node"), "left").select(*shared.columns, F.coalesce("root", "cid").alias("root"))
+    placed = shared.withColumn("root", F.col("cid")) if roots is None else shared.drop("root").join(
+        roots, F.col("cid") == F.col("node"), "left").select(*shared.columns[:4], F.coalesce("root", "cid").alias("root"))
     mixed = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token")
-    return placed.join(mixed, "token")
+    return placed.join(mixed, "token").select("cid", "n", "token", "pos", "root")
 
 
 _NEED = f"({NUM} * (n + n_r) + {NUM + DEN - 1}) div {NUM + DEN}"
 
 
-def _close():
-    """Sizes, and bit profiles that differ no more than those of linked sets can."""
+def _near_in_size():
+    return (F.col("root") != F.col("root_r")) & (DEN * F.least("n", "n_r") >= NUM * F.greatest("n", "n_r"))
+
+
+def _alike():
+    """Bit profiles that differ no more than those of linked sets can."""
     need = F.expr(_NEED)
     alone = lambda x, y: F.expr(" + ".join(f"bit_count(b{i}{x} & ~b{i}{y})" for i in range(_WORDS)))
-    return ((F.col("root") != F.col("root_r")) & (DEN * F.least("n", "n_r") >= NUM * F.greatest("n", "n_r"))
-            & (alone("", "_r") <= F.col("n") - need) & (alone("_r", "") <= F.col("n_r") - need))
+    return (alone("", "_r") <= F.col("n") - need) & (alone("_r", "") <= F.col("n_r") - need)
+
 
+def _pivots(placed: DataFrame, bits: DataFrame, salt: int) -> DataFrame:
+    """Each set beside the pivot of each of its shared shingles, where they may link.
 
-def _pivots(placed: DataFrame, salt: int) -> DataFrame:
-    """Each set beside the pivot of each of its shared shingles, where they may link."""
-    own = F.struct(*[F.col(c).alias(f"{c}_r") for c in [*_SET, "root"]])
+    Bit profiles join each distinct pair, not each shingle of a set.
+    """
+    own = F.struct(F.col("cid").alias("cid_r"), F.col("n").alias("n_r"), F.col("root").alias("root_r"))
     groups = placed.groupBy("token").agg(F.min_by(own, F.xxhash64("cid", "token", F.lit(salt))).alias("p")).select("token", "p.*")
-    return placed.join(groups, "token").filter(_close()).select(F.col("cid_r").alias("a"), F.col("cid").alias("b")).distinct()
+    pairs = placed.join(groups, "token").filter(_near_in_size()).select("cid", "n", "cid_r", "n_r").distinct()
+    other = bits.select(F.col("cid").alias("cid_r"), *[F.col(b).alias(f"{b}_r") for b in _BITWORDS])
+    return pairs.join(bits, "cid").join(other, "cid_r").filter(_alike()).select(F.col("cid_r").alias("a"), F.col("cid").alias("b"))
 
 
-def _across(placed: DataFrame) -> DataFrame:
+def _across(placed: DataFrame, bits: DataFrame) -> DataFrame:
     """All candidate pairs of different components: a shared shingle within both beginnings
     that the pair's sizes ask for, and positions that leave room for the needed overlap."""
-    right = placed.select("token", *[F.col(c).alias(f"{c}_r") for c in [*_SET, "root", "pos"]])
+    left = placed.join(bits, "cid")
+    right = left.select("token", *[F.col(c).alias(f"{c}_r") for c in ["cid", "n", "root", "pos", *_BITWORDS]])
     need = F.expr(_NEED)
-    return placed.join(right, "token").filter(
+    return left.join(right, "token").filter(
         (F.col("root") < F.col("root_r")) & (F.col("pos") <= F.col("n") - need) & (F.col("pos_r") <= F.col("n_r") - need)
-        & (F.least("pos", "pos_r") + F.least(F.col("n") - F.col("pos"), F.col("n_r") - F.col("pos_r")) >= need) & _close()
+        & (F.least("pos", "pos_r") + F.least(F.col("n") - F.col("pos"), F.col("n_r") - F.col("pos_r")) >= need) & _near_in_size() & _alike()
     ).select(F.col("cid").alias("a"), F.col("cid_r").alias("b")).distinct()
 
 
 def jaccard_groups(docs: DataFrame, k=SHINGLE) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every document."""
-    spark = docs.sparkSession
-    context = spark.sparkContext
+    context = docs.sparkSession.sparkContext
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     seed, documents, classes, counters = _classes(slim, k)
     counts = _table(_sum_blocks(counters), _COUNTERS)
     levels = context.broadcast((np.log2(1.0 + counts) * 16384).astype(np.uint32))
-    chosen = context.broadcast(membership(classes.select("rep")))
+    chosen = context.broadcast(membership(classes.select("rep"), classes.count()))
     tokens = cut_lineage(_beginnings(slim, k, seed, chosen, levels).groupBy("token").agg(
         F.min("cid").alias("x"), F.max("cid").alias("y")).filter("x <> y").select("token"))
-    shared_bits = context.broadcast(membership(tokens))
+    shared_bits = context.broadcast(membership(tokens, tokens.count()))
     candidates = cut_lineage(_candidates(slim, k, seed, chosen, levels, shared_bits))
-    words = [F.col("bits")[i].alias(b) for i, b in enumerate(_BITWORDS)]
-    shared = cut_lineage(candidates.select("cid", "n", *words, F.explode("hits").alias("h")).select(*_SET, "h.token", "h.pos").join(tokens, "token"))
+    shared_bits.destroy()
+    chosen.destroy()
+    bits = candidates.select("cid", *[F.col("bits")[i].alias(b) for i, b in enumerate(_BITWORDS)])
+    hits = candidates.select("cid", "n", F.inline(F.arrays_zip("tokens", "places"))).select("cid", "n", F.col("tokens").alias("token"), F.col("places").alias("pos"))
+    placed = cut_lineage(hits.join(tokens, "token").select("cid", "n", "token", "pos", F.col("cid").alias("root")))
+    discard(tokens)
 
     def links(pairs):
         """Candidate pairs that link: by profiles, then by the sets of what is left."""
         left = cut_lineage(possible(pairs, candidates))
-        ids = left.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        wanted = context.broadcast(membership(classes.join(ids, "cid").select("rep")))
+        ids = cut_lineage(classes.join(left.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid").select("rep"))
+        wanted = context.broadcast(membership(ids, ids.count()))
         sets = cut_lineage(_sets(slim, k, seed, wanted, levels))
         found = cut_lineage(verified(left, sets).select("a", "b"))
-        discard(left, sets)
+        wanted.destroy()
+        discard(left, ids, sets)
         return found
 
-    found, roots = None, None
+    parts, roots = [], None
     for number in range(PIVOT_ROUNDS + 1):
-        placed = _placed(shared, roots)
-        more = links(_pivots(placed, number) if number < PIVOT_ROUNDS else _across(placed))
-        found = more if found is None else found.unionByName(more)
+        if roots is not None:
+            # A shingle whose sets are in one component has nothing left to say in later rounds.
+            old, placed = placed, cut_lineage(_placed(placed, roots))
+            discard(old)
+        parts.append(links(_pivots(placed, bits, number) if number < PIVOT_ROUNDS else _across(placed, bits)))
+        found = parts[0]
+        for more in parts[1:]:
+            found = found.unionByName(more)
         roots = components(found)
-    discard(tokens, candidates, shared)
+    levels.destroy()
+    discard(candidates, placed, *parts)
     placed = classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_class = placed.join(smallest, "root").select("cid", "component_id")
