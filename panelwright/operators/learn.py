@@ -1,4 +1,4 @@
-"""Preprocessing, models and calibration on Spark ML; parameters are fitted on train rows only.
+"""Preprocessing, models and calibration; parameters are fitted on train rows only.
 
 What a fit brings to the driver is the model itself: a few constants, one weight or
 importance per feature, one label list per categorical column.
@@ -19,7 +19,9 @@ from panelwright.functions.numeric import clip, logit
 from panelwright.operators.cohort import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from panelwright.operators.explain import reference_profile
 from panelwright.operators.metrics import metric_deltas, metrics
+from panelwright.operators.newton import MOST_FEATURES, newton_logistic
 from panelwright.operators.scale import beside
+from panelwright.session import cut_lineage, discard
 
 # The basic five-column predictor set of the feature-set experiment.
 BASIC_NUMERIC = ["feat_original_cost_crore", "feat_cumulative_expenditure_crore", "feat_physical_progress_pct"]
@@ -97,11 +99,46 @@ class FittedModel:
     def classifier(self):
         return self.pipeline.stages[-1]
 
+    @property
+    def intercept(self) -> float:
+        return float(self.classifier.intercept)
 
-def _fit(train: DataFrame, y: str, classifier, numeric, categorical) -> FittedModel:
+    @property
+    def weights(self) -> list:
+        return [float(w) for w in self.classifier.coefficients]
+
+
+@dataclass
+class LogisticModel:
+    """Weights by feature name, an intercept and the imputation profile; a score is one column expression."""
+
+    intercept: float
+    names: list
+    weights: list
+    profile: dict
+    numeric: list
+    levels: dict
+
+    def score(self, df: DataFrame, out="probability") -> DataFrame:
+        """Add the probability of class 1; a level unseen in the fit adds nothing."""
+        of = dict(zip(self.names, self.weights))
+        z = F.lit(self.intercept)
+        for c in self.numeric:
+            z = z + F.lit(of[c]) * F.coalesce(F.col(c).cast("double"), F.lit(float(self.profile[c])))
+        for c, known in self.levels.items():
+            if known:
+                table = F.create_map(*[F.lit(v) for level in known for v in (level, of[f"{c}={level}"])])
+                z = z + F.coalesce(F.try_element_at(table, F.coalesce(F.col(c).cast("string"), F.lit(self.profile[c]))), F.lit(0.0))
+        return df.select("*", (F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).alias(out))
+
+
+def _profile(train: DataFrame, numeric, categorical) -> dict:
     row = reference_profile(train, numeric, categorical).first()
-    profile = {c: (0.0 if c in numeric else "MISSING") if row[c] is None else row[c]
-               for c in [*numeric, *categorical]}
+    return {c: (0.0 if c in numeric else "MISSING") if row[c] is None else row[c] for c in [*numeric, *categorical]}
+
+
+def _fit(train: DataFrame, y: str, classifier, numeric, categorical) -> FittedModel:
+    profile = _profile(train, numeric, categorical)
     filled = train.select(F.col(y).cast("double").alias("_label"), *[
         F.coalesce(F.col(c).cast("double" if c in numeric else "string"), F.lit(v)).alias(f"_x_{c}")
         for c, v in profile.items()])
@@ -130,8 +167,34 @@ def _rows_to_fit(train: DataFrame) -> int:
 
 
 def fit_logistic(train: DataFrame, y: str, numeric=NUMERIC_FEATURES, categorical=CATEGORICAL_FEATURES,
-                 c=1.0, max_iter=2000) -> FittedModel:
-    """L2 logistic regression on unscaled features with inverse strength ``c``."""
+                 c=1.0, steps=25):
+    """L2 logistic regression on unscaled features with inverse strength ``c``; the intercept is free.
+
+    Newton steps, see :mod:`panelwright.operators.newton`. With more levels than its sums
+    take, :func:`fit_wide_logistic` fits the same loss by gradients.
+    """
+    _rows_to_fit(train)
+    profile = _profile(train, numeric, categorical)
+    levels, free = {}, MOST_FEATURES - 1 - len(numeric)
+    for name in categorical:
+        own = train.select(F.coalesce(F.col(name).cast("string"), F.lit(profile[name])).alias("v")).distinct().limit(free + 1).collect()
+        levels[name] = sorted(r["v"] for r in own)
+        free -= len(own)
+        if free < 0:
+            return fit_wide_logistic(train, y, numeric, categorical, c)
+    names = [*numeric, *[f"{name}={level}" for name, known in levels.items() for level in known]]
+    filled = lambda name: F.coalesce(F.col(name).cast("double" if name in numeric else "string"), F.lit(profile[name]))
+    x = F.array(F.lit(1.0), *[filled(name) for name in numeric],
+                *[(filled(name) == level).cast("double") for name, known in levels.items() for level in known])
+    rows = cut_lineage(train.filter(F.col(y).isNotNull()).select(x.alias("x"), F.col(y).cast("double").alias("y"), F.lit(1.0).alias("w")))
+    weights = newton_logistic(rows, [0.0] + [1.0 / c] * len(names), steps)
+    discard(rows)
+    return LogisticModel(float(weights[0]), names, [float(w) for w in weights[1:]], profile, list(numeric), levels)
+
+
+def fit_wide_logistic(train: DataFrame, y: str, numeric=NUMERIC_FEATURES, categorical=CATEGORICAL_FEATURES,
+                      c=1.0, max_iter=2000) -> FittedModel:
+    """The loss of :func:`fit_logistic` on sparse vectors, for any number of levels."""
     n = _rows_to_fit(train)
     lr = LogisticRegression(featuresCol="_features", labelCol="_label", regParam=1.0 / (c * n),
                             elasticNetParam=0.0, standardization=False, maxIter=max_iter)
@@ -160,12 +223,10 @@ def score_tasks(df: DataFrame, cost: FittedModel, schedule: FittedModel,
     return both.withColumn("schedule_risk_probability", F.when(F.col(eligible) == 1, F.col("_ps"))).drop("_ps")
 
 
-def coefficients(model: FittedModel, spark) -> DataFrame:
+def coefficients(model: LogisticModel | FittedModel, spark) -> DataFrame:
     """(feature, kind, coefficient) with the intercept as a row."""
-    lr = model.classifier
-    rows = [("(intercept)", "intercept", float(lr.intercept))]
-    rows += [(n, "categorical" if "=" in n else "numeric", float(w))
-             for n, w in zip(model.names, lr.coefficients.toArray())]
+    rows = [("(intercept)", "intercept", model.intercept)]
+    rows += [(n, "categorical" if "=" in n else "numeric", w) for n, w in zip(model.names, model.weights)]
     return spark.createDataFrame(rows, "feature string, kind string, coefficient double")
 
 
@@ -221,11 +282,11 @@ def _weighted(df, y, p):
 
 def fit_platt(df: DataFrame, y: str, p: str, c=1e6) -> Platt:
     rows = _weighted(df, y, p)
-    n = _rows_to_fit(df.filter(F.col(p).isNotNull() & F.col(y).isNotNull()))
-    vec = VectorAssembler(inputCols=["z"], outputCol="features").transform(rows.withColumn("z", logit("p")))
-    m = LogisticRegression(weightCol="w", regParam=1.0 / (c * n), elasticNetParam=0.0,
-                           standardization=False, maxIter=2000).fit(vec)
-    return Platt(float(m.intercept), float(m.coefficients[0]))
+    _rows_to_fit(df.filter(F.col(p).isNotNull() & F.col(y).isNotNull()))
+    stored = cut_lineage(rows.select(F.array(F.lit(1.0), logit("p")).alias("x"), F.col("label").alias("y"), "w"))
+    alpha, beta = newton_logistic(stored, [0.0, 1.0 / c])
+    discard(stored)
+    return Platt(float(alpha), float(beta))
 
 
 @dataclass

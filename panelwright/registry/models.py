@@ -1,4 +1,4 @@
-"""Queries on preprocessing and fitted models; fits have no SQL counterpart."""
+"""Queries on preprocessing and fitted models; forests have no SQL counterpart."""
 
 from pyspark.sql import functions as F
 
@@ -7,7 +7,8 @@ from panelwright.operators import split as K
 from panelwright.plans import derived as D
 from panelwright.plans import portfolio as W
 from panelwright.registry import query
-from panelwright.registry.sql import COHORT
+from panelwright.registry.newton_sql import COEFFICIENTS, LOGISTIC, newton
+from panelwright.registry.sql import COHORT, PREDICTIONS
 from panelwright.session import cut_lineage
 
 KEY = "canonical_project_key"
@@ -92,10 +93,11 @@ def _part(df, name):
     return df.filter(F.col("partition") == name)
 
 
-@query()
+@query(f"WITH RECURSIVE {LOGISTIC} SELECT {KEY}, partition, CAST(y AS INTEGER) AS y, round(p, 6) AS p, task FROM scored")
 def logistic_scores(spark, sf_dir):
     """M6: logistic probabilities of every row, both tasks."""
-    return _per_task(spark, sf_dir, lambda df: M.fit_logistic(_part(df, "MODELFIT"), "y").score(df, "p").select(KEY, "partition", "y", "p"))
+    return _per_task(spark, sf_dir, lambda df: M.fit_logistic(_part(df, "MODELFIT"), "y").score(df, "p").select(
+        KEY, "partition", F.col("y").cast("int").alias("y"), F.round("p", 6).alias("p")))
 
 
 # Fits keep totals: with a free intercept a logistic fit's probabilities sum to its events, and
@@ -151,12 +153,14 @@ def feature_set_experiment(spark, sf_dir):
     return _per_task(spark, sf_dir, lambda df: M.feature_set_deltas(M.compare_feature_sets(df, "y")))
 
 
-@query()
+@query(f"WITH RECURSIVE {COEFFICIENTS} SELECT c.task, c.feature, kind, round(coefficient, 6) AS coefficient, "
+       "CASE WHEN t <= 5 THEN 'top' WHEN b <= 5 THEN 'bottom' END AS side FROM coefs c LEFT JOIN ranked r ON r.task = c.task AND r.feature = c.feature")
 def logistic_coefficients(spark, sf_dir):
     """Coefficients by name, extreme levels marked, both tasks."""
     def table(df):
         coefs = M.coefficients(M.fit_logistic(_part(df, "MODELFIT"), "y"), spark)
-        return coefs.join(M.extreme_levels(coefs).select("feature", "side").distinct(), "feature", "left")
+        return coefs.join(M.extreme_levels(coefs).select("feature", "side").distinct(), "feature", "left").withColumn(
+            "coefficient", F.round("coefficient", 6))
 
     return _per_task(spark, sf_dir, table)
 
@@ -188,13 +192,17 @@ def calibrated_comparison(spark, sf_dir):
     return _per_task(spark, sf_dir, table)
 
 
-@query()
+_CLIPPED = "greatest(1e-6, least(1 - 1e-6, p))"
+
+
+@query(f"WITH RECURSIVE {PREDICTIONS}, design AS (SELECT task, [1.0, ln({_CLIPPED} / (1 - {_CLIPPED}))] AS x, CAST(y AS DOUBLE) AS y FROM predictions WHERE p IS NOT NULL AND y IS NOT NULL), "
+       + newton("design", 2, [0, 1e-6]) + " SELECT task, round(w[1], 6) AS intercept_alpha, round(w[2], 6) AS slope_beta FROM fit")
 def calibration_slopes(spark, sf_dir):
-    """Calibration intercept and slope per partition of the given probabilities."""
+    """Calibration intercept and slope of the given probabilities."""
     rows = D.predictions(spark, sf_dir)
     out = [(task, *M.calibration_slope(rows.filter(F.col("task") == task), "y", "p").values())
            for task in ("cost_overrun", "schedule_slippage")]
-    return spark.createDataFrame(out, "task string, intercept_alpha double, slope_beta double")
+    return spark.createDataFrame([(t, round(a, 6), round(b, 6)) for t, a, b in out], "task string, intercept_alpha double, slope_beta double")
 
 
 @query()

@@ -90,7 +90,7 @@ def test_models(spark, sf_dir):
     assert abs(scored.agg(F.avg(F.col("p") - F.col("y"))).first()[0]) < 1e-3
     unseen = df.limit(3).withColumn("feat_agency", F.lit("never seen"))
     assert model.score(unseen, "p").filter("p is null").count() == 0
-    assert M.coefficients(model, spark).count() == len(model.names) + 1 == len(model.classifier.coefficients) + 1
+    assert M.coefficients(model, spark).count() == len(model.names) + 1 == len(model.weights) + 1
     platt, iso = M.fit_platt(scored, "y", "p"), M.fit_isotonic(scored, "y", "p")
     both = iso.apply(platt.apply(scored, "p", "s"), "p", "i").select("p", "s", "i").orderBy("p").collect()
     assert all(a.i <= b.i + 1e-12 for a, b in zip(both, both[1:]))
