@@ -6,11 +6,12 @@ importance per feature, one label list per categorical column.
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from panelwright.functions.numeric import clip, logit
 from panelwright.operators.cohort import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from panelwright.operators.explain import reference_profile
 from panelwright.operators.metrics import metric_deltas, metrics
+from panelwright.operators.isotonic import isotonic_blocks, knots
 from panelwright.operators.newton import MOST_FEATURES, newton_logistic
 from panelwright.operators.scale import beside
 from panelwright.session import cut_lineage, discard
@@ -291,21 +293,25 @@ def fit_platt(df: DataFrame, y: str, p: str, c=1e6) -> Platt:
 
 @dataclass
 class Isotonic:
-    """Monotone step-linear map, clipped to [0, 1]."""
+    """Monotone map, linear between the blocks' ends and constant beyond them, clipped to [0, 1]."""
 
-    model: object
+    xs: np.ndarray
+    ys: np.ndarray
 
     def apply(self, df: DataFrame, p: str, out: str) -> DataFrame:
-        done = self.model.transform(df.withColumn("_p", F.col(p).cast("double")))
-        return done.withColumn(out, clip("_iso", 0.0, 1.0)).drop("_iso", "_p")
+        xs, ys = self.xs, np.clip(self.ys, 0.0, 1.0)
+
+        @F.pandas_udf("double")
+        def mapped(values: pd.Series) -> pd.Series:
+            return pd.Series(np.interp(values, xs, ys)).where(values.notna().to_numpy())
+
+        return df.withColumn(out, mapped(F.col(p).cast("double")))
 
 
 def fit_isotonic(df: DataFrame, y: str, p: str) -> Isotonic:
-    rows = _weighted(df, y, p).groupBy("p").agg(
-        (F.sum(F.col("label") * F.col("w")) / F.sum("w")).alias("label"), F.sum("w").alias("w"))
-    model = IsotonicRegression(featuresCol="_p", labelCol="label", weightCol="w", predictionCol="_iso").fit(
-        rows.withColumnRenamed("p", "_p"))
-    return Isotonic(model)
+    _rows_to_fit(df.filter(F.col(p).isNotNull() & F.col(y).isNotNull()))
+    points = _weighted(df, y, p).groupBy("p").agg(F.sum(F.col("label") * F.col("w")).alias("s"), F.sum("w").alias("w"))
+    return Isotonic(*knots(isotonic_blocks(points)))
 
 
 def calibration_slope(df: DataFrame, y: str, p: str) -> dict:

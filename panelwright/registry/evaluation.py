@@ -14,7 +14,7 @@ def _round(df, columns, digits=6):
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-def _counts(inclusive, by="task, lang"):
+def counts(inclusive, by="task, lang"):
     op = ">=" if inclusive else ">"
     return f"""counts AS (SELECT {by}, count(*) AS n,
   count(*) FILTER (y = 1 AND p {op} 0.5) AS tp, count(*) FILTER (y = 0 AND p {op} 0.5) AS fp,
@@ -28,7 +28,7 @@ full_rates AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + re
   (recall + specificity) / 2 AS balanced_accuracy FROM rates)"""
 
 
-def _curves(by="task, lang"):
+def curves(by="task, lang"):
     g = by
     return f"""flat AS (SELECT {g}, p, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM predictions GROUP BY {g}, p),
 run AS (SELECT *, sum(pos) OVER w AS cp, sum(neg) OVER w AS cn FROM flat
@@ -37,7 +37,7 @@ curves AS (SELECT {g}, sum(neg * (cp - pos / 2)) / nullif(CAST(sum(pos) AS DOUBL
   sum(pos * cp / (cp + cn)) / nullif(sum(pos), 0) AS pr_auc FROM run GROUP BY {g})"""
 
 
-_RATE_COLS = ", ".join(f"round({c}, 6) AS {c}" for c in [*RATES, "brier", "log_loss"])
+RATE_COLS = ", ".join(f"round({c}, 6) AS {c}" for c in [*RATES, "brier", "log_loss"])
 
 
 def _confusion(spark, sf_dir, inclusive):
@@ -45,19 +45,19 @@ def _confusion(spark, sf_dir, inclusive):
     return _round(df, [*RATES, "brier", "log_loss"])
 
 
-@query(f"WITH {PREDICTIONS}, {_counts(True)} SELECT task, lang, n, tp, fp, tn, fn, {_RATE_COLS} FROM full_rates")
+@query(f"WITH {PREDICTIONS}, {counts(True)} SELECT task, lang, n, tp, fp, tn, fn, {RATE_COLS} FROM full_rates")
 def threshold_metrics(spark, sf_dir):
     """E1-E5 with p >= 0.5 counted as positive."""
     return _confusion(spark, sf_dir, True)
 
 
-@query(f"WITH {PREDICTIONS}, {_counts(False)} SELECT task, lang, n, tp, fp, tn, fn, {_RATE_COLS} FROM full_rates")
+@query(f"WITH {PREDICTIONS}, {counts(False)} SELECT task, lang, n, tp, fp, tn, fn, {RATE_COLS} FROM full_rates")
 def argmax_metrics(spark, sf_dir):
     """E1-E5 with p = 0.5 counted as negative."""
     return _confusion(spark, sf_dir, False)
 
 
-@query(f"WITH {PREDICTIONS}, {_curves()} SELECT task, lang, round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc FROM curves")
+@query(f"WITH {PREDICTIONS}, {curves()} SELECT task, lang, round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc FROM curves")
 def discrimination(spark, sf_dir):
     """ROC-AUC and average precision per task and language."""
     return _round(E.discrimination(D.predictions(spark, sf_dir), by=["task", "lang"]), ["roc_auc", "pr_auc"])
@@ -80,7 +80,7 @@ _LANG_PAIR = ", ".join(
     f"round(max({m}) FILTER (lang = 'en') - max({m}) FILTER (lang = 'fr'), 6) AS delta_{m}" for m in E.METRIC_NAMES)
 
 
-@query(f"WITH {PREDICTIONS}, {_counts(True)}, {_curves()} SELECT task, {_LANG_PAIR} FROM full_rates JOIN curves USING (task, lang) GROUP BY task")
+@query(f"WITH {PREDICTIONS}, {counts(True)}, {curves()} SELECT task, {_LANG_PAIR} FROM full_rates JOIN curves USING (task, lang) GROUP BY task")
 def metric_deltas(spark, sf_dir):
     """One variant less another, here two languages."""
     table = E.metrics(D.predictions(spark, sf_dir), by=["task", "lang"])
@@ -91,7 +91,7 @@ _HURDLES = ", ".join(f"('{t}', '{m}', '{op}', {x})" for t, m, op, x in E.HURDLES
 _VALUE = "CASE metric " + " ".join(f"WHEN '{m}' THEN {m}" for m in sorted({h[1] for h in E.HURDLES})) + " END"
 
 
-@query(f"""WITH {PREDICTIONS}, {_counts(True, 'task')}, {_curves('task')},
+@query(f"""WITH {PREDICTIONS}, {counts(True, 'task')}, {curves('task')},
 h(task, metric, rule, floor_) AS (VALUES {_HURDLES})
 SELECT task, metric, rule, CAST(floor_ AS DOUBLE) AS floor, round({_VALUE}, 6) AS value,
   CASE WHEN rule = '>' THEN {_VALUE} > floor_ ELSE {_VALUE} >= floor_ END AS passes

@@ -7,7 +7,8 @@ from panelwright.operators import split as K
 from panelwright.plans import derived as D
 from panelwright.plans import portfolio as W
 from panelwright.registry import query
-from panelwright.registry.newton_sql import COEFFICIENTS, LOGISTIC, newton
+from panelwright.registry.evaluation import RATE_COLS, RATES, counts, curves
+from panelwright.registry.newton_sql import COEFFICIENTS, LOGISTIC, isotonic, newton
 from panelwright.registry.sql import COHORT, PREDICTIONS
 from panelwright.session import cut_lineage
 
@@ -177,6 +178,52 @@ def forest_importances(spark, sf_dir):
     return _per_task(spark, sf_dir, table)
 
 
+_CLIPPED = "greatest(1e-6, least(1 - 1e-6, p))"
+_LOGIT = f"[1.0, ln({_CLIPPED} / (1 - {_CLIPPED}))]"
+
+
+@query(f"WITH {PREDICTIONS}, odd AS (SELECT * FROM predictions WHERE CAST(substr(canonical_project_key, 5) AS BIGINT) % 2 = 1), "
+       + isotonic("odd", "predictions", "calibrated") + f" SELECT {KEY}, task, round(iso, 6) AS calibrated FROM calibrated WHERE p IS NOT NULL")
+def isotonic_calibration(spark, sf_dir):
+    """Isotonic map fitted on every other row, applied to all, with linear parts between its blocks."""
+    rows, out = D.predictions(spark, sf_dir).filter(F.col("p").isNotNull()), None
+    for task in ("cost_overrun", "schedule_slippage"):
+        own = rows.filter(F.col("task") == task)
+        fitted = M.fit_isotonic(own.filter(F.substring(KEY, 5, 99).cast("long") % 2 == 1), "y", "p")
+        one = fitted.apply(own, "p", "iso").select(KEY, "task", F.round("iso", 6).alias("calibrated"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_COMPARED = f"""WITH RECURSIVE {LOGISTIC},
+held AS (SELECT task, p, CAST(y AS DOUBLE) AS y FROM scored WHERE partition = 'CALIBRATION_HOLDOUT'),
+tested AS (SELECT task, p, y FROM scored WHERE partition = 'TEST_HOLDOUT'),
+platt_design AS (SELECT task, {_LOGIT} AS x, y FROM held),
+{newton('platt_design', 2, [0, 1e-6], 'platt')},
+{isotonic('held', 'tested', 'bent')},
+predictions AS (SELECT task, 'raw' AS variant, y, p FROM tested
+  UNION ALL SELECT t.task, 'sigmoid', y, 1 / (1 + exp(-list_dot_product(w, {_LOGIT}))) FROM tested t JOIN platt ON platt.task = t.task
+  UNION ALL SELECT task, 'isotonic', y, iso FROM bent),
+slope_design AS (SELECT task || '/' || variant AS task, {_LOGIT} AS x, CAST(y AS DOUBLE) AS y FROM predictions),
+{newton('slope_design', 2, [0, 1e-6], 'slopes')},
+{counts(True, by='task, variant')}, {curves(by='task, variant')}
+SELECT task, variant, n, tp, fp, tn, fn, {RATE_COLS}, round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc,
+  round(w[1], 4) AS intercept_alpha, round(w[2], 4) AS slope_beta
+FROM full_rates JOIN curves USING (task, variant) JOIN slopes ON slopes.task = full_rates.task || '/' || full_rates.variant"""
+
+
+@query(_COMPARED)
+def calibrated_logistic(spark, sf_dir):
+    """Raw, sigmoid and isotonic probabilities of the logistic model on the same test rows, both tasks."""
+    def table(df):
+        scored = cut_lineage(M.fit_logistic(_part(df, "MODELFIT"), "y").score(df, "p"))
+        done = M.compare_calibrators(_part(scored, "CALIBRATION_HOLDOUT"), _part(scored, "TEST_HOLDOUT"), "y", "p")
+        return done.select("variant", "n", "tp", "fp", "tn", "fn", *[F.round(c, 6).alias(c) for c in [*RATES, "brier", "log_loss", "roc_auc", "pr_auc"]],
+                           F.round("intercept_alpha", 4).alias("intercept_alpha"), F.round("slope_beta", 4).alias("slope_beta"))
+
+    return _per_task(spark, sf_dir, table)
+
+
 @query()
 def calibrated_comparison(spark, sf_dir):
     """Raw, sigmoid and isotonic probabilities of both models and tasks compared."""
@@ -192,10 +239,7 @@ def calibrated_comparison(spark, sf_dir):
     return _per_task(spark, sf_dir, table)
 
 
-_CLIPPED = "greatest(1e-6, least(1 - 1e-6, p))"
-
-
-@query(f"WITH RECURSIVE {PREDICTIONS}, design AS (SELECT task, [1.0, ln({_CLIPPED} / (1 - {_CLIPPED}))] AS x, CAST(y AS DOUBLE) AS y FROM predictions WHERE p IS NOT NULL AND y IS NOT NULL), "
+@query(f"WITH RECURSIVE {PREDICTIONS}, design AS (SELECT task, {_LOGIT} AS x, CAST(y AS DOUBLE) AS y FROM predictions WHERE p IS NOT NULL AND y IS NOT NULL), "
        + newton("design", 2, [0, 1e-6]) + " SELECT task, round(w[1], 6) AS intercept_alpha, round(w[2], 6) AS slope_beta FROM fit")
 def calibration_slopes(spark, sf_dir):
     """Calibration intercept and slope of the given probabilities."""

@@ -76,3 +76,20 @@ coefs AS (SELECT task, feature, coefficient, CASE WHEN feature = '(intercept)' T
   FROM (SELECT task, unnest(names) AS feature, unnest(w) AS coefficient FROM named) WHERE feature IS NOT NULL),
 ranked AS (SELECT task, feature, row_number() OVER (PARTITION BY task ORDER BY coefficient DESC, feature) AS t, row_number() OVER (PARTITION BY task ORDER BY coefficient, feature) AS b
   FROM coefs WHERE kind = 'categorical')"""
+
+
+def isotonic(points: str, queries: str, name: str) -> str:
+    """CTEs for ``name``: the rows of ``queries`` (task, p, ...) with ``iso``, fitted on ``points`` (task, p, y).
+
+    The fit at a value is the largest, over all values not above it, of the smallest mean outcome from there
+    to a value not below it; between values it is linear.
+    """
+    return f"""{name}_sums AS (SELECT task, p, row_number() OVER o AS i, sum(s) OVER o AS s, sum(c) OVER o AS c FROM (
+    SELECT task, p, sum(y) AS s, count(*) AS c FROM {points} WHERE p IS NOT NULL AND y IS NOT NULL GROUP BY task, p) WINDOW o AS (PARTITION BY task ORDER BY p)),
+{name}_means AS (SELECT a.task, a.i AS low, b.i AS high, (b.s - coalesce(z.s, 0)) / CAST(b.c - coalesce(z.c, 0) AS DOUBLE) AS m
+  FROM {name}_sums a JOIN {name}_sums b ON a.task = b.task AND a.i <= b.i LEFT JOIN {name}_sums z ON z.task = a.task AND z.i = a.i - 1),
+{name}_least AS (SELECT task, low, high, min(m) OVER (PARTITION BY task, low ORDER BY high DESC) AS m FROM {name}_means),
+{name}_knots AS (SELECT k.task, k.p, max(m) AS v FROM {name}_sums k JOIN {name}_least l ON l.task = k.task AND l.high = k.i AND l.low <= k.i GROUP BY k.task, k.p),
+{name}_below AS (SELECT q.*, k.p AS p0, k.v AS v0 FROM {queries} q ASOF LEFT JOIN {name}_knots k ON q.task = k.task AND q.p >= k.p),
+{name} AS (SELECT q.* EXCLUDE (p0, v0), CASE WHEN p0 IS NULL THEN k.v WHEN k.p IS NULL OR k.p = p0 THEN v0 ELSE v0 + (k.v - v0) * (q.p - p0) / (k.p - p0) END AS iso
+  FROM {name}_below q ASOF LEFT JOIN {name}_knots k ON q.task = k.task AND q.p <= k.p)"""
