@@ -4,7 +4,8 @@ A sequence has simultaneous limits on tokens, segments and loss-bearing tokens.
 are placed by the dot-product heuristic: of the pieces that fit, the one whose demands
 have the largest dot product with what the open sequence has left, all in shares of the
 limits. When no piece fits, one is cut to what is left, so full sequences have no
-padding; the last few tokens of a task go to sequences of power-of-two lengths.
+padding; where the limit on segments or loss ends a sequence, it is cut to a power of two, and the
+last few tokens of a task go to sequences of such lengths.
 
 A sequence only holds pieces of one task, and a task keeps one batch of documents and
 less than a sequence of leftovers; there is no shuffle. Sequence ids combine the number
@@ -50,7 +51,7 @@ class Packer:
     def fill(self, capacity):
         """One sequence of at most ``capacity`` tokens; takes its pieces out of the pool."""
         room = np.array([capacity, self.limits[1], self.limits[2]])
-        offset = 0
+        offset, placed = 0, []
         window = self.pool[-CHOICE:]
         base = len(self.pool) - len(window)
         demand = np.array([[len(ids), 1.0, len(ids) * rate] for _, _, ids, rate, _ in window])
@@ -70,7 +71,7 @@ class Packer:
                 if length < 1:
                     break
             key, start, ids, rate, total = window[i]
-            self.rows.append((key, start, ids[:length], total, self.next, offset))
+            placed.append((key, start, ids[:length], rate, total))
             if length < len(ids):
                 rest.append((key, start + length, ids[length:], rate, total))
             offset += length
@@ -80,6 +81,17 @@ class Packer:
         for i in sorted(taken, reverse=True):
             del self.pool[base + i]
         self.pool += rest
+        if offset < capacity:
+            # Another limit ends the sequence, which is cut to a power of two: no padding, and at least half of it stays.
+            offset = 1 << (offset.bit_length() - 1)
+        at = 0
+        for key, start, ids, rate, total in placed:
+            fits = max(0, min(len(ids), offset - at))
+            if fits:
+                self.rows.append((key, start, ids[:fits], total, self.next, at))
+            if fits < len(ids):
+                self.pool.append((key, start + fits, ids[fits:], rate, total))
+            at += fits
         self.tokens -= offset
         self.next += 1
 
@@ -98,12 +110,16 @@ def pack_documents(docs: DataFrame, tokenizer_path=None, capacity=CAPACITY, segm
     """Pieces of all documents: ``keep``, ``start``, ``length``, ``ids`` (little-endian 32-bit),
     ``doc_tokens``, ``sequence_id`` and ``offset``.
 
-    ``loss_rate`` names a column with the share of a document's tokens that bear loss (null
-    or no column: all do); ``loss_tokens`` bounds their sum per sequence, ``capacity`` if
-    not given. A null ``tokenizer_path`` means the 50k byte-level vocabulary.
+    ``loss_rate`` names a column with the share of a document's tokens that bear loss, within 0 and 1
+    (null, NaN or no column: all do); ``loss_tokens`` bounds their sum per sequence, ``capacity`` if
+    not given. Limits that one token would exceed are refused. A null ``tokenizer_path`` means the
+    50k byte-level vocabulary; strings of its special tokens are these tokens.
     """
     keep = list(keep)
-    rate = F.lit(1.0) if loss_rate is None else F.coalesce(F.col(loss_rate).cast("double"), F.lit(1.0))
+    if capacity < 1 or segments < 1 or (loss_tokens is not None and not loss_tokens >= 1):
+        raise ValueError("every limit must leave room for one token")
+    share = F.lit(1.0) if loss_rate is None else F.col(loss_rate).cast("double")
+    rate = F.when(share.isNull() | F.isnan(share), F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
     chosen = docs.select(*keep, rate.alias("_rate"), F.col("text").alias("_text"))
     schema = chosen.schema
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in schema[:-2])
@@ -131,7 +147,7 @@ def pack_documents(docs: DataFrame, tokenizer_path=None, capacity=CAPACITY, segm
             kinds = [whole.schema.field(i).type for i in range(len(keep))]
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                flat, begin = tokens.encode(batch.column(len(keep) + 1), tokenizer_path)
+                flat, begin = tokens.encode(batch.column(len(keep) + 1), tokenizer_path, special=True)
                 keys = list(zip(*(batch.column(i).to_pylist() for i in range(len(keep))))) if keep else [()] * batch.num_rows
                 shares = batch.column(len(keep)).to_pylist()
                 for i, key in enumerate(keys):

@@ -10,6 +10,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from panelwright.llm import textbytes as tb
 
@@ -32,13 +33,13 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def tokenizer(path=None):
-    """The file's tokenizer; the strings of its special tokens are ordinary text."""
+def tokenizer(path=None, special=False):
+    """The file's tokenizer; the strings of its special tokens are ordinary text unless ``special``."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     loaded = Tokenizer.from_file(path or default_path())
-    loaded.encode_special_tokens = True
+    loaded.encode_special_tokens = not special
     return loaded
 
 
@@ -140,8 +141,36 @@ def _distinct(one, two):
     return np.where((one[owner] == one) & (two[owner] == two), owner, here)
 
 
-def encode(column, path=None):
-    """``(ids, begin)``: the ids of all rows one after another, and each row's first id."""
+_SPECIAL: dict = {}
+
+
+def _special(path):
+    """The file's tokenizer and the strings of its special tokens."""
+    path = path or default_path()
+    if path not in _SPECIAL:
+        loaded = tokenizer(path, special=True)
+        _SPECIAL[path] = loaded, [t.content for t in loaded.get_added_tokens_decoder().values()]
+    return _SPECIAL[path]
+
+
+def encode(column, path=None, special=False):
+    """``(ids, begin)``: the ids of all rows one after another, and each row's first id.
+
+    With ``special``, strings of special tokens in a text are these tokens; rows that hold one are
+    encoded by the file's own tokenizer.
+    """
+    if special:
+        own, strings = _special(path)
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        holds = np.zeros(len(column), bool)
+        for string in strings:
+            holds |= pc.fill_null(pc.match_substring(column, string), False).to_numpy(zero_copy_only=False)
+        if holds.any():
+            ids, begin = encode(pc.if_else(pa.array(holds), "", column), path)
+            rows = [ids[a:b] for a, b in zip(begin, begin[1:])]
+            for i in np.flatnonzero(holds).tolist():
+                rows[i] = np.array(own.encode(column[i].as_py(), add_special_tokens=False).ids, np.uint32)
+            return np.concatenate(rows), np.cumsum([0, *map(len, rows)])
     own = coder(path)
     if own.whole is not None:
         coded = [x.ids for x in own.whole.encode_batch_fast(["" if t is None else t for t in column.to_pylist()], add_special_tokens=False)]

@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -121,8 +121,18 @@ def test_ids_equal_the_tokenizer_on_awkward_white_space():
     assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:])] == [own.encode(t or "", add_special_tokens=False).ids for t in rows]
 
 
+def test_special_strings_are_special_tokens_where_asked():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.default_path())
+    rows = ["@<|endoftext|>\n", None, "", "<|endoftext|>", "a <|endoftext|><|endoftext|> b" * 3, "no such <|end", "é <|endoftext|>"]
+    for column in (pa.array(rows), pa.chunked_array([rows[:2], rows[2:]]), pa.array(rows[1:3])):
+        ids, begin = tokens.encode(column, special=True)
+        assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:])] == [plain.encode(t or "", add_special_tokens=False).ids for t in column.to_pylist()]
+
+
 def checked_packing(rows, texts, capacity=2048):
-    own = tokens.tokenizer()
+    own = tokens.tokenizer(special=True)
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
         pieces[r["doc_id"]].append(r)
@@ -158,6 +168,26 @@ def test_packing_of_odd_rows(spark, odd):
     assert packing.packing_digest(odd).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).filter("doc_id = 7 and n = 2 * m").count() == 1
 
 
+def test_short_documents_leave_no_padding(spark):
+    rng = random.Random(8)
+    texts = {i: " ".join(rng.choice(["a", "the", "one <|endoftext|>"]) for _ in range(rng.randint(0, 7))) for i in range(20_000)}
+    rows = packing.packing_digest(spark.createDataFrame(list(texts.items()), "doc_id int, text string").repartition(2)).collect()
+    padding = checked_packing(rows, texts)
+    assert padding < 0.01 * sum(r["length"] for r in rows)
+    assert max(Counter(r["sequence_id"] for r in rows).values()) <= packing.SEGMENTS
+
+
+def test_limits_and_shares_without_sense(spark, documents):
+    for limits in ({"loss_tokens": 0.4}, {"loss_tokens": float("nan")}, {"capacity": 0}, {"segments": 0}):
+        with pytest.raises(ValueError):
+            packing.pack_documents(documents, **limits)
+    shares = [None, float("nan"), float("inf"), -3.0, 0.0, 1e-300, 2.0]
+    frame = spark.createDataFrame([(i, "some words to pack " * 40, s) for i, s in enumerate(shares)], "doc_id int, text string, share double")
+    rows = packing.pack_documents(frame.coalesce(1), loss_rate="share", loss_tokens=1, segments=2, capacity=64).collect()
+    assert sum(r["length"] for r in rows) == sum(r["doc_tokens"] for r in rows if r["start"] == 0)
+    assert packing.pack_documents(frame, segments=1, capacity=1).count() == sum(r["doc_tokens"] for r in rows if r["start"] == 0)
+
+
 def test_packing_keeps_all_three_limits(spark, documents):
     docs = documents.withColumn("share", (F.col("doc_id") % 3) / 2.0)
     rows = packing.pack_documents(docs, segments=3, loss_rate="share", loss_tokens=700, keep=["doc_id", "share"]).collect()
