@@ -20,8 +20,10 @@ table and the two membership tables have fixed sizes and only decide order and p
 
 Edge cases: documents without words (null or empty text) are empty and alone; documents of
 fewer words than a shingle are one shingle; repeated rows and equal texts are one class;
-an empty table has no rows; a null ``doc_id`` never becomes a ``component_id`` unless the
-document is alone. Columns other than ``doc_id`` and ``text`` are not read.
+an empty table has no rows; a null ``doc_id`` never becomes a ``component_id`` unless all documents
+of the component have none; rows of one id with different texts are documents of their own; texts of any
+length are read whole, and a tree drops its sets after some megabytes. Columns other than ``doc_id`` and
+``text`` are not read.
 """
 
 import zlib
@@ -178,24 +180,24 @@ def _scan(docs: DataFrame, k, seed) -> DataFrame:
     """Per document its set's size and class, and per task the counts of hashed shingles."""
     def run(batches):
         counts = np.zeros(_COUNTERS, np.int32)
-        names = ["doc_id", "n_shingles", "cid", "proof", "block", "counts"]
+        names = ["doc_id", "text_key", "n_shingles", "cid", "proof", "block", "counts"]
         for batch in _few(batches):
             n, keys = np.zeros(batch.num_rows, np.int64), np.zeros((2, batch.num_rows), np.int64)
-            for row, own in sets_of(batch.column(1), k, seed):
+            for row, own in sets_of(batch.column(2), k, seed):
                 n[row] = len(own)
                 keys[:, row] = class_key(own)
                 np.add.at(counts, (own & np.uint64(_COUNTERS - 1)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(keys[0]), pa.array(keys[1]),
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(keys[0]), pa.array(keys[1]),
                                               pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())], names=names)
         used, blocks = _blocks(counts)
         for at in range(0, len(used), 256):
             own = used[at:at + 256]
             empty = pa.nulls(len(own), pa.int64())
-            yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.array(own, pa.int32()),
+            yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, empty, pa.array(own, pa.int32()),
                                               pa.array(blocks[at:at + 256], pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id bigint, n_shingles bigint, cid bigint, proof bigint, block int, counts binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(
+        run, "doc_id bigint, text_key bigint, n_shingles bigint, cid bigint, proof bigint, block int, counts binary")
 
 
 def _each_set(batches, k, seed, chosen):
@@ -407,7 +409,7 @@ def _classes(docs, k):
     """The scan's tables, under a hash seed for which no two different sets share a class id."""
     for seed in range(71, 79):
         scanned = cut_lineage(_scan(docs, k, seed))
-        documents = scanned.filter("block is null").select("doc_id", "n_shingles", "cid", "proof")
+        documents = scanned.filter("block is null").select("doc_id", "text_key", "n_shingles", "cid", "proof")
         classes = documents.filter("n_shingles > 0").groupBy("cid").agg(
             F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), (F.min("proof") != F.max("proof")).alias("mixed"))
         classes = cut_lineage(classes)
@@ -467,6 +469,12 @@ def _across(placed: DataFrame, bits: DataFrame) -> DataFrame:
 
 def jaccard_groups(docs: DataFrame, k=SHINGLE) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every document."""
+    return jaccard_rows(docs, k).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_rows(docs: DataFrame, k=SHINGLE) -> DataFrame:
+    """As :func:`jaccard_groups`, with ``text_key`` (the xxhash64 of the text) and ``root``, the component's class,
+    null for documents without words; rows of one ``doc_id`` or of none stay apart by them."""
     context = docs.sparkSession.sparkContext
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     seed, documents, classes, counters = _classes(slim, k)
@@ -510,6 +518,7 @@ def jaccard_groups(docs: DataFrame, k=SHINGLE) -> DataFrame:
     discard(candidates, placed, *parts)
     placed = classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_class = placed.join(smallest, "root").select("cid", "component_id")
-    full = documents.filter("n_shingles > 0").join(of_class, "cid").select("doc_id", "n_shingles", "component_id")
-    return full.unionByName(documents.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    of_class = placed.join(smallest, "root").select("cid", "root", "component_id")
+    full = documents.filter("n_shingles > 0").join(of_class, "cid").select("doc_id", "text_key", "n_shingles", "root", "component_id")
+    return full.unionByName(documents.filter("n_shingles = 0").select(
+        "doc_id", "text_key", "n_shingles", F.lit(None).cast("bigint").alias("root"), F.col("doc_id").alias("component_id")))

@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from panelwright.llm import textbytes as tb
 from panelwright.llm.frames import labelled_sample, per_row
@@ -40,8 +41,11 @@ _S = r"[\x20\x09-\x0D]"
 _SPELLED = rf"[(\[{{<]{_S}*[Aa][Tt]{_S}*[)\]}}>]|{_S}[Aa][Tt]{_S}+[A-Za-z0-9.-]+{_S}+[Dd][Oo][Tt]{_S}"
 SEED = rf"[0-9@]+|{_SPELLED}"
 _SEED = re.compile(SEED)
-_AT = re.compile(rf"{_S}*[(\[{{<]{_S}*at{_S}*[)\]}}>]{_S}*|{_S}+at{_S}+", re.IGNORECASE)
-_DOT = re.compile(rf"{_S}*[(\[{{<]{_S}*dot{_S}*[)\]}}>]{_S}*|{_S}+dot{_S}+", re.IGNORECASE)
+# A match begins with the whole run of white space before it, so each run is read once.
+_RUN = rf"(?<!{_S})"
+_AT = re.compile(rf"{_RUN}{_S}*[(\[{{<]{_S}*at{_S}*[)\]}}>]{_S}*|{_RUN}{_S}+at{_S}+", re.IGNORECASE)
+_DOT = re.compile(rf"{_RUN}{_S}*[(\[{{<]{_S}*dot{_S}*[)\]}}>]{_S}*|{_RUN}{_S}+dot{_S}+", re.IGNORECASE)
+_LONG_RUN = re.compile(rf"{_S}{{9,}}")
 _ADDRESS = re.compile(rf"[A-Za-z0-9._%+-]+@{_DOMAIN.pattern}")
 _AT_OR_DOT = re.compile(r"(?<![A-Za-z])(at|dot)(?![A-Za-z])", re.IGNORECASE)
 
@@ -118,9 +122,11 @@ def regions(text):
     chunks = []
     for m in _CHUNK.finditer(text):
         start, end = m.span()
-        while end > start and text[end - 1] in ".:!?)" and not (text[end - 1] == ")" and "(" in m[0]):
+        opens = "(" in m[0]
+        while end > start and text[end - 1] in ".:!?)" and not (text[end - 1] == ")" and opens):
             end -= 1
-        while start < end and text[start] in "(:" and not (text[start] == "(" and ")" in text[start:end]):
+        closes = text.find(")", start, end) >= 0
+        while start < end and text[start] in "(:" and not (text[start] == "(" and closes):
             start += 1
         if start < end:
             chunks.append((start, end))
@@ -143,6 +149,8 @@ def features(text, region, i, j):
     """Of the whole span from chunk ``i`` to before ``j``: names of what holds for it."""
     start, end = region[i][0], region[j - 1][1]
     own = text[start:end]
+    if len(own) > 200:
+        own = _LONG_RUN.sub(" " * 8, own)
     digits = digits_of(own)
     n = len(digits)
     names = [f"shape={shape(own)[:40]}", f"digits={min(n, 20)}", f"chunks={j - i}", f"at={own.count('@')}",
@@ -336,11 +344,19 @@ def all_spans(text, model):
     base = base_spans(text)
     if not model.span:
         return base, list(base)
-    spans = list(base)
+    taken = []                                       # base spans as disjoint stretches
+    for a, b in sorted((a, b) for _, a, b in base):
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(b, taken[-1][1])
+        else:
+            taken.append([a, b])
+    starts, spans, reached = [a for a, _ in taken], list(base), 0
     for region in regions(text):
-        for kind, a, b in model.best(text, region):
-            if all(b <= x or y <= a for _, x, y in spans):
+        for kind, a, b in model.best(text, region):  # from left to right
+            i = bisect_left(starts, b) - 1           # the last stretch that starts before the span's end
+            if a >= reached and (i < 0 or taken[i][1] <= a):
                 spans.append((kind, a, b))
+                reached = b
     return base, spans
 
 
@@ -377,14 +393,24 @@ def span_text(column):
     return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+@F.arrow_udf(StringType())
+def _masked(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    def one(text, found):
+        if text is None or not found:
+            return text
+        parts, at = [], 0
+        for start, end, kind in sorted((s["start"], s["end"], s["kind"]) for s in found):
+            if end > at:
+                parts += [text[at:max(at, start)], f"[{kind.upper()}]"]
+                at = end
+        return "".join([*parts, text[at:]])
+
+    return pa.array([one(t.as_py(), f.as_py()) for t, f in zip(texts, spans)], pa.string())
+
+
 def masked(text, spans):
-    """Column expression: ``text`` with every span replaced by its kind in brackets."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    state = F.aggregate(ordered, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), lambda acc, s: F.when(
-        s["end"] <= acc["at"], acc).otherwise(F.struct(
-            F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"),
-            s["end"].alias("at"))))
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(state["out"], F.substr(text, state["at"] + 1, F.length(text))))
+    """Column expression: ``text`` with every span replaced by its kind in brackets; overlapping spans in order of their starts."""
+    return F.when(F.coalesce(F.size(spans), F.lit(0)) == 0, text).otherwise(_masked(text, spans))
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:

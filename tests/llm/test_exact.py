@@ -1,8 +1,10 @@
 """Operators with fixed results, against plain versions of their definitions."""
 
 import hashlib
+import json
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -246,6 +248,23 @@ def test_jaccard_join_of_one_large_group_and_odd_rows(spark):
     assert jaccard.jaccard_groups(frame.limit(0)).count() == 0
 
 
+def test_jaccard_join_of_repeated_and_null_ids_and_long_texts(spark):
+    rng = random.Random(9)
+    long = [f"w{rng.randrange(10_000)}" for _ in range(60_000)]
+    near = list(long)
+    near[100:130] = ["other"] * 30
+    rows = [(5, " ".join(long)), (3, " ".join(near)), (7, "one text of its own here"), (7, "some other text with the same id"), (None, "one text of its own here"),
+            (None, "nobody knows these few words"), (None, "nobody knows these few words"), (None, None), (9, ""), (9, "")]
+    got = jaccard.jaccard_rows(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    assert len(got) == len(rows)
+    component = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in got}
+    sizes = {t: len(set(zip(*(t.split()[i:] for i in range(4))))) for t in (rows[0][1], rows[1][1])}
+    assert component[5, sizes[rows[0][1]]] == component[3, sizes[rows[1][1]]] == 3
+    roots = Counter(r["root"] for r in got)
+    assert sorted(roots.values()) == [1, 2, 2, 2, 3] and roots[None] == 3
+    assert {r["component_id"] for r in got if r["n_shingles"] == 2 and r["doc_id"] is None} <= {7, None}
+
+
 def test_prefix_tree_equals_set_arithmetic():
     rng = np.random.default_rng(2)
     order = rng.permutation(400).astype(np.uint64)
@@ -319,6 +338,45 @@ def test_pii_query_and_masking(spark, documents, texts, odd):
     assert all(r["spans"] == [] for r in pii.find_spans(odd).collect())
 
 
+def test_long_runs_many_spans_and_masking_take_linear_time(spark):
+    lines = [f"call +1 ({i + 200}) 555-{i + 1000} or write a{i}.b@mail{i}.example.com today" for i in range(40)]
+    model = pii.SemiCRF().fit(pii.examples(lines))
+    blanks = " " * 1_000_000
+    texts = [f"x a@b{blanks}c 1 d", f"x ann (at{blanks}) b.org 1", f"1 ({blanks}at) b.org", ")" * 300_000 + "1", "1" + "(" * 300_000, "1 at" * 3000,
+             "write a.b@mail.org or " * 20_000]
+    for text in texts[:-1]:
+        start = time.time()
+        pii.all_spans(text, model)
+        assert time.time() - start < 20
+    start = time.time()
+    base = pii.base_spans(texts[-1])
+    assert len(base) == 20_000 and time.time() - start < 10
+    few, many = (_seconds(lambda n=n: pii.all_spans("write a.b@mail.org or " * n, model)) for n in (500, 2000))
+    assert many < 12 * few + 1
+    frame = spark.createDataFrame([(1, texts[-1]), (2, None), (3, "")], "doc_id int, text string")
+    spans = [{"kind": k, "start": a, "end": b} for k, a, b in base]
+    found = frame.withColumn("spans", F.when(F.col("doc_id") == 1, F.from_json(F.lit(json.dumps(spans)), "array<struct<kind:string,start:int,end:int>>")))
+    got = {r["doc_id"]: r["t"] for r in found.select("doc_id", pii.masked(F.col("text"), F.col("spans")).alias("t")).collect()}
+    assert got == {1: "write [EMAIL] or " * 20_000, 2: None, 3: ""}
+
+
+def _seconds(work):
+    start = time.process_time()
+    work()
+    return time.process_time() - start
+
+
+def test_overlapping_spans_and_blank_runs(spark):
+    text = "é a@b.org +1 234 567 890 x"
+    rows = [("email", 2, 9), ("ip", 4, 7), ("phone", 8, 12), ("card", 25, 26)]
+    spans = "array(" + ", ".join(f"struct('{k}' AS kind, {a} AS start, {b} AS `end`)" for k, a, b in rows) + ")"
+    row = spark.createDataFrame([(text,)], "text string").select(pii.masked(F.col("text"), F.expr(spans)).alias("t")).first()
+    assert row["t"] == "é [EMAIL][PHONE]" + text[12:25] + "[CARD]"
+    for own in ("ann  (at)  b.org", "ann at   b dot  org", " [ at ] ", "a ( dot ) b", "at", " at "):
+        assert pii._AT.sub("@", own) == re.sub(r"\s*[(\[{<]\s*at\s*[)\]}>]\s*|\s+at\s+", "@", own)
+        assert pii._DOT.sub(".", own) == re.sub(r"\s*[(\[{<]\s*dot\s*[)\]}>]\s*|\s+dot\s+", ".", own)
+
+
 def test_semi_markov_model_learns_shapes_and_is_normalised():
     rng = random.Random(4)
     lines = [f"call +1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)} or write a{i}.b@mail{i}.example.com today with {i} friends" for i in range(60)]

@@ -258,6 +258,16 @@ def test_language_stage_keeps_mixed_documents(spark, tables, sf_dir):
     assert [r["doc_id"] for r in kept] == [-1]
 
 
+def test_near_duplicate_stage_tells_rows_by_id_and_text(spark, sf_dir):
+    words = "one two three four five six seven eight nine ten eleven twelve"
+    texts = [(4, words), (2, words + " "), (2, "another text of the very same id here"), (2, "another text of the very same id here"), (None, words),
+             (None, "only rows without an id hold this text"), (None, "only rows without an id hold this text"), (7, ""), (7, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()), key=str)
+    expected = [(2, words + " "), texts[2], texts[5], (7, ""), (7, ""), (None, None)]
+    assert got == sorted(expected, key=str)
+
+
 def test_pipeline_runs_and_equals_its_stages(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
