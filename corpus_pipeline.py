@@ -22,14 +22,18 @@ def identify_language(spark, docs, sf_dir):
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
-    """The document with the smallest id of each group of near duplicates; ids tell documents apart.
+    """One document of each group of near duplicates: the one with the smallest id (none comes last), then text key.
 
-    A document without an id cannot be matched with its group and stays.
+    A row is told by its id and its text's key, so rows of one id with different texts, or of no id, are documents
+    of their own; of equal rows one stays. Documents without words resemble nothing and all stay.
     """
-    groups = jaccard.jaccard_groups(docs)
-    kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    chosen = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return chosen.unionByName(docs.select(*COLUMNS).filter("doc_id is null"))
+    rows = jaccard.jaccard_rows(docs).filter("root IS NOT NULL")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
+    kept = rows.groupBy("root").agg(first.alias("m")).select(F.col("m.doc_id").alias("_id"), F.col("m.text_key").alias("_key"))
+    keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("_key"))
+    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    chosen = keyed.filter(~wordless).join(kept.withColumnRenamed("_key", "_of"), (F.col("_key") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return chosen.dropDuplicates(["_key", "doc_id"]).unionByName(keyed.filter(wordless)).select(*COLUMNS)
 
 
 def drop_contaminated(spark, docs, sf_dir):
