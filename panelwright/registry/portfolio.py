@@ -6,12 +6,14 @@ from panelwright.operators import explain as X
 from panelwright.operators import interventions as N
 from panelwright.operators import scoring as S
 from panelwright.operators import serving as Q
-from panelwright.operators.scale import exact_quantiles
+from panelwright.operators.scale import beside, exact_quantiles
+from panelwright.operators.search import RAREST, build_index
 from panelwright.plans import derived as D
 from panelwright.plans import portfolio as W
 from panelwright.operators.cohort import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from panelwright.registry import query
 from panelwright.registry.sql import COHORT, PORTFOLIO, SCORED
+from panelwright.session import cut_lineage
 
 KEY = "canonical_project_key"
 SCORES = ["cost_risk_probability", "schedule_risk_probability", "risk_coverage", "attention_score",
@@ -350,6 +352,38 @@ def search_projects(spark, sf_dir):
     return Q.search(_served(spark, sf_dir), "7 FR", coverage="FULL")
 
 
+@query(f"WITH {COHORT}, {_SUMMARY} SELECT * FROM summaries WHERE contains(lower(project_name), '7 fr') OR contains(lower({KEY}), '7 fr') OR contains(lower(agency), '7 fr')")
+def indexed_search(spark, sf_dir):
+    """The same search over the served table by the gram index."""
+    served = cut_lineage(_served(spark, sf_dir))
+    return build_index(served, KEY, Q.SEARCHED).search(served, KEY, "7 FR")
+
+
+_GRAMS = "SELECT DISTINCT doc_id, unnest([substr(lower(text), i, 3) FOR i IN range(1, length(text) + 1)]) AS gram FROM documents"
+
+
+@query(f"""WITH asked AS (SELECT unnest(['Qu', 'tion de la', 'zzzz']) AS query),
+grams AS ({_GRAMS}),
+counts AS (SELECT gram, count(*) AS n FROM grams GROUP BY gram),
+own AS (SELECT DISTINCT query, unnest([substr(lower(query), i, 3) FOR i IN range(1, length(query) - 1)]) AS gram FROM asked),
+known AS (SELECT query, gram, n, count(n) OVER (PARTITION BY query) = count(*) OVER (PARTITION BY query) AS whole FROM own LEFT JOIN counts USING (gram)),
+wanted AS (SELECT query, gram, n, least(count(*) OVER (PARTITION BY query), {RAREST}) AS size FROM known WHERE whole QUALIFY row_number() OVER (PARTITION BY query ORDER BY n, gram) <= {RAREST}),
+near AS (SELECT query, doc_id FROM wanted JOIN grams USING (gram) GROUP BY query, doc_id HAVING count(*) = any_value(size)
+  UNION ALL SELECT DISTINCT query, doc_id FROM asked JOIN grams ON length(query) < 3 AND starts_with(gram, lower(query)))
+SELECT query, (SELECT CAST(sum(n) AS BIGINT) FROM counts) AS postings, coalesce((SELECT CAST(sum(n) AS BIGINT) FROM wanted w WHERE w.query = asked.query), 0) AS read,
+  (SELECT count(*) FROM near WHERE near.query = asked.query) AS candidates,
+  (SELECT count(*) FROM documents WHERE contains(lower(text), lower(asked.query))) AS matches FROM asked""")
+def search_effort(spark, sf_dir):
+    """Rows of the gram index that searches over whole texts read, what they compare and find."""
+    docs = D.table(spark, sf_dir, "documents").select("doc_id", "text")
+    index, out = build_index(docs, "doc_id", ["text"]), None
+    for text in ("Qu", "tion de la", "zzzz"):
+        found = index.search(docs, "doc_id", text).agg(F.count("*").alias("matches"))
+        one = beside(index.effort(text), found).withColumn("query", F.lit(text))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(f"WITH {COHORT}, {_SUMMARY} SELECT {KEY}, {_PS}, row_number() OVER (ORDER BY coalesce({_PS}, -1) DESC, {KEY}) AS position "
        "FROM summaries QUALIFY position <= 25")
 def resorted_page(spark, sf_dir):
