@@ -377,18 +377,53 @@ def find_spans(docs: DataFrame, model: SemiCRF | None = None, keep=("doc_id",))
 
     def function(column):
         base, spans = [[]] * len(column), [[]] * len(column)
-        has_seed = pc.fill_null(pc.match_substring_regex(column, SEED), False).to_numpy(zero_copy_only=False)
-        for low, high, data, offsets in tb.each_slice(column):
-            for i in np.flatnonzero(has_seed[low:high]).tolist():
-                text = data[offsets[i]:offsets[i + 1]].tobytes().decode()
-                for out, found in zip((base, spans), all_spans(text, shared.value)):
-                    out[low + i] = [{"kind": k, "start": a, "end": b} for k, a, b in sorted(
-                        found, key=lambda s: (KINDS.index(s[0]), s[1]))]
+        for i, text in _seeded_texts(column):
+            for out, found in zip((base, spans), all_spans(text, shared.value)):
+                out[i] = [{"kind": k, "start": a, "end": b} for k, a, b in sorted(found, key=lambda s: (KINDS.index(s[0]), s[1]))]
         return [pa.array(base, _SPAN), pa.array(spans, _SPAN)]
 
     return per_row(docs, function, SCHEMA, keep=keep)
 
 
+def _seeded_texts(column):
+    """``(row, text)`` of the rows that may hold a span."""
+    has_seed = pc.fill_null(pc.match_substring_regex(column, SEED), False).to_numpy(zero_copy_only=False)
+    for low, high, data, offsets in tb.each_slice(column):
+        for i in np.flatnonzero(has_seed[low:high]).tolist():
+            yield low + i, data[offsets[i]:offsets[i + 1]].tobytes().decode()
+
+
+def masked_documents(docs: DataFrame, model: SemiCRF | None = None, keep=("doc_id",)) -> DataFrame:
+    """``keep`` columns, which do not name the text, and ``masked``, the text with every span replaced by its kind; a null stays null."""
+    model = model or fit_model(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def function(column):
+        changed = {}
+        for i, text in _seeded_texts(column):
+            spans = all_spans(text, shared.value)[1]
+            if spans:
+                changed[i] = _replaced(text, sorted((a, b, k) for k, a, b in spans))
+        if not changed:
+            return [column]
+        rows = np.fromiter(changed, np.int64)
+        mask = np.zeros(len(column), bool)
+        mask[rows] = True
+        return [pc.replace_with_mask(column, pa.array(mask), pa.array([changed[i] for i in np.sort(rows).tolist()], column.type))]
+
+    return per_row(docs, function, "masked string", keep=keep)
+
+
+def _replaced(text, spans):
+    """``text`` with its spans ``(start, end, kind)``, in order, replaced by their kinds."""
+    parts, at = [], 0
+    for start, end, kind in spans:
+        if end > at:
+            parts += [text[at:max(at, start)], f"[{kind.upper()}]"]
+            at = end
+    return "".join([*parts, text[at:]])
+
+
 def span_text(column):
     return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -396,14 +431,7 @@ def span_text(column):
 @F.arrow_udf(StringType())
 def _masked(texts: pa.Array, spans: pa.Array) -> pa.Array:
     def one(text, found):
-        if text is None or not found:
-            return text
-        parts, at = [], 0
-        for start, end, kind in sorted((s["start"], s["end"], s["kind"]) for s in found):
-            if end > at:
-                parts += [text[at:max(at, start)], f"[{kind.upper()}]"]
-                at = end
-        return "".join([*parts, text[at:]])
+        return _replaced(text, sorted((s["start"], s["end"], s["kind"]) for s in found)) if text is not None and found else text
 
     return pa.array([one(t.as_py(), f.as_py()) for t, f in zip(texts, spans)], pa.string())
 

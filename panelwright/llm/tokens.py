@@ -16,7 +16,7 @@ from panelwright.llm import textbytes as tb
 
 _HASHES = tb.Hasher(21), tb.Hasher(22)
 _LOADED: dict = {}
-SLICE = 8 << 20
+SLICE = 2 << 20
 _SLOTS = 1 << 21
 #: Pieces a process keeps with their ids, found by 128 bits of hash.
 _KEPT = 1 << 20

@@ -334,6 +334,10 @@ def test_pii_query_and_masking(spark, documents, texts, odd):
         assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(r["spans"].split(","))
     masked = pii.find_spans(documents, keep=["doc_id", "text"]).select("doc_id", pii.masked(F.col("text"), F.col("spans")).alias("text"))
     assert not any(plain_spans(r["text"]) for r in masked.collect())
+    whole = pii.masked_documents(documents, keep=["doc_id"]).collect()
+    assert {r["doc_id"]: r["masked"] for r in whole} == {r["doc_id"]: r["text"] for r in masked.collect()}
+    assert sorted(((r["doc_id"], r["masked"]) for r in pii.masked_documents(odd).collect()), key=str) == sorted(((r["doc_id"], r["text"]) for r in odd.collect()), key=str)
+    assert pii.masked_documents(odd.limit(0)).count() == 0
     assert pii.find_spans(odd).count() == len(ODD) + 1 and pii.find_spans(odd.limit(0)).count() == 0
     assert all(r["spans"] == [] for r in pii.find_spans(odd).collect())
 
