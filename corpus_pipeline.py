@@ -44,9 +44,8 @@ def drop_contaminated(spark, docs, sf_dir):
 
 def mask_personal_data(spark, docs, sf_dir):
     """All documents, every span of personal data replaced by its kind."""
-    found = pii.find_spans(docs, keep=COLUMNS)
-    return found.withColumn("text", pii.masked(F.col("text"), F.col("spans"))).withColumn(
-        "n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+    found = pii.masked_documents(docs, keep=[c for c in COLUMNS if c != "text"]).withColumnRenamed("masked", "text")
+    return found.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def pack(spark, docs, sf_dir):
