@@ -111,9 +111,13 @@ def _merge(best, i, ids, scores, k):
 
 def top_k(vectors: DataFrame, queries: DataFrame, k=K, key="vec_id", vector="embedding",
           query_block=QUERY_BLOCK, index_block=INDEX_BLOCK) -> DataFrame:
-    """``query_id``, ``rank``, ``vec_id`` and ``score`` of every query's ``k`` best vectors."""
+    """``query_id``, ``rank``, ``vec_id`` and ``score`` of every query's ``k`` best vectors.
+
+    Equal rows of ``queries`` ask once; rows of one id with different vectors ask on their own. Every row of
+    ``vectors`` with another id is a candidate, repeated ones as well.
+    """
     spark = vectors.sparkSession
-    asked = queries.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null and v is not null")
+    asked = queries.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null and v is not null").distinct()
     stored = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     blocks = -(-asked.count() // query_block)
     found = None
@@ -129,24 +133,26 @@ def top_k(vectors: DataFrame, queries: DataFrame, k=K, key="vec_id", vector="emb
                     part = batch.slice(at, index_block)
                     for own, x in quantised(part.column(0), part.column(1)):
                         index = ImpactIndex(own, x)
-                        for asked_ids, q in shared.value:
+                        for group, (asked_ids, q) in enumerate(shared.value):
                             if q.shape[1] != x.shape[1]:
                                 continue
-                            for i, row in zip(asked_ids.tolist(), q):
-                                known = best[i][1][-1] if i in best and len(best[i][1]) == k else -np.inf
-                                _merge(best, i, *index.best(row, k, known, i), k)
+                            for number, (i, row) in enumerate(zip(asked_ids.tolist(), q)):
+                                one = i, group, number
+                                known = best[one][1][-1] if one in best and len(best[one][1]) == k else -np.inf
+                                _merge(best, one, *index.best(row, k, known, i), k)
             for at in range(0, len(best), 1000):
                 names = list(best)[at:at + 1000]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(np.array(names, np.int64), [len(best[i][0]) for i in names])),
+                    pa.array(np.repeat(np.array([i for i, _, _ in names], np.int64), [len(best[i][0]) for i in names])),
+                    pa.array(np.repeat(np.array([(g << 32) + n for _, g, n in names], np.int64), [len(best[i][0]) for i in names])),
                     pa.array(np.concatenate([best[i][0] for i in names]).astype(np.int64)),
-                    pa.array(np.concatenate([best[i][1] for i in names]).astype(np.int64))], names=["query_id", "vec_id", "score"])
+                    pa.array(np.concatenate([best[i][1] for i in names]).astype(np.int64))], names=["query_id", "row", "vec_id", "score"])
 
-        one = stored.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+        one = stored.mapInArrow(run, "query_id bigint, row bigint, vec_id bigint, score bigint")
         found = one if found is None else found.unionByName(one)
     if found is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -305,6 +305,20 @@ def test_top_k_equals_brute_force_with_ties_and_bad_vectors(spark):
     assert topk.top_k_digest(frame.limit(0)).count() == 0
 
 
+def test_top_k_of_repeated_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-40, 40, 4) / 64]) for i in range(1, 60)]
+    rows += [(100, [0.5, 0.5, 0.0, 0.25])] * 2 + [(100, [-0.5, 0.25, 0.5, 0.0]), (rows[4][0], rows[4][1])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = topk.top_k(frame, frame.filter("vec_id = 100"), k=20).collect()
+    lists = []
+    for v in ([0.5, 0.5, 0.0, 0.25], [-0.5, 0.25, 0.5, 0.0]):
+        q = np.floor(64 * np.array(v))
+        scores = sorted((-int(np.floor(64 * np.array(x, np.float32).astype(float)) @ q), i) for i, x in rows if i != 100)[:20]
+        lists.append([(100, r + 1, i, -s) for r, (s, i) in enumerate(scores)])
+    assert sorted(tuple(r) for r in got) == sorted(lists[0] + lists[1])
+
+
 # --- personal data ----------------------------------------------------------------------------
 
 def plain_spans(text):
