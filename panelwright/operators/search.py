@@ -24,8 +24,10 @@ def grams(text) -> Column:
     """The distinct grams of a lower-cased text; a null has none."""
     text = F.col(text) if isinstance(text, str) else text
     letters = F.split(F.lower(F.coalesce(text, F.lit(""))), "")
-    at = lambda i: F.coalesce(F.get(letters, i), F.lit(""))
-    return F.array_distinct(F.filter(F.transform(letters, lambda c, i: F.concat(c, at(i + 1), at(i + 2))), lambda g: g != ""))
+    # The lambdas see single letters only; an array named inside them would be split anew for each.
+    joined = lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))
+    pairs = F.zip_with(letters, F.slice(letters, 2, F.size(letters)), joined)
+    return F.array_distinct(F.filter(F.zip_with(pairs, F.slice(letters, 3, F.size(letters)), joined), lambda g: g != ""))
 
 
 @dataclass

@@ -51,5 +51,5 @@ def read_titled_csv(spark: SparkSession, path, title="Projects Details") -> Data
         F.monotonically_increasing_id().alias("_line"))
     first = lines.filter("_block = 0").groupBy("_file").agg(F.min("_line").alias("_first"))
     body = lines.join(first, "_file").filter("(_block > 0 or _line >= _first + 3) and trim(value) <> ''")
-    parsed = body.select(F.from_csv("value", ", ".join(f"`c{i}` string" for i in range(len(names))), {"mode": "FAILFAST"}).alias("r"))
+    parsed = body.select(F.from_csv("value", ", ".join(f"`c{i}` string" for i in range(len(names))), {"mode": "FAILFAST", "escape": '"'}).alias("r"))
     return tokens_to_null(parsed.select("r.*").toDF(*names))
