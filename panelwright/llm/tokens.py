@@ -141,16 +141,23 @@ def _distinct(one, two):
     return np.where((one[owner] == one) & (two[owner] == two), owner, here)
 
 
-_SPECIAL: dict = {}
+_STRINGS: dict = {}
+_PLAIN: dict = {}
 
 
-def _special(path):
-    """The file's tokenizer and the strings of its special tokens."""
-    path = path or default_path()
-    if path not in _SPECIAL:
-        loaded = tokenizer(path, special=True)
-        _SPECIAL[path] = loaded, [t.content for t in loaded.get_added_tokens_decoder().values()]
-    return _SPECIAL[path]
+def _special_strings(path) -> list:
+    """The strings of the file's special tokens."""
+    if path not in _STRINGS:
+        with open(path, encoding="utf-8") as file:
+            _STRINGS[path] = [t["content"] for t in json.load(file).get("added_tokens", [])]
+    return _STRINGS[path]
+
+
+def _with_special(path):
+    """The file's own tokenizer, loaded only where a text holds a special string."""
+    if path not in _PLAIN:
+        _PLAIN[path] = tokenizer(path, special=True)
+    return _PLAIN[path]
 
 
 def encode(column, path=None, special=False):
@@ -160,14 +167,14 @@ def encode(column, path=None, special=False):
     encoded by the file's own tokenizer.
     """
     if special:
-        own, strings = _special(path)
+        path = path or default_path()
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
         holds = np.zeros(len(column), bool)
-        for string in strings:
+        for string in _special_strings(path):
             holds |= pc.fill_null(pc.match_substring(column, string), False).to_numpy(zero_copy_only=False)
         if holds.any():
             ids, begin = encode(pc.if_else(pa.array(holds), "", column), path)
-            rows = [ids[a:b] for a, b in zip(begin, begin[1:])]
+            rows, own = [ids[a:b] for a, b in zip(begin, begin[1:])], _with_special(path)
             for i in np.flatnonzero(holds).tolist():
                 rows[i] = np.array(own.encode(column[i].as_py(), add_special_tokens=False).ids, np.uint32)
             return np.concatenate(rows), np.cumsum([0, *map(len, rows)])
