@@ -126,13 +126,17 @@ def _positive_or(value, fallback) -> Column:
     return F.when(value > 0, value).otherwise(fallback)
 
 
-def _add_features(df: DataFrame, cols: PanelColumns) -> DataFrame:
+_PREVIOUS = ["_rev", "_orig", "_exp", "_prog", "_rev_end", "_orig_end"]
+
+
+def _add_features(df: DataFrame, cols: PanelColumns, previous: Column | None = None) -> DataFrame:
+    """``previous``: struct of the month before, where a window cannot find it (streams)."""
     c = F.col
     orig, rev, exp, prog = c("_orig"), c("_rev"), c("_exp"), c("_prog")
     days = lambda end, start: F.datediff(end, start).cast("double")
     eff_cost, eff_end = c("_eff_cost"), c("_eff_end")
     df = df.withColumns({
-        "_prev": _months_away(cols.entity, -1, ["_rev", "_orig", "_exp", "_prog", "_rev_end", "_orig_end"]),
+        "_prev": _months_away(cols.entity, -1, _PREVIOUS) if previous is None else previous,
         "_eff_cost": _positive_or(rev, orig),
         "_eff_end": F.coalesce("_rev_end", "_orig_end"),
         "_age": days(F.last_day("_first"), c("_start")),

@@ -210,13 +210,20 @@ def canonical_gates(df: DataFrame, snapshot_dates) -> DataFrame:
     return rows.unionByName(extra.select(F.lit("duplicate_keys").alias("check"), "violations"))
 
 
+def row_text(columns):
+    """The named cells of a row as one text, a missing one as a tilde."""
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
+
+
+def row_part(columns):
+    """What a row adds to the content hash: 13 hex digits of md5 as a number."""
+    return F.conv(F.substring(F.md5(row_text(columns)), 1, 13), 16, 10).cast("decimal(20,0)")
+
+
 def fingerprint(df: DataFrame, columns=None) -> DataFrame:
     """Order-insensitive (row_count, hash): the sum of 13 hex digits of md5 over the rows."""
-    columns = columns or df.columns
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
-    part = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("decimal(20,0)")
     return df.agg(F.count("*").alias("row_count"),
-                  F.coalesce(F.sum(part), F.lit(0)).cast("decimal(38,0)").cast("string").alias("content_hash"))
+                  F.coalesce(F.sum(row_part(columns or df.columns)), F.lit(0)).cast("decimal(38,0)").cast("string").alias("content_hash"))
 
 
 def same_content(a: DataFrame, b: DataFrame) -> DataFrame:

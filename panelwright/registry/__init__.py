@@ -22,5 +22,5 @@ def query(sql: str | None = None):
 
 def all_queries() -> dict:
     from panelwright.registry import (  # noqa: F401
-        evaluation, files, identity, models, monthly, parsing, portfolio, scalars, snapshots, splits, trees)
+        evaluation, files, identity, incremental, models, monthly, parsing, portfolio, scalars, snapshots, splits, trees)
     return dict(_QUERIES)
