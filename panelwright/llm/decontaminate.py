@@ -23,8 +23,9 @@ from panelwright.llm.frames import per_row
 from panelwright.session import cut_lineage
 
 WINDOW = 13
-#: Benchmark text per pass over the documents; a larger benchmark takes several passes.
-BLOCK_BYTES = 32 << 20
+#: Benchmark text per pass over the documents; a larger benchmark takes several passes. A block costs a process
+#: about 100 times its text, so about 200 MB; a single item is never cut.
+BLOCK_BYTES = 2 << 20
 #: Words of a shard that go into one index.
 SHARD_WORDS = 1 << 20
 _HASH = tb.Hasher(11)
