@@ -49,7 +49,8 @@ def segment_records(lines: DataFrame) -> DataFrame:
     starts = accepted_serials(tidy).withColumnRenamed("serial", "_start")
     page = Window.partitionBy("document", "page").orderBy("line_no")
     so_far = page.rowsBetween(Window.unboundedPreceding, 0)
-    marked = tidy.join(starts, ["document", "page", "line_no"], "left").withColumns({
+    # Starts grow with the lines; they are never broadcast, however small their files are.
+    marked = tidy.join(starts.hint("merge"), ["document", "page", "line_no"], "left").withColumns({
         "serial": F.last("_start", ignorenulls=True).over(so_far),
         "_last": F.max("_start").over(Window.partitionBy("document", "page")),
     }).filter(F.col("serial").isNotNull())
@@ -112,7 +113,7 @@ def fill_down(df: DataFrame, columns, document="document", page="page", order="r
     before = Window.partitionBy(document).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
     carry = ends.select(document, page, *[
         F.last(f"_end_{c}", ignorenulls=True).over(before).alias(f"_carry_{c}") for c in columns])
-    return df.join(carry, [document, page]).withColumns({
+    return df.join(carry.hint("merge"), [document, page]).withColumns({
         c: F.coalesce(F.last(c, ignorenulls=True).over(within), F.col(f"_carry_{c}")) for c in columns
     }).drop(*[f"_carry_{c}" for c in columns])
 

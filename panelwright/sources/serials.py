@@ -5,6 +5,9 @@ to the one expected after it, and every other serial to itself. Maps of neighbou
 so no task needs a whole document. A block of pages is one map, folded in a task; the maps
 of a document's blocks are composed in a binary tree by joins; going down the tree, each
 block learns the serial expected at its start and takes its lines on its own.
+
+Serials compress to small files, which make every table here look small; its joins are merge
+joins, as their sides grow with the documents and must not be sent through the driver.
 """
 
 import pyarrow as pa
@@ -64,9 +67,9 @@ def _composed(maps: DataFrame) -> DataFrame:
     left = up.filter(F.col("_node") % 2 == 0).select("document", "_blocks", F.col("_up").alias("_node"), "serial", "next")
     right = up.filter(F.col("_node") % 2 == 1).select("document", "_blocks", F.col("_up").alias("_node"), "serial", "next")
     after = right.select("document", "_node", F.col("serial").alias("next"), F.col("next").alias("_after"))
-    through = left.join(after, ["document", "_node", "next"], "left").select(
+    through = left.join(after.hint("merge"), ["document", "_node", "next"], "left").select(
         "document", "_blocks", "_node", "serial", F.coalesce("_after", "next").alias("next"))
-    return through.unionByName(right.join(left, ["document", "_node", "serial"], "left_anti"))
+    return through.unionByName(right.join(left.hint("merge"), ["document", "_node", "serial"], "left_anti"))
 
 
 def block_starts(found: DataFrame) -> DataFrame:
@@ -79,15 +82,15 @@ def block_starts(found: DataFrame) -> DataFrame:
     if most > 1:
         own = cut_lineage(own)
         start = own.select("document", "_blocks", "_first", F.lit(0).cast("bigint").alias("_node"), F.lit(1).cast("bigint").alias("start"))
-        many = block_maps(found.join(own.filter("_blocks > 1").select("document"), "document", "left_semi"))
-        levels.append(cut_lineage(many.join(own, "document").select(
+        many = block_maps(found.join(own.filter("_blocks > 1").select("document").hint("merge"), "document", "left_semi"))
+        levels.append(cut_lineage(many.join(own.hint("merge"), "document").select(
             "document", "_blocks", (F.col("_block") - F.col("_first")).alias("_node"), "serial", "next")))
         while 2 ** len(levels) < most:  # documents leave the tree at their own height
             levels.append(cut_lineage(_composed(levels[-1].filter(F.col("_blocks") > 2 ** len(levels)))))
     for height in reversed(range(len(levels))):
         leads = levels[height].select("document", F.col("_node").alias("_child"), F.col("serial").alias("start"), F.col("next").alias("_after"))
         here = start.withColumn("_child", F.col("_node") * 2)
-        right = here.filter((F.col("_child") + 1) * 2 ** height < F.col("_blocks")).join(leads, ["document", "_child", "start"], "left").select(
+        right = here.filter((F.col("_child") + 1) * 2 ** height < F.col("_blocks")).join(leads.hint("merge"), ["document", "_child", "start"], "left").select(
             "document", "_blocks", "_first", (F.col("_child") + 1).alias("_node"), F.coalesce("_after", "start").alias("start"))
         old, start = start, cut_lineage(here.select("document", "_blocks", "_first", F.col("_child").alias("_node"), "start").unionByName(right))
         if height < len(levels) - 1:
@@ -118,5 +121,5 @@ def take_serials(found: DataFrame, block_pages=BLOCK_PAGES) -> DataFrame:
                     expected += 1
             yield batch.take(pa.array(out, pa.int64())).select([0, 2, 3, 4])
 
-    rows = found.join(block_starts(found), _BLOCK).select(*found.columns, "start")
+    rows = found.join(block_starts(found).hint("merge"), _BLOCK).select(*found.columns, "start")
     return _by_block(rows, "page", "line_no").mapInArrow(run, _fields(found, "document", "page", "line_no", "serial"))
