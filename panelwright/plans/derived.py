@@ -10,14 +10,44 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.periods import period_from_index
 from panelwright.operators.harmonize import SnapshotSpec, to_canonical, union_snapshots
+from panelwright.session import cut_lineage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def monthly_panel(spark, sf_dir, dense=True) -> DataFrame:
-    """Panel of suppliers (dense) or parts (sparse) by ship month."""
+def _running(cells: DataFrame) -> DataFrame:
+    """Every cell with the running sums up to its month and its project's total and first month."""
+    whole = Window.partitionBy("project_code")
+    so_far = whole.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    return cells.select(
+        "project_code", "id", "idx",
+        F.sum("price").over(so_far).alias("spend"),
+        F.sum("ret").over(so_far).alias("cum_ret"),
+        F.count("*").over(so_far).alias("k"),
+        F.sum("price").over(whole).alias("total"),
+        F.min("idx").over(whole).alias("first_idx"),
+    )
+
+
+def _running_at(cells: DataFrame, months) -> DataFrame:
+    """The rows of :func:`_running` at a few months: one sum per project and month, no order; no month sorts first."""
+    idx = F.col("idx")
+
+    def at(month):
+        m = int(month[:4]) * 12 + int(month[5:]) - 1
+        upto = idx.isNull() | (idx <= m)
+        return (F.lit(m).alias("idx"), F.sum(F.when(upto, F.col("price"))).alias("spend"), F.sum(F.when(upto, F.col("ret"))).alias("cum_ret"),
+                F.count_if(upto).alias("k"), F.coalesce(F.bool_or(idx == m), F.lit(False)).alias("seen"))
+
+    per = cells.groupBy("project_code", "id").agg(
+        F.sum("price").alias("total"), F.min("idx").alias("first_idx"), F.array(*[F.struct(*at(m)) for m in months]).alias("_at"))
+    return per.select("project_code", "id", "total", "first_idx", F.inline("_at")).filter("seen").drop("seen")
+
+
+def monthly_panel(spark, sf_dir, dense=True, months=None) -> DataFrame:
+    """Panel of suppliers (dense) or parts (sparse) by ship month; with ``months``, only their rows."""
     prefix, key = ("S", "l_suppkey") if dense else ("P", "l_partkey")
     day = F.col("l_shipdate")
     cells = (
@@ -32,16 +62,7 @@ def monthly_panel(spark, sf_dir, dense=True) -> DataFrame:
         .groupBy("project_code", "id", "idx")
         .agg(F.sum("price").alias("price"), F.sum("ret").alias("ret"))
     )
-    whole = Window.partitionBy("project_code")
-    so_far = whole.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    running = cells.select(
-        "project_code", "id", "idx",
-        F.sum("price").over(so_far).alias("spend"),
-        F.sum("ret").over(so_far).alias("cum_ret"),
-        F.count("*").over(so_far).alias("k"),
-        F.sum("price").over(whole).alias("total"),
-        F.min("idx").over(whole).alias("first_idx"),
-    )
+    running = _running(cells) if months is None else _running_at(cells, months)
     c = F.col
     original = F.round(c("total").cast("decimal(18,2)") * F.lit("0.8").cast("decimal(2,1)"), 2)
     priced = running.withColumn("orig", original.cast("decimal(18,2)"))
@@ -85,12 +106,12 @@ def monthly_panel(spark, sf_dir, dense=True) -> DataFrame:
     )
 
 
-def part_panel(spark, sf_dir) -> DataFrame:
+def part_panel(spark, sf_dir, months=None) -> DataFrame:
     """The sparse panel with its part attributes, the source of the raw snapshots."""
     part = table(spark, sf_dir, "part").select(
         F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("project_code"),
         F.col("p_partkey").alias("id"), "p_name", "p_brand", "p_type")
-    return monthly_panel(spark, sf_dir, dense=False).join(part, "project_code")
+    return monthly_panel(spark, sf_dir, dense=False, months=months).join(part, "project_code")
 
 
 def raw_snapshot(rows: DataFrame, month: str, layout: str) -> DataFrame:
@@ -144,8 +165,8 @@ SPECS = (
 
 
 def raw_snapshots(spark, sf_dir) -> list:
-    """(table, spec) of the three snapshots."""
-    rows = part_panel(spark, sf_dir)
+    """(table, spec) of the three snapshots; their panel rows are summed once and stored."""
+    rows = cut_lineage(part_panel(spark, sf_dir, SNAPSHOTS))
     return [(raw_snapshot(rows, m, lay), spec)
             for m, lay, spec in zip(SNAPSHOTS, ("old", "early", "late"), SPECS)]
 
