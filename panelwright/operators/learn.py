@@ -4,12 +4,13 @@ What a fit brings to the driver is the model itself: a few constants, one weight
 importance per feature, one label list per categorical column.
 """
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -19,10 +20,12 @@ from panelwright.errors import ContractError
 from panelwright.functions.numeric import clip, logit
 from panelwright.operators.cohort import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from panelwright.operators.explain import reference_profile
+from panelwright.operators.forests import BINS, Forest, grow
 from panelwright.operators.metrics import metric_deltas, metrics
 from panelwright.operators.isotonic import isotonic_blocks, knots
 from panelwright.operators.newton import MOST_FEATURES, newton_logistic
 from panelwright.operators.scale import beside
+from panelwright.operators.trees import bin_cuts
 from panelwright.session import cut_lineage, discard
 
 # The basic five-column predictor set of the feature-set experiment.
@@ -203,13 +206,57 @@ def fit_wide_logistic(train: DataFrame, y: str, numeric=NUMERIC_FEATURES, catego
     return _fit(train, y, lr, numeric, categorical)
 
 
+@dataclass
+class ForestModel:
+    """A forest with the imputation profile, cut points and levels that turn a row into bin numbers."""
+
+    forest: Forest
+    profile: dict
+    cuts: dict
+    levels: dict
+
+    @property
+    def names(self) -> list:
+        return [*self.cuts, *[f"{c}={level}" for c, known in self.levels.items() for level in known]]
+
+    def score(self, df: DataFrame, out="probability") -> DataFrame:
+        """Add the probability of class 1; a level unseen in the fit is none of the known ones."""
+        coded = df.withColumn("_codes", _codes(self.profile, self.cuts, self.levels))
+        scores = self.forest.score(cut_lineage(coded.select(F.col("_codes").alias("codes")).distinct()))
+        # One row per distinct row of bins: it grows with the rows, so it is not broadcast.
+        found = scores.select(F.col("codes").alias("_codes"), F.col("p").alias("_p")).hint("merge")
+        return coded.join(found, "_codes").select(*df.columns, F.col("_p").alias(out))
+
+    def importances(self) -> list:
+        return self.forest.importances()
+
+
+def _codes(profile, cuts, levels):
+    """Array of a row's bin numbers: cut points below a value, then 1 for its level and 0 for the others."""
+    filled = lambda c, kind: F.coalesce(F.col(c).cast(kind), F.lit(profile[c]).cast(kind))
+    numeric = [sum((filled(c, "double") > F.lit(float(x))).cast("int") for x in own) if own else F.lit(0) for c, own in cuts.items()]
+    named = [(filled(c, "string") == F.lit(level)).cast("int") for c, known in levels.items() for level in known]
+    return F.array(*[x.cast("tinyint") for x in [*numeric, *named]])
+
+
 def fit_forest(train: DataFrame, y: str, numeric=NUMERIC_FEATURES, categorical=CATEGORICAL_FEATURES,
-               trees=300, depth=30, seed=42) -> FittedModel:
-    """Random forest with sqrt features and bootstrap; depth is bounded by Spark at 30."""
-    rf = RandomForestClassifier(featuresCol="_features", labelCol="_label", numTrees=trees, maxDepth=depth,
-                                featureSubsetStrategy="sqrt", minInstancesPerNode=1, bootstrap=True,
-                                maxMemoryInMB=1024, seed=seed)
-    return _fit(train, y, rf, numeric, categorical)
+               trees=300, depth=30, seed=42) -> ForestModel:
+    """Random forest with sqrt features and bootstrap, see :mod:`panelwright.operators.forests`.
+
+    Rows are drawn by their place in ``train``, see :func:`in_fit_order`.
+    """
+    _rows_to_fit(train)
+    numeric, profile = list(numeric), _profile(train, numeric, categorical)
+    filled = cut_lineage(train.filter(F.col(y).isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col(y).cast("bigint").alias("y"), *[
+        F.coalesce(F.col(c).cast("double" if c in numeric else "string"), F.lit(v).cast("double" if c in numeric else "string")).alias(c) for c, v in profile.items()]))
+    _rows_to_fit(filled)
+    cuts = bin_cuts(filled, numeric, BINS)
+    levels = {c: sorted(r[c] for r in filled.select(c).distinct().collect()) for c in categorical}
+    names = [*numeric, *[v for known in levels.values() for v in known]]
+    coded = cut_lineage(filled.select("row", "y", _codes(profile, cuts, levels).alias("codes")))
+    pieces, base = grow(coded, len(names), trees, depth, math.ceil(math.sqrt(len(names))), seed)
+    discard(filled, coded)
+    return ForestModel(Forest(pieces, trees, len(names), base), profile, cuts, levels)
 
 
 def in_fit_order(train: DataFrame, key: str, partitions=None) -> DataFrame:
@@ -218,7 +265,7 @@ def in_fit_order(train: DataFrame, key: str, partitions=None) -> DataFrame:
     return train.repartition(n, key).sortWithinPartitions(key)
 
 
-def score_tasks(df: DataFrame, cost: FittedModel, schedule: FittedModel,
+def score_tasks(df: DataFrame, cost: ForestModel, schedule: ForestModel,
                 eligible="is_eligible_schedule_target") -> DataFrame:
     """Both probabilities; the schedule probability is NULL for ineligible rows."""
     both = schedule.score(cost.score(df, "cost_risk_probability"), "_ps")
@@ -239,10 +286,9 @@ def extreme_levels(coefs: DataFrame, k=5) -> DataFrame:
     return side(F.col("coefficient").desc(), "top").unionByName(side(F.col("coefficient").asc(), "bottom"))
 
 
-def importances(model: FittedModel, spark) -> DataFrame:
+def importances(model: ForestModel, spark) -> DataFrame:
     """(feature, parent, importance) of a forest."""
-    values = model.classifier.featureImportances.toArray()
-    rows = [(n, n.split("=", 1)[0], float(v)) for n, v in zip(model.names, values)]
+    rows = [(n, n.split("=", 1)[0], float(v)) for n, v in zip(model.names, model.importances())]
     return spark.createDataFrame(rows, "feature string, parent string, importance double")
 
 
