@@ -185,9 +185,25 @@ def grow(coded: DataFrame, n_features: int, trees: int, depth: int, draw: int, s
     return whole, float(base)
 
 
+def _leaves(flat, starts, feature, code, child):
+    """The leaf that each row of bin numbers, beginning at ``starts`` in ``flat``, ends in."""
+    found, ids = np.zeros(len(starts), np.int32), np.arange(len(starts))
+    at, is_leaf, feature, code = found, feature < 0, feature.astype(np.int32), code.astype(np.int8)
+    while True:
+        done = is_leaf.take(at)
+        if done.any():
+            found[ids[done]] = at[done]
+            going = ~done
+            ids, at, starts = ids[going], at[going], starts[going]
+            if not len(ids):
+                return found
+        at = child.take(at) + (flat.take(starts + feature.take(at)) > code.take(at))
+
+
 def _leaf_shares(codes, pieces, trees, base):
     """Sum over ``trees`` of the share of each row's leaf; ``pieces`` are tuples in order of (tree, node)."""
     total = np.zeros(len(codes), np.int64)
+    flat, starts = codes.astype(np.int8).ravel(), np.arange(len(codes)) * codes.shape[1]
     waiting, tree = {}, None
     seen = 0
     for number, node, top, *arrays in pieces:
@@ -201,13 +217,7 @@ def _leaf_shares(codes, pieces, trees, base):
             right = codes[rows, feature[0]] > code[0]
             waiting[2 * node], waiting[2 * node + 1] = rows[~right], rows[right]
             continue
-        at = np.zeros(len(rows), np.int64)
-        going = np.flatnonzero(feature[at] >= 0)
-        while len(going):
-            here = at[going]
-            at[going] = child[here] + (codes[rows[going], feature[here]] > code[here])
-            going = going[feature[at[going]] >= 0]
-        total[rows] += share[at]
+        total[rows] += share[_leaves(flat, starts[rows], feature, code, child)]
     return total + (trees - seen) * base  # a tree that drew no row knows only the whole
 
 

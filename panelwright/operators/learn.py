@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -232,11 +234,32 @@ class ForestModel:
 
 
 def _codes(profile, cuts, levels):
-    """Array of a row's bin numbers: cut points below a value, then 1 for its level and 0 for the others."""
+    """Array of a row's bin numbers: cut points below a value, then 1 for its level and 0 for the others.
+
+    Bins are looked up in whole Arrow columns. As an expression, with a comparison for every cut, they took
+    longer to compile and to evaluate than the trees took to score them.
+    """
     filled = lambda c, kind: F.coalesce(F.col(c).cast(kind), F.lit(profile[c]).cast(kind))
-    numeric = [sum((filled(c, "double") > F.lit(float(x))).cast("int") for x in own) if own else F.lit(0) for c, own in cuts.items()]
-    named = [(filled(c, "string") == F.lit(level)).cast("int") for c, known in levels.items() for level in known]
-    return F.array(*[x.cast("tinyint") for x in [*numeric, *named]])
+    edges = [np.array(own, float) for own in cuts.values()]
+    known = list(levels.values())
+    width = len(edges) + sum(map(len, known))
+
+    @F.arrow_udf("array<tinyint>")
+    def bins(*columns):
+        rows = len(columns[0])
+        out = np.zeros((rows, width), np.int8)
+        for at, (column, own) in enumerate(zip(columns, edges)):
+            out[:, at] = np.searchsorted(own, column.to_numpy(zero_copy_only=False))
+        at = len(edges)
+        for column, own in zip(columns[at:], known):
+            place = pc.index_in(column, pa.array(own, pa.string())).fill_null(-1).to_numpy(zero_copy_only=False)
+            hit = np.flatnonzero(place >= 0)
+            out[hit, at + place[hit]] = 1
+            at += len(own)
+        return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width, pa.int32()), pa.array(out.ravel()))
+
+    # Marked so that a filter on the join key does not evaluate it once more.
+    return bins.asNondeterministic()(*[filled(c, "double") for c in cuts], *[filled(c, "string") for c in levels])
 
 
 def fit_forest(train: DataFrame, y: str, numeric=NUMERIC_FEATURES, categorical=CATEGORICAL_FEATURES,

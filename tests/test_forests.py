@@ -64,3 +64,34 @@ def test_large_nodes_are_split_before_groups(spark, monkeypatch):
 def test_tiny_tables(spark):
     one = spark.createDataFrame([(1, 1.0, 2.0, "x", 1)], "k long, a double, b double, c string, y int")
     assert _fit(one, 7).score(one, "p").first().p == 1.0
+
+
+def test_bins_are_looked_up_in_columns(spark):
+    nan = float("nan")
+    values = [None, -1.0, 0.0, 0.5, 1.0, 2.5, nan]
+    df = spark.createDataFrame([(i, v, c) for i, (v, c) in enumerate(zip(values, ["x", "y", None, "z", "never", "x", ""]))], "i long, a double, c string")
+    cuts, levels = {"a": [0.0, 1.0, 2.5], "b": []}, {"c": ["x", "y", "z"]}
+    codes = M._codes({"a": 0.75, "b": 0.0, "c": "y"}, cuts, levels)
+    got = [r.codes for r in df.withColumn("b", F.lit(None).cast("double")).select("i", codes.alias("codes")).orderBy("i").collect()]
+    below = [1, 0, 0, 1, 1, 2, 3]
+    named = [[1, 0, 0], [0, 1, 0], [0, 1, 0], [0, 0, 1], [0, 0, 0], [1, 0, 0], [0, 0, 0]]
+    assert got == [[a, 0, *n] for a, n in zip(below, named)]
+    plan = df.withColumn("b", F.lit(0.0)).select(codes.alias("codes"))._jdf.queryExecution().optimizedPlan().toString()
+    assert " > 2.5" not in plan
+
+
+def test_leaves_of_many_rows_agree_with_a_plain_walk():
+    rng = np.random.default_rng(4)
+    codes = rng.integers(0, 33, (500, 4))
+    y = ((codes[:, 0] + codes[:, 1]) % 3 == 0).astype(float)
+    (feature, code, child, share), _ = R._grown(codes, y, np.ones(500), 0, 30, 2, rng)
+    asked = rng.integers(0, 33, (300, 4))
+
+    def plain(row):
+        at = 0
+        while feature[at] >= 0:
+            at = child[at] + (row[feature[at]] > code[at])
+        return at
+
+    got = R._leaves(asked.astype(np.int8).ravel(), np.arange(300) * 4, *(np.asarray(x, k) for x, k in ((feature, "<i2"), (code, "<i2"), (child, "<i4"))))
+    assert got.tolist() == [plain(r) for r in asked]
