@@ -41,28 +41,29 @@ def _running_at(cells: DataFrame, months) -> DataFrame:
         return (F.lit(m).alias("idx"), F.sum(F.when(upto, F.col("price"))).alias("spend"), F.sum(F.when(upto, F.col("ret"))).alias("cum_ret"),
                 F.count_if(upto).alias("k"), F.coalesce(F.bool_or(idx == m), F.lit(False)).alias("seen"))
 
-    per = cells.groupBy("project_code", "id").agg(
+    # Cells are dealt by project as they are; sums for every month would be many times as wide.
+    per = cells.repartition("id").groupBy("id").agg(
         F.sum("price").alias("total"), F.min("idx").alias("first_idx"), F.array(*[F.struct(*at(m)) for m in months]).alias("_at"))
-    return per.select("project_code", "id", "total", "first_idx", F.inline("_at")).filter("seen").drop("seen")
+    return per.select("id", "total", "first_idx", F.inline("_at")).filter("seen").drop("seen")
 
 
 def monthly_panel(spark, sf_dir, dense=True, months=None) -> DataFrame:
     """Panel of suppliers (dense) or parts (sparse) by ship month; with ``months``, only their rows."""
     prefix, key = ("S", "l_suppkey") if dense else ("P", "l_partkey")
     day = F.col("l_shipdate")
-    cells = (
-        table(spark, sf_dir, "lineitem")
-        .select(
-            F.concat(F.lit(prefix), F.col(key).cast("string")).alias("project_code"),
-            F.col(key).alias("id"),
-            (F.year(day) * 12 + F.month(day) - 1).alias("idx"),
-            F.col("l_extendedprice").cast("decimal(18,2)").alias("price"),
-            (F.col("l_returnflag") == "R").cast("int").alias("ret"),
-        )
-        .groupBy("project_code", "id", "idx")
-        .agg(F.sum("price").alias("price"), F.sum("ret").alias("ret"))
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col(key).alias("id"),
+        (F.year(day) * 12 + F.month(day) - 1).alias("idx"),
+        F.col("l_extendedprice").cast("decimal(18,2)").alias("price"),
+        (F.col("l_returnflag") == "R").cast("int").alias("ret"),
     )
-    running = _running(cells) if months is None else _running_at(cells, months)
+    code = F.concat(F.lit(prefix), F.col("id").cast("string")).alias("project_code")
+    if months is None:
+        cells = lines.groupBy(code, "id", "idx").agg(F.sum("price").alias("price"), F.sum("ret").alias("ret"))
+        running = _running(cells)
+    else:  # numbers are moved, not codes
+        cells = lines.groupBy("id", "idx").agg(F.sum("price").alias("price"), F.sum("ret").alias("ret"))
+        running = _running_at(cells, months).select(code, "*")
     c = F.col
     original = F.round(c("total").cast("decimal(18,2)") * F.lit("0.8").cast("decimal(2,1)"), 2)
     priced = running.withColumn("orig", original.cast("decimal(18,2)"))

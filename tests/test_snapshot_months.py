@@ -20,3 +20,9 @@ def test_rows_of_chosen_months(spark, tmp_path):
     assert chosen.schema == whole.schema and rows(chosen) == rows(whole) and chosen.count() > 9
     plan = D.canonical(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "l_partkey" not in plan
+
+
+def test_numbers_are_shuffled_instead_of_codes(spark, sf_dir):
+    plan = D.monthly_panel(spark, sf_dir, dense=False, months=D.SNAPSHOTS)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert len(dealt) == 2 and not any("project_code" in line for line in dealt)
