@@ -1,16 +1,20 @@
 """Substring search by an index of three-character grams.
 
 A text holds a query only if it holds all the query's grams, so the keys that the rarest grams have in common
-are the only rows to read and compare. Postings are stored in order of (gram, key): a search reads the
-stretches of its grams, and a gram that most texts hold is spread over many files. Every position
+are the only rows to read and compare. Postings are stored where their texts are read, in long runs in order of gram:
+a search reads the stretches of its grams, and a gram that most texts hold is spread over all files. Every position
 starts a gram, shorter ones at the end of a text, so queries of one or two characters
-find the grams that begin with them.
+find the grams that begin with them. A stored gram is one long number, its characters' code
+points one after the other, so grams sort as their texts do and a beginning is a range.
 """
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from panelwright.functions.text import contains_any
 from panelwright.session import cut_lineage
@@ -30,9 +34,56 @@ def grams(text) -> Column:
     return F.array_distinct(F.filter(F.zip_with(pairs, F.slice(letters, 3, F.size(letters)), joined), lambda g: g != ""))
 
 
+#: Bits of a code point in a gram's number; a place without a character is 0, so a code point counts from 1.
+_BITS = 21
+#: Rows of texts handled at a time, postings in one sorted run, and postings in one Arrow batch.
+_ROWS, _RUN, _BATCH = 500, 1_000_000, 100_000
+
+
+def gram_code(gram: str) -> int:
+    """The number of a gram of up to three characters."""
+    return sum((ord(c) + 1) << _BITS * (SIZE - 1 - i) for i, c in enumerate(gram))
+
+
+def gram_codes(text: bytes) -> np.ndarray:
+    """The numbers of all grams of a text in UTF-8, one per position."""
+    points = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le", "replace"), "<u4").astype(np.int64) + 1
+    points = np.concatenate([points, np.zeros(SIZE - 1, np.int64)])
+    n = len(points) - SIZE + 1
+    return sum(points[i:i + n] << _BITS * (SIZE - 1 - i) for i in range(SIZE))
+
+
+def _postings(batches):
+    """(gram, key), in runs ordered by gram, of batches whose first column is the key and whose others are lower-cased texts.
+
+    A row's grams come once.
+    """
+    keys, rows, found, base, held = [], [], [], 0, 0
+
+    def run():
+        codes = np.concatenate(found)
+        order = np.argsort(codes, kind="stable")
+        whole, codes, at = pa.concat_arrays(keys), codes[order], np.concatenate(rows)[order]
+        for low in range(0, len(codes), _BATCH):
+            yield pa.RecordBatch.from_arrays([pa.array(codes[low:low + _BATCH]), whole.take(pa.array(at[low:low + _BATCH]))], names=["gram", "key"])
+
+    for batch in (whole.slice(at, _ROWS) for whole in batches for at in range(0, whole.num_rows, _ROWS)):
+        keys.append(batch.column(0))
+        for row, texts in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]))):
+            found.append(np.unique(np.concatenate([gram_codes(t or b"") for t in texts])))
+            rows.append(np.full(len(found[-1]), base + row))
+            held += len(found[-1])
+        base += batch.num_rows
+        if held > _RUN:
+            yield from run()
+            keys, rows, found, base, held = [], [], [], 0, 0
+    if held:
+        yield from run()
+
+
 @dataclass
 class GramIndex:
-    """Postings (gram, key) in order, and how many keys each gram has."""
+    """Postings (gram, key) in sorted runs, and how many keys each gram has; grams as numbers, see :func:`gram_code`."""
 
     postings: DataFrame
     counts: DataFrame
@@ -42,6 +93,7 @@ class GramIndex:
         """The query's rarest grams with their counts; nothing if some gram is unknown."""
         spark = self.counts.sparkSession
         own = spark.range(1).select(F.filter(grams(F.lit(query)), lambda g: F.length(g) == SIZE).alias("g")).first()["g"]
+        own = [gram_code(g) for g in own]
         known = {r["gram"]: r["n"] for r in self.counts.filter(F.col("gram").isin(own)).collect()}
         return dict(sorted(known.items(), key=lambda x: (x[1], x[0]))[:RAREST]) if len(known) == len(own) else None
 
@@ -50,7 +102,8 @@ class GramIndex:
         spark = self.postings.sparkSession
         plain = spark.range(1).select(F.lower(F.lit(query)).alias("q")).first()["q"]
         if len(plain) < SIZE:
-            return self.postings.filter(F.col("gram").startswith(plain)).select("key").distinct()
+            low, width = gram_code(plain), 1 << _BITS * (SIZE - len(plain))
+            return self.postings.filter(F.col("gram").between(low, low + width - 1)).select("key").distinct()
         wanted = self.chosen(query)
         if wanted is None:
             return self.postings.filter(F.lit(False)).select("key")
@@ -74,8 +127,13 @@ class GramIndex:
 
 def build_index(df: DataFrame, key: str, columns) -> GramIndex:
     """An index of ``columns``, stored in the shared folder. A null key is not indexed."""
-    every = F.array_distinct(F.flatten(F.array(*[grams(F.col(c).cast("string")) for c in columns])))
-    tall = df.filter(F.col(key).isNotNull()).select(F.explode(every).alias("gram"), F.col(key).alias("key")).distinct()
-    postings = cut_lineage(tall.repartitionByRange("gram", "key").sortWithinPartitions("gram", "key"))
+    lowered = [F.lower(F.col(c).cast("string")).cast("binary").alias(f"text{i}") for i, c in enumerate(columns)]
+    texts = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), *lowered)
+    kinds = StructType([StructField("gram", LongType()), texts.schema["key"]])
+    # A row has each gram once, so only the grams of keys with several rows can come again.
+    repeated = cut_lineage(texts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
+    once = texts.join(repeated, "key", "left_anti").mapInArrow(_postings, kinds)
+    more = texts.join(repeated, "key", "left_semi").mapInArrow(_postings, kinds).distinct().sortWithinPartitions("gram", "key")
+    postings = cut_lineage(once.unionByName(more))
     counts = cut_lineage(postings.groupBy("gram").agg(F.count("*").alias("n")).orderBy("gram"))
     return GramIndex(postings, counts, list(columns))
