@@ -124,6 +124,29 @@ def test_title_join_moves_rows_linear_in_words(spark):
     assert sizes[200] <= 4.5 * sizes[50]
 
 
+def test_token_counts_bound_what_titles_hold(spark):
+    rows = [(["a", "b"],), (["a"],), ([],), (None,), (["a", "c", "b"],)]
+    df = spark.createDataFrame(rows, "tokens array<string>").repartition(3)
+    counts = J.token_counts(df.select(F.transform("tokens", lambda t: F.xxhash64(t)).alias("h")))
+    slot = {t: J._slots(spark.range(1).select(F.xxhash64(F.lit(t))).first()[0]) for t in "abc"}
+    assert counts.sum() == 6 and [int(counts[slot[t]]) for t in "abc"] == [3, 2, 1]
+
+
+def test_long_titles_that_share_few_tokens_are_not_compared(spark, monkeypatch):
+    """Long titles with some rare tokens in common need too many more; only near copies are compared word by word."""
+    common = [f"c{i}" for i in range(1200)]
+    title = lambda i: " ".join(common[:800 + i] + [f"x{i % 5}"] + [f"own{i}q{j}" for j in range(300)])
+    make = lambda mark, odd: _obs(spark, mark, [(f"{mark}{i}", title(i) + odd, "Goa", "NHAI", "", "100.0") for i in range(30)])
+    seen = []
+    monkeypatch.setattr(J, "jaccard", lambda a, b, real=J.jaccard: seen.append(1) or real(a, b))
+    rows, others = (J.cut_lineage(J._signed(df, False, "original_cost_crore")) for df in (make("A", ""), make("B", " extra")))
+    found = J.similar_titles(rows, others)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 30 and found.filter("similarity >= 1").count() == 0 and seen
+    # The tokens of a title are never moved one by one, and never collected into lists again.
+    assert "collect_list" not in plan and plan.count("explode") == 0
+
+
 def _values(spark, n=4000, partitions=5):
     return spark.range(n).select(
         F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.pmod(F.xxhash64("id"), F.lit(997)) / 997).alias("v"),
