@@ -5,11 +5,13 @@ smallest ``doc_id`` of each group of near duplicates, decontamination drops docu
 hold benchmark text, personal data is masked, and the rest is packed into sequences.
 """
 
+import functools
 import uuid
 
 from pyspark.sql import functions as F
 
 from panelwright.llm import decontaminate, jaccard, language, packing, pii
+from panelwright.llm.frames import BATCH_ROWS, limit_batches
 from panelwright.session import checkpoint_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -53,8 +55,19 @@ def pack(spark, docs, sf_dir):
     return packing.pack_documents(docs)
 
 
-STAGES = [("language", identify_language), ("jaccard_join", drop_near_duplicates), ("decontamination", drop_contaminated),
-          ("personal_data", mask_personal_data), ("packing", pack)]
+def _in_small_batches(stage):
+    """The stage, whose result is computed later by whoever writes it, under the session's lower limit on batches."""
+    @functools.wraps(stage)
+    def limited(spark, docs, sf_dir):
+        limit_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return limited
+
+
+STAGES = [(name, _in_small_batches(stage)) for name, stage in (
+    ("language", identify_language), ("jaccard_join", drop_near_duplicates), ("decontamination", drop_contaminated),
+    ("personal_data", mask_personal_data), ("packing", pack))]
 #: Fitted models decide in three stages, which SQL cannot express.
 ORACLE_SQL = None
 
@@ -63,8 +76,12 @@ def run(spark, sf_dir):
     """All stages over ``documents``, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{checkpoint_dir(spark)}/pipeline/{uuid.uuid4().hex}"
-    for number, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{number}_{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    before = spark.conf.get(BATCH_ROWS)
+    try:
+        for number, (name, stage) in enumerate(STAGES):
+            path = f"{folder}/{number}_{name}"
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
     return docs

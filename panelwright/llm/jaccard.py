@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from panelwright.llm import textbytes as tb
 from panelwright.llm.components import components
-from panelwright.llm.frames import cut_lineage, discard
+from panelwright.llm.frames import cut_lineage, discard, small_batches
 
 SHINGLE = 4
 #: Link when ``DEN * intersection >= NUM * union``.
@@ -214,7 +214,7 @@ def _each_set(batches, k, seed, chosen):
                 yield cid, own
 
 
-def _batches(rows, names, kinds, size=2000, most=16 << 20):
+def _batches(rows, names, kinds, size=2000, most=4 << 20):
     """Rows of columns as Arrow batches of bounded length and bytes."""
     held, weight = [], 0
     for row in rows:
@@ -474,7 +474,15 @@ def jaccard_groups(docs: DataFrame, k=SHINGLE) -> DataFrame:
 
 def jaccard_rows(docs: DataFrame, k=SHINGLE) -> DataFrame:
     """As :func:`jaccard_groups`, with ``text_key`` (the xxhash64 of the text) and ``root``, the component's class,
-    null for documents without words; rows of one ``doc_id`` or of none stay apart by them."""
+    null for documents without words; rows of one ``doc_id`` or of none stay apart by them.
+
+    Every pass over the texts runs here, in small batches; what is returned only joins stored tables.
+    """
+    with small_batches(docs.sparkSession):
+        return _rows(docs, k)
+
+
+def _rows(docs, k):
     context = docs.sparkSession.sparkContext
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     seed, documents, classes, counters = _classes(slim, k)

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.llm import decontaminate, jaccard, packing, pii, queries, textbytes, tokens, topk
+from panelwright.llm import decontaminate, frames, jaccard, packing, pii, queries, textbytes, tokens, topk
 from panelwright.llm.fmindex import FMIndex, suffix_array
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -248,6 +248,30 @@ def test_jaccard_join_of_one_large_group_and_odd_rows(spark):
     assert jaccard.jaccard_groups(frame.limit(0)).count() == 0
 
 
+def test_jaccard_join_hands_small_batches_to_python_and_restores_the_session(spark, documents, monkeypatch):
+    seen = []
+    write = jaccard.cut_lineage
+    monkeypatch.setattr(jaccard, "cut_lineage", lambda df: seen.append(int(spark.conf.get(frames.BATCH_ROWS))) or write(df))
+    before = spark.conf.get(frames.BATCH_ROWS)
+    jaccard.jaccard_rows(documents)
+    assert seen and max(seen) <= frames.ROWS < int(before)
+    assert spark.conf.get(frames.BATCH_ROWS) == before
+
+
+def test_small_batches_bound_what_a_task_hands_over_and_keep_smaller_limits(spark):
+    def lengths(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    rows = spark.range(0, 5000, 1, 1).mapInArrow(lengths, "n bigint")
+    before = spark.conf.get(frames.BATCH_ROWS)
+    with frames.small_batches(spark):
+        assert sorted(r[0] for r in rows.collect()) == [1000, 2000, 2000]
+        with frames.small_batches(spark, 10 ** 6):
+            assert spark.conf.get(frames.BATCH_ROWS) == str(frames.ROWS)
+    assert spark.conf.get(frames.BATCH_ROWS) == before
+
+
 def test_jaccard_join_of_repeated_and_null_ids_and_long_texts(spark):
     rng = random.Random(9)
     long = [f"w{rng.randrange(10_000)}" for _ in range(60_000)]
