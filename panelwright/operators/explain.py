@@ -53,8 +53,9 @@ def perturb(df: DataFrame, reference: DataFrame, scorer, key, numeric=NUMERIC_FE
     text = F.create_map(*[x for c in features for x in (F.lit(c), F.col(c).cast("string"))])
     wide = beside(df.select(key, *features), renamed).select("*", text.alias("_text")).select("*", F.inline(slots))
     swap = lambda c: F.when(F.col("feature") == c, F.col(f"_ref_{c}")).otherwise(F.col(c))
-    tried = wide.withColumns({c: swap(c) for c in features}).drop(*[f"_ref_{c}" for c in features])
-    scored = scorer(tried).select(key, "ord", "feature", F.col("_text")[F.col("feature")].alias("value"), probability)
+    # Scorers may shuffle rows: a row carries the text of its own feature, not of all.
+    tried = wide.withColumn("value", F.col("_text")[F.col("feature")]).withColumns({c: swap(c) for c in features}).drop("_text", *[f"_ref_{c}" for c in features])
+    scored = scorer(tried).select(key, "ord", "feature", "value", probability)
     # 13 rows per key come back together; the list is bounded by the features.
     grouped = scored.groupBy(key).agg(
         F.max(F.when(F.col("ord") < 0, F.col(probability))).alias("base"),

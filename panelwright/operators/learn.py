@@ -223,8 +223,8 @@ class ForestModel:
 
     def score(self, df: DataFrame, out="probability") -> DataFrame:
         """Add the probability of class 1; a level unseen in the fit is none of the known ones."""
-        coded = df.withColumn("_codes", _codes(self.profile, self.cuts, self.levels))
-        scores = self.forest.score(cut_lineage(coded.select(F.col("_codes").alias("codes")).distinct()))
+        coded = df.withColumn("_codes", _codes(self.profile, self.cuts, self.levels, packed=True))
+        scores = self.forest.score(coded.select(F.col("_codes").alias("codes")).distinct())
         # One row per distinct row of bins: it grows with the rows, so it is not broadcast.
         found = scores.select(F.col("codes").alias("_codes"), F.col("p").alias("_p")).hint("merge")
         return coded.join(found, "_codes").select(*df.columns, F.col("_p").alias(out))
@@ -233,8 +233,8 @@ class ForestModel:
         return self.forest.importances()
 
 
-def _codes(profile, cuts, levels):
-    """Array of a row's bin numbers: cut points below a value, then 1 for its level and 0 for the others.
+def _codes(profile, cuts, levels, packed=False):
+    """Array (``packed``: one binary value) of a row's bin numbers: cut points below a value, then 1 for its level and 0 for the others.
 
     Bins are looked up in whole Arrow columns. As an expression, with a comparison for every cut, they took
     longer to compile and to evaluate than the trees took to score them.
@@ -244,7 +244,7 @@ def _codes(profile, cuts, levels):
     known = list(levels.values())
     width = len(edges) + sum(map(len, known))
 
-    @F.arrow_udf("array<tinyint>")
+    @F.arrow_udf("binary" if packed else "array<tinyint>")
     def bins(*columns):
         rows = len(columns[0])
         out = np.zeros((rows, width), np.int8)
@@ -256,7 +256,10 @@ def _codes(profile, cuts, levels):
             hit = np.flatnonzero(place >= 0)
             out[hit, at + place[hit]] = 1
             at += len(own)
-        return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width, pa.int32()), pa.array(out.ravel()))
+        ends = pa.array(np.arange(rows + 1, dtype=np.int32) * width, pa.int32())
+        if packed:
+            return pa.Array.from_buffers(pa.binary(), rows, [None, ends.buffers()[1], pa.py_buffer(out)])
+        return pa.ListArray.from_arrays(ends, pa.array(out.ravel()))
 
     # Marked so that a filter on the join key does not evaluate it once more.
     return bins.asNondeterministic()(*[filled(c, "double") for c in cuts], *[filled(c, "string") for c in levels])

@@ -12,7 +12,7 @@ from panelwright.operators import scoring as S
 from panelwright.operators import split as K
 from panelwright.operators.cohort import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from panelwright.operators.quality import audit_predictors
-from panelwright.session import cut_lineage
+from panelwright.session import cut_lineage, discard
 
 KEY = "canonical_project_key"
 COST, SCHEDULE = "cost_overrun", "schedule_slippage"
@@ -50,6 +50,7 @@ def from_scorers(cohort: DataFrame, cost_scorer, schedule_scorer, eligible="is_e
     scores = S.score_portfolio(lead, made_by=made_by)
     if materialize:
         scores = cut_lineage(scores)
+        discard(lead)
     reference = X.reference_profile(cohort)
 
     def deltas(rows, scorer):

@@ -95,3 +95,51 @@ def test_leaves_of_many_rows_agree_with_a_plain_walk():
 
     got = R._leaves(asked.astype(np.int8).ravel(), np.arange(300) * 4, *(np.asarray(x, k) for x, k in ((feature, "<i2"), (code, "<i2"), (child, "<i4"))))
     assert got.tolist() == [plain(r) for r in asked]
+
+
+def _pieces(model):
+    return sorted((r.tree, r.node, r.top, *[x.tolist() for x in R._unpacked(r.nodes)], r.gains) for r in model.forest.pieces.collect())
+
+
+def test_tables_taken_whole_and_dealt_row_by_row_give_the_same_trees(spark, monkeypatch):
+    df = _rows(spark)
+    for rows in (100_000, 120):  # with and without large nodes
+        monkeypatch.setattr(R, "NODE_ROWS", rows)
+        monkeypatch.setattr(R, "TASK_ROWS", 1 << 22)
+        whole = _pieces(_fit(df))
+        monkeypatch.setattr(R, "TASK_ROWS", 1)
+        assert whole == _pieces(_fit(df)) and len(whole) >= 12
+
+
+def test_growing_a_whole_table_moves_no_row_for_a_tree(spark):
+    coded = spark.range(500).select(F.col("id").alias("row"), (F.col("id") % 2).alias("y"), F.array((F.col("id") % 30).cast("tinyint"), F.lit(1).cast("tinyint")).alias("codes"))
+    grown = R._whole_trees(coded, 2, 40, 30, 2, 42)
+    assert "explode(sequence(1, 40" not in grown._jdf.queryExecution().optimizedPlan().toString()
+    assert grown.select("tree").distinct().count() == 40
+
+
+def test_pieces_take_a_few_bytes_a_node():
+    rng = np.random.default_rng(5)
+    codes = rng.integers(0, 33, (4000, 6))
+    nodes, _ = R._grown(codes, rng.integers(0, 2, 4000).astype(float), np.ones(4000), 0, 30, 3, rng)
+    (data,) = R._packed(*nodes)
+    feature, code, child, share = R._unpacked(data)
+    split = nodes[0] >= 0
+    assert (feature == nodes[0]).all() and (code[split] == nodes[1][split]).all() and (child == nodes[2]).all()
+    assert (share[~split] == np.rint(nodes[3][~split] * R._ONE)).all() and len(data) < 3 * len(split)
+
+
+def test_perturbed_rows_carry_one_text(spark):
+    from panelwright.operators import explain as X
+
+    df = spark.createDataFrame([("k", 1.0, "x"), ("l", None, "y")], "key string, a double, c string")
+    seen = []
+
+    def scorer(rows):
+        seen.extend(rows.columns)
+        return rows.withColumn("probability", F.coalesce("a", F.lit(0.5)))
+
+    got = X.perturb(df, spark.createDataFrame([(3.0, "x")], "a double, c string"), scorer, "key", ["a"], ["c"])
+    assert {(r.key, r.feature, r.value, r.base, r.delta) for r in got.collect()} == {
+        ("k", "a", "1.0", 1.0, -2.0), ("k", "c", "x", 1.0, 0.0), ("l", "a", None, 0.5, -2.5), ("l", "c", "y", 0.5, 0.0)}
+    assert "value" in seen and not any(c.startswith("_text") for c in seen)
