@@ -88,8 +88,8 @@ def _grown(codes, y, w, level, depth, draw, rng):
         """Leave the rows of other nodes behind."""
         nonlocal codes, weight, counts
         if not chosen.all():
-            rows = np.repeat(chosen, counts)
-            codes, weight, counts = codes[rows], weight[rows], counts[chosen]
+            rows = np.flatnonzero(np.repeat(chosen, counts))
+            codes, weight, counts = codes.take(rows, axis=0), weight.take(rows), counts[chosen]
 
     while True:
         sums = np.add.reduceat(weight, np.cumsum(counts) - counts)
