@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.periods import period_from_index
 from panelwright.operators.harmonize import SnapshotSpec, to_canonical, union_snapshots
-from panelwright.session import cut_lineage
+from panelwright.session import cut_lineage, discard
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,8 +47,11 @@ def _running_at(cells: DataFrame, months) -> DataFrame:
     return per.select("id", "total", "first_idx", F.inline("_at")).filter("seen").drop("seen")
 
 
-def monthly_panel(spark, sf_dir, dense=True, months=None) -> DataFrame:
-    """Panel of suppliers (dense) or parts (sparse) by ship month; with ``months``, only their rows."""
+def monthly_panel(spark, sf_dir, dense=True, months=None, stored=False) -> DataFrame:
+    """Panel of suppliers (dense) or parts (sparse) by ship month; with ``months``, only their rows.
+
+    With ``stored`` the cells and sums of ``months`` are written as they are found, so only one of their two shuffles is on disk at a time.
+    """
     prefix, key = ("S", "l_suppkey") if dense else ("P", "l_partkey")
     day = F.col("l_shipdate")
     lines = table(spark, sf_dir, "lineitem").select(
@@ -63,7 +66,13 @@ def monthly_panel(spark, sf_dir, dense=True, months=None) -> DataFrame:
         running = _running(cells)
     else:  # numbers are moved, not codes
         cells = lines.groupBy("id", "idx").agg(F.sum("price").alias("price"), F.sum("ret").alias("ret"))
-        running = _running_at(cells, months).select(code, "*")
+        if stored:
+            cells = cut_lineage(cells)
+            running = cut_lineage(_running_at(cells, months))
+            discard(cells)
+        else:
+            running = _running_at(cells, months)
+        running = running.select(code, "*")
     c = F.col
     original = F.round(c("total").cast("decimal(18,2)") * F.lit("0.8").cast("decimal(2,1)"), 2)
     priced = running.withColumn("orig", original.cast("decimal(18,2)"))
@@ -107,12 +116,12 @@ def monthly_panel(spark, sf_dir, dense=True, months=None) -> DataFrame:
     )
 
 
-def part_panel(spark, sf_dir, months=None) -> DataFrame:
+def part_panel(spark, sf_dir, months=None, stored=False) -> DataFrame:
     """The sparse panel with its part attributes, the source of the raw snapshots."""
     part = table(spark, sf_dir, "part").select(
         F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("project_code"),
         F.col("p_partkey").alias("id"), "p_name", "p_brand", "p_type")
-    return monthly_panel(spark, sf_dir, dense=False, months=months).join(part, "project_code")
+    return monthly_panel(spark, sf_dir, dense=False, months=months, stored=stored).join(part, "project_code")
 
 
 def raw_snapshot(rows: DataFrame, month: str, layout: str) -> DataFrame:
@@ -167,7 +176,7 @@ SPECS = (
 
 def raw_snapshots(spark, sf_dir) -> list:
     """(table, spec) of the three snapshots; their panel rows are summed once and stored."""
-    rows = cut_lineage(part_panel(spark, sf_dir, SNAPSHOTS))
+    rows = cut_lineage(part_panel(spark, sf_dir, SNAPSHOTS, stored=True))
     return [(raw_snapshot(rows, m, lay), spec)
             for m, lay, spec in zip(SNAPSHOTS, ("old", "early", "late"), SPECS)]
 

@@ -48,15 +48,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Whether Spark deletes the shuffle files of a query at its end.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared checkpoint folder and read it from there.
 
     Later stages, and retries after a lost executor, start from the written columns they
-    need instead of repeating the work above.
+    need instead of repeating the work above. The shuffle files of that work serve nothing
+    else, so they go with the write instead of staying until the driver collects garbage.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_DROP_SHUFFLES, None)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before) if before is not None else spark.conf.unset(_DROP_SHUFFLES)
     stored = spark.read.schema(df.schema).parquet(path)
     stored.stored_at = path
     return stored
