@@ -147,6 +147,28 @@ def test_long_titles_that_share_few_tokens_are_not_compared(spark, monkeypatch):
     assert "collect_list" not in plan and plan.count("explode") == 0
 
 
+def test_each_pair_is_compared_once_and_equals_brute_force(spark):
+    rng = random.Random(3)
+    kinds = [[f"k{g}w{i}" for i in range(rng.randrange(6, 60))] for g in range(12)]
+
+    def near(words):
+        kept = [w for w in words if rng.random() > 0.06]
+        return kept + [f"new{rng.randrange(40)}" for _ in range(rng.randrange(3))] or ["none"]
+
+    make = lambda mark: [(f"{mark}{i}", near(kinds[i % 12])) for i in range(90)]
+    left, right = make("A"), make("B")
+    frames = [J._signed(_obs(spark, m, [(k, " ".join(w), "Goa", "NHAI", "", "100.0") for k, w in rows]), False, "original_cost_crore") for m, rows in (("A", left), ("B", right))]
+    found = J.similar_titles(*[J.cut_lineage(f) for f in frames])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect(") == 1
+    keyed = [f.select("id", "title").collect() for f in frames]
+    titles = [{r.id: bytes(r.title) for r in rows} for rows in keyed]
+    got = {(bytes(r.a_title), bytes(r.b_title)): r.similarity for r in found.collect()}
+    share = lambda x, y: len(x & y) / len(x | y)
+    want = {(titles[0][a], titles[1][b]): s for a, x in left for b, y in right if (s := share(set(x), set(y))) >= 0.85}
+    assert got == want and len(want) > 50
+
+
 def _values(spark, n=4000, partitions=5):
     return spark.range(n).select(
         F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.pmod(F.xxhash64("id"), F.lit(997)) / 997).alias("v"),
